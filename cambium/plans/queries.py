@@ -11,6 +11,8 @@ from cambium.functions import hashing as H
 from cambium.operators import matching as M
 from cambium.operators import ordered as O
 from cambium.operators import similarity as S
+from cambium.plans import diff
+from cambium.sources import javascript
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -409,3 +411,41 @@ def utf16_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
     wide = F.length("line") + F.length(F.regexp_replace("line", "[^\\x{10000}-\\x{10FFFF}]", ""))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max(wide).cast("long").alias("widest_utf16"))
+
+
+# Pages hold one inline script each: var t="...";track(N);
+
+SQL_SCRIPT = "regexp_extract(html, '<script>(.*?)</script>', 1)"
+
+
+def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<script>(.*?)</script>", 1).alias("source"))
+
+
+@query(f"SELECT page_id, regexp_extract({SQL_SCRIPT}, 'var ([a-z]+)=', 1) AS name, 'variable' AS kind, 'var=string:len' || strlen(regexp_extract({SQL_SCRIPT}, '=(\".*?\");', 1)) AS signature FROM pages")
+def page_script_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = javascript.analyze(page_scripts(spark, sf_dir), ["declarations"])
+    return javascript.rows_of(rows, "declarations", ["page_id"]).select("page_id", "name", "kind", "signature")
+
+
+@query(f"SELECT page_id, regexp_extract({SQL_SCRIPT}, ';([a-z]+)[(]', 1) AS callee, 'direct' AS kind, regexp_extract({SQL_SCRIPT}, '[(]([0-9]+)[)]', 1) AS first_arg FROM pages")
+def page_script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = javascript.analyze(page_scripts(spark, sf_dir), ["calls"])
+    return javascript.rows_of(rows, "calls", ["page_id"]).select("page_id", "callee", "kind", "first_arg")
+
+
+@query("""SELECT page_id AS pair_id, CAST(1 AS BIGINT) AS matched, CAST(page_id % 5 = 1 AS BIGINT) AS renamed, CAST(page_id % 5 IN (0, 1, 3) AS BIGINT) AS unchanged, CAST(page_id % 5 = 2 AS BIGINT) AS string_only,
+CAST(page_id % 5 = 4 AS BIGINT) AS structural, CAST(page_id % 5 = 3 AS BIGINT) AS added, CAST(0 AS BIGINT) AS removed FROM pages""")
+def page_script_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's script against a version of it: as it is, renamed, another string, a function more, or another type."""
+    old = page_scripts(spark, sf_dir)
+    k = F.col("page_id") % 5
+    new = (
+        F.when(k == 1, F.replace("source", F.lit("var t="), F.lit("var renamed=")))
+        .when(k == 2, F.replace("source", F.lit('"</p>"'), F.lit('"</div>"')))
+        .when(k == 3, F.concat("source", F.lit("function added(a){return a+1}")))
+        .when(k == 4, F.replace("source", F.lit('"</p>"'), F.lit("42")))
+        .otherwise(F.col("source"))
+    )
+    pairs = M.cut(old.select(F.col("page_id").alias("pair_id"), F.col("source").alias("old"), new.alias("new")), "pairs")
+    return diff.summary(pairs, *diff.compare(pairs))
