@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,11 @@ class Scratch:
         for name in names:
             self._delete(self.path(name))
 
+    def release(self) -> None:
+        """Lets Spark delete shuffle files that no living table needs: it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         try:
             self._delete(self.root)
@@ -73,7 +79,8 @@ def ranked(scratch: Scratch, df: DataFrame, keys: list[str], order: list[str], n
 
     Rows are dealt by range over keys and order, so a key that holds a third of all rows spreads over many tasks.
     Each task numbers its own run of a key; the number of rows of that key in earlier tasks, one row for each
-    (task, key), is added. The dealt rows are written first: both steps see the same partitions.
+    (task, key), is added. The dealt rows are written first: both steps see the same partitions. Dealing by range reads
+    df twice; df should be cheap to read.
     """
     part, at, base = fresh(df, "part", "at", "base")
     dealt = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn(part, F.spark_partition_id())

@@ -184,6 +184,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity
     scratch = Scratch(spark, "packing")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     pieces = token_pieces(rows, path, capacity).withColumn("size", F.ceil(F.col("length") / quantum).cast("int"))
+    pieces = scratch.table(pieces, "cut")  # dealing by range reads its input twice, and tokenising is the dear part
     placed = ranked(scratch, pieces.withColumn("short", -F.col("length")), ["size"], ["short", "doc_id", "copy", "start"], "pieces")
     counts = {r["size"]: r["count"] for r in spark.read.parquet(scratch.path("pieces")).groupBy("size").count().collect()}  # at most room rows
     runs = plan(counts, capacity, quantum)  # at most (room patterns + leftovers) * room rows

@@ -18,7 +18,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _OTHER = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]")
 #: Pieces that a worker remembers (about 230 bytes each), and the longest one that it does.
-MEMORY, LONGEST = 400_000, 64
+MEMORY, LONGEST = 1_000_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
