@@ -78,8 +78,8 @@ class Token:
     newline: bool  # a line break stands before it
 
 
-_SPACE = re.compile(r"(?:[\s﻿]+|//[^\n\r  ]*|/\*.*?\*/|<!--[^\n]*)+", re.S)
-_NAME = re.compile(r"(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|[$‌‍]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*")
+_SPACE = re.compile("(?:[\\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\\*.*?\\*/|<!--[^\n]*)+", re.S)
+_NAME = re.compile(r"(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|[$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*")
 _NUMBER = re.compile(r"0[xX][\da-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
 _REGEX = re.compile(r"/(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
@@ -106,7 +106,7 @@ class Parser:
     def scan(self, at: int) -> Token:
         text, newline = self.text, False
         if m := _SPACE.match(text, at):
-            newline = re.search(r"[\n\r  ]", m[0]) is not None
+            newline = re.search("[\n\r\u2028\u2029]", m[0]) is not None
             at = m.end()
         if text.startswith("/*", at):
             self.fail(at, "comment does not end")
