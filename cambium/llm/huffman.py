@@ -147,8 +147,8 @@ def write_corpus(spark: SparkSession, docs: DataFrame, folder: str, path: str |
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                c = np.bincount(_wide(x.as_py()))
+            for k in range(0, batch.num_rows, 256):
+                c = np.bincount(np.concatenate([_wide(x) for x in batch.column(0).slice(k, 256).to_pylist()]))
                 if len(c) > len(total):
                     c[: len(total)] += total
                     total = c
