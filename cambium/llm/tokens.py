@@ -28,6 +28,29 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Bytes of the ids of a piece; one that is missing is encoded, and kept unless it is long."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, _byte_letters()
+
+    def __missing__(self, x: str) -> bytes:
+        as_letters = "Ġ" + x[1:] if x[0] == " " and x.isascii() and not x.isspace() else x.encode("utf-8").decode("latin-1").translate(self.letters)
+        out = array("I", [t.id for t in self.tokenize(as_letters)]).tobytes()
+        if len(x) <= LONGEST:
+            self[x] = out
+        return out
+
+    def shrink(self) -> None:
+        """Forgets longer pieces once there are too many, and all where that isn't enough."""
+        if len(self) > MEMORY:
+            short = {k: v for k, v in self.items() if len(k) <= 8}
+            self.clear()
+            if len(short) <= MEMORY // 2:
+                self.update(short)
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,8 +59,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self.model)
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         split = made.get("pre_tokenizer") or {}
@@ -46,39 +68,16 @@ class Encoder:
             and not made["model"].get("dropout") and not made["model"].get("ignore_merges") and all(x.get("special") for x in made.get("added_tokens", ()))
         )
 
-    def _learn(self, pieces: list[str]) -> None:
-        tokenize, letters, known = self.model.tokenize, self.letters, self.known
-        for x in pieces:
-            as_letters = "Ġ" + x[1:] if x[0] == " " and x.isascii() and not x.isspace() else x.encode("utf-8").decode("latin-1").translate(letters)
-            known[x] = array("I", [t.id for t in tokenize(as_letters)]).tobytes()
-
-    def _forget(self) -> None:
-        if len(self.known) > MEMORY:
-            self.known = {k: v for k, v in self.known.items() if len(k) <= 8}
-            if len(self.known) > MEMORY // 2:
-                self.known = {}
-
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers. Texts should be a few MB together."""
+        """Per text its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        rest, split, met = [], [], set()
+        rest, get = [], self.known.__getitem__
         for i, text in enumerate(texts):
             if not self.by_piece or _OTHER.search(text):
                 rest.append(i)
-                continue
-            pieces = _PIECES.findall(text)
-            split.append((i, pieces))
-            met.update(pieces)
-        known = self.known
-        new = [x for x in met if x not in known]
-        long = {x for x in new if len(x) > LONGEST}
-        self._learn([x for x in new if x not in long] if long else new)
-        for i, pieces in split:
-            if long and not long.isdisjoint(pieces):
-                rest.append(i)
             else:
-                out[i] = b"".join(map(known.__getitem__, pieces))
-        self._forget()
+                out[i] = b"".join(map(get, _PIECES.findall(text)))
+        self.known.shrink()
         if rest:
             encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
             for i, e in zip(rest, encode([texts[i] for i in rest], add_special_tokens=False), strict=True):
