@@ -90,24 +90,40 @@ def fit(classes: list[tuple[int, int]], capacity: int, most: int) -> list[list[t
 
 
 def assign(classes: list[tuple[int, int]], shards: int = SHARDS) -> list[list[tuple[int, int]]]:
-    """Runs of the least capacity for which best fit decreasing needs at most `shards` shards."""
-    total = sum(s * n for s, n in classes)
-    low = max(-(-total // shards), max((s for s, _ in classes), default=1)) - 1
+    """Runs of the least capacity for which best fit decreasing needs at most `shards` shards. A group that is larger than
+    an even share of what is left has the last free shard to itself, so that the others can still be even."""
+    left, alone = sum(s * n for s, n in classes), [0] * len(classes)
+    free, k = shards, 0
+    while free > 1 and k < len(classes):
+        if alone[k] == classes[k][1]:
+            k += 1
+        elif classes[k][0] * free > left:
+            alone[k], free, left = alone[k] + 1, free - 1, left - classes[k][0]
+        else:
+            break
+    rest = [(s, n - a) for (s, n), a in zip(classes, alone, strict=True)]
+    low = max(-(-left // free), max((s for s, n in rest if n), default=1)) - 1
     high = low + 1
-    while fit(classes, high, shards) is None:
+    while fit(rest, high, free) is None:
         high += max(1, high // 8)
-    while high - low > max(1, total // shards // 1_000_000):
+    while high - low > max(1, left // free // 1_000_000):
         middle = (low + high) // 2
-        low, high = (low, middle) if fit(classes, middle, shards) is not None else (middle, high)
-    return fit(classes, high, shards)
+        low, high = (low, middle) if fit(rest, middle, free) is not None else (middle, high)
+    last = shards
+    runs = fit(rest, high, free)
+    for k, n in enumerate(alone):
+        for _ in range(n):
+            last -= 1
+            runs[k] = [(last, 1), *runs[k]]
+    return runs
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: UTF-8 bytes of the text (null: none) plus 1. law is `bytes`: the shards' sizes are as near to equal as whole
-    groups allow; a group larger than a shard's even share sets the capacity. Equal texts (null counts as empty) share a
-    shard. slot: place within the shard by doc_id (nulls first), from 0 without gaps; rows that share an id by text hash.
+    groups allow; a group larger than an even share has a shard of its own. Equal texts (null counts as empty) share a shard.
+    slot: place within the shard by doc_id (nulls first), from 0 without gaps; rows that share an id by text hash.
     grown_shard is null under this law. Repeated rows are rows of one group. No rows give an empty table.
     """
     scratch = Scratch(spark, "sharding")

@@ -244,6 +244,16 @@ def test_best_fit_decreasing_equals_the_loop(sizes, capacity):
     assert got == placed
 
 
+def test_large_groups_have_shards_of_their_own():
+    classes = [(1000, 1), (400, 2), (3, 100), (1, 60)]
+    total = Counter()
+    for (size, n), runs in zip(classes, sharding.assign(classes, 8), strict=True):
+        assert sum(k for _, k in runs) == n
+        for shard, k in runs:
+            total[shard] += k * size
+    assert sorted(total.values()) == [72, 72, 72, 72, 72, 400, 400, 1000]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav>
 %s<div class="comments"><p>Reader says a lot of things here that are long enough to look like text, really long ones.</p></div><footer>&copy; all</footer></body></html>"""
 
