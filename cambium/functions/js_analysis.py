@@ -428,7 +428,7 @@ def analyze(text: str, limit: int = 1 << 28) -> dict[str, list[tuple]]:
                 plain.append((tag, f"outer {text}", s))
             else:
                 plain.append((tag, text, None))
-        decls.append((k, name, kind, n.kind, signature(tree, n, kind), tree.line(n.start), tree.line(n.end), tree.byte(n.start), tree.byte(n.end), shape, plain, sorted(set(strings)), sorted({f"{t} {v}" for t, v in constants}), [f"{o or ''}.{m}" for o, m, _ in calls]))
+        decls.append((k, name, kind, n.kind, signature(tree, n, kind), tree.line(n.start), tree.line(n.end), tree.byte(n.start), tree.byte(n.end), shape, plain, strings, [f"{t} {v}" for t, v in constants], [(f"{o or ''}.{m}", a) for o, m, a in calls], sum(c.kind != "comment" for c in n.walk())))
     calls = []
     ref_of = {id(r[0]): k for k, r in enumerate(b.references)}
     for n in order:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cambium.functions import hashing as H
@@ -40,11 +40,49 @@ def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     return named.unionByName(gated)
 
 
-def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: What a shared string of each context weighs.
+CONTEXT_WEIGHT = {"error": 1.2, "path": 1.1, "command": 1.0, "config": 0.9, "endpoint": 1.0, "regular": 0.7}
+
+
+def weights(decls: DataFrame) -> DataFrame:
+    """(side, id, w_strings, w_constants, w_api): maps from what a declaration holds to its weight, by rarity in both files."""
+    out = decls.select("side", "id")
+    for family, column, value in (("string", "strings", F.col("v")), ("constant", "constants", F.col("v")), ("api", "api", F.col("v.key"))):
+        each = decls.select("pair_id", "side", "id", F.explode(column).alias("v")).select("pair_id", "side", "id", value.alias("v"))
+        counts = each.groupBy("pair_id", "v").agg(F.count(F.lit(1)).alias("n"))
+        weight = H.rarity(family, F.col("n"))
+        if family == "string":
+            context = H.string_context(F.col("v"))
+            weight = weight * F.create_map(*[F.lit(x) for kv in CONTEXT_WEIGHT.items() for x in kv])[context]
+        elif family == "constant":
+            weight = weight * 0.8
+        else:
+            weight = weight * 0.6
+        own = each.distinct().join(counts, ["pair_id", "v"]).groupBy("side", "id").agg(F.map_from_entries(F.collect_list(F.struct("v", weight.alias("w")))).alias(f"w_{column}"))
+        out = out.join(own, ["side", "id"], "left")
+    return out
+
+
+def evidence(a: str, b: str) -> tuple[Column, Column]:
+    """(score, count) of what the structs a and b (with weights in a) share. Strings and constants count once, API calls
+    for each pair of equal calls, with 0.3 more where their first literal arguments agree."""
+    total = lambda values, w: F.aggregate(values, F.lit(0.0), lambda n, v: n + F.coalesce(F.element_at(w, v), F.lit(0.0)))
+    strings, constants = (F.array_intersect(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in ("strings", "constants"))
+    calls = F.flatten(F.transform(F.col(f"{a}.api"), lambda x: F.transform(F.filter(F.col(f"{b}.api"), lambda y: x["key"] == y["key"]), lambda y: F.struct(x["key"].alias("key"), F.coalesce(x["arg"] == y["arg"], F.lit(False)).alias("same")))))
+    bonus = F.aggregate(calls, F.lit(0.0), lambda n, c: n + F.coalesce(F.element_at(F.col(f"{a}.w_api"), c["key"]), F.lit(0.0)) + F.when(c["same"], 0.3).otherwise(0.0))
+    n = F.size(strings) + F.size(constants) + F.size(calls)
+    ratio = F.least(F.col(f"{a}.evidence_size"), F.col(f"{b}.evidence_size")) / F.greatest(F.col(f"{a}.evidence_size"), F.col(f"{b}.evidence_size"))
+    factor = F.when(ratio > 0.7, 1.0).otherwise(0.8 + 0.2 * ratio)
+    score = (total(strings, F.col(f"{a}.w_strings")) + total(constants, F.col(f"{a}.w_constants")) + bonus) / n * factor
+    return F.when(n > 0, score).otherwise(0.0), n
+
+
+def compare(pairs: DataFrame, fingerprints: bool = False) -> tuple[DataFrame, DataFrame]:
     """(matches, changes) of pairs (pair_id, old, new).
 
     matches: pair_id, i1, i2, name_old, name_new, similarity, classification (unchanged, string_only or structural).
-    changes: pair_id, change, name, classification; unchanged matches have no row.
+    changes: pair_id, change, name, classification; unchanged matches have no row. With fingerprints, the similarity of
+    functions and variables is 0.7 times the score of shared evidence plus 0.3 times that of their shapes.
     """
     decls = declarations(pairs)
     old, new = decls.where("side = 'old'"), decls.where("side = 'new'")
@@ -53,7 +91,18 @@ def compare(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     scored = candidates(old, new).join(l, F.col("i1") == F.col("id_old")).join(r, F.col("i2") == F.col("id_new"))
     score = S.declared_similarity(F.col("kind_old"), F.col("kind_new"), F.col("signature_old"), F.col("signature_new"), F.col("hashes_old"), F.col("hashes_new"))
     scored = scored.withColumn("similarity", score)
-    good = F.col("name_match") | H.acceptance((F.col("similarity") * H.SCALE).cast("long"), F.lit(0), F.col("size_old"))
+    count = F.lit(0)
+    if fingerprints:
+        held = ["strings", "constants", "api", "evidence_size"]
+        w = decls.select("side", "id", "kind", *held).join(weights(decls), ["side", "id"])
+        mine, other = w.where("side = 'old'").select(F.col("id").alias("i1"), F.struct("kind", *held, "w_strings", "w_constants", "w_api").alias("f1")), w.where("side = 'new'").select(F.col("id").alias("i2"), F.struct("kind", *held).alias("f2"))
+        scored = scored.join(mine, "i1").join(other, "i2")
+        both = F.col("f1.kind").isin("function", "variable") & F.col("f2.kind").isin("function", "variable")
+        score, n = evidence("f1", "f2")
+        scored = scored.withColumn("shape", F.col("similarity")).withColumn("evidence", F.when(both, n).otherwise(0))
+        scored = scored.withColumn("similarity", F.when(both, 0.7 * score + 0.3 * F.col("shape")).otherwise(F.col("shape")))
+        count = F.col("evidence")
+    good = F.col("name_match") | H.acceptance(F.round(F.col("similarity") * H.SCALE, 6).cast("long"), count, F.col("size_old"))
     edges = scored.where(good).select("i1", "i2", "similarity", F.col("pair_id_old").alias("pair_id"), F.col("name_match"), F.col("size_new").alias("size2"), F.col("name_old"), F.col("name_new"))
     matches = M.cut(M.greedy(edges, [-F.col("similarity"), F.col("i1"), (~F.col("name_match")).cast("int"), F.col("size2")]), "matches")
 

@@ -18,23 +18,27 @@ TABLES = {
     "symbols": "symbol_ix int, name string, kind string, scope_ix int, node_ix int",
     "references": "ref_ix int, node_ix int, scope_ix int, name string, role string, symbol_ix int, resolution string, start_byte int, end_byte int",
     "calls": "call_ix int, node_ix int, kind string, callee string, callee_ref int, target_symbol int, property string, first_arg string",
-    "declarations": "decl_ix int, name string, kind string, node_kind string, signature string, line int, end_line int, start_byte int, end_byte int, hashes array<bigint>, tokens array<struct<tag:string,text:string,decl:int>>, strings array<string>, constants array<string>, api array<string>",
+    "declarations": "decl_ix int, name string, kind string, node_kind string, signature string, line int, end_line int, start_byte int, end_byte int, hashes array<bigint>, tokens array<struct<tag:string,text:string,decl:int>>, strings array<string>, constants array<string>, api array<struct<key:string,arg:string>>, evidence_size int",
 }
 
 
-def _struct(columns: str) -> str:
+def _columns(columns: str) -> list[tuple[str, str]]:
+    """(name, type) of each column; commas inside types do not split."""
     parts, depth, last = [], 0, 0
-    for k, c in enumerate(columns):
-        depth += (c in "<(") - (c in ">)")
+    for k, c in enumerate([*columns, ","]):
+        depth += (c == "<") - (c == ">")
         if c == "," and not depth:
-            parts.append(columns[last:k])
+            parts.append(tuple(columns[last:k].strip().split(" ", 1)))
             last = k + 1
-    parts.append(columns[last:])
-    return "struct<" + ",".join(p.strip().replace(" ", ":", 1) for p in parts) + ">"
+    return parts
+
+
+def _struct(columns: str) -> str:
+    return "struct<" + ",".join(f"{n}:{t}" for n, t in _columns(columns)) + ">"
 
 
 def _names(columns: str) -> list[str]:
-    return [p.split(":")[0] for p in _struct(columns)[7:-1].replace("array<struct<tag:string,text:string,decl:int>>", "x").split(",")]
+    return [n for n, _ in _columns(columns)]
 
 
 def analyze(sources: DataFrame, which: list[str] | None = None, strict: bool = True) -> DataFrame:
@@ -63,6 +67,7 @@ def analyze(sources: DataFrame, which: list[str] | None = None, strict: bool = T
                     for r in rows:
                         if "tokens" in r:
                             r["tokens"] = [{"tag": a, "text": b, "decl": c} for a, b, c in r["tokens"]]
+                            r["api"] = [{"key": a, "arg": b} for a, b in r["api"]]
                     made[t].append(rows)
             yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame({**made, "error": errors})], axis=1)
 

@@ -61,3 +61,17 @@ def test_classes_of_change(spark):
 
 def test_empty_side(spark):
     assert changes(spark, "function f(){}", "") == ([("deletion", "f", None)], [])
+
+
+def test_fingerprints_follow_evidence(spark):
+    old = 'function f(a){console.log("fatal error here",a);fetchThing("/api/v1/x",12345);if(a){b()}else{c(a,b)}}'
+    new = 'function g(){for(;;){q(1)}}\nfunction h(z){while(z){console.log("fatal error here",z)};return fetchThing("/api/v1/x",12345)}'
+    df = spark.createDataFrame([(1, old, new)], "pair_id long, old string, new string")
+    matches, _ = diff.compare(df, fingerprints=True)
+    got = [(r.name_old, r.name_new, r.similarity) for r in matches.collect()]
+    assert [x[:2] for x in got] == [("f", "h")]
+    decls = diff.declarations(df)
+    w = {r.id.decl_ix: r for r in diff.weights(decls).where("side = 'old'").collect()}[0]  # each value is found twice
+    near = lambda x, want: set(x) == set(want) and all(abs(x[k] - want[k]) < 1e-9 for k in want)
+    assert near(w.w_strings, {"fatal error here": 0.84, "/api/v1/x": 0.7}) and near(w.w_constants, {"number 12345": 0.48})
+    assert near({k: v for k, v in w.w_api.items() if k == "console.log"}, {"console.log": 0.48})
