@@ -24,8 +24,6 @@ from cambium.llm import words
 from cambium.llm.common import Scratch, fresh, text_slices
 from cambium.llm.components import components
 
-#: 64-bit words of a bitmap.
-BITMAP = 8
 #: Shingles whose hash lies under this share of all hashes are counted over all classes; those in more than HOT classes
 #: come last in the order. The broadcast list has HOT_LIMIT entries at most (8 bytes each); the order, and with it
 #: every result, is right for any list.
@@ -54,9 +52,11 @@ def shingle_sets(hashes: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np
 
 
 def bitmap(x: np.ndarray) -> np.ndarray:
-    """Parity of the shingles that fall on each of 64*BITMAP bits. The bits in which two bitmaps differ are at most as many
-    as the shingles that only one of the sets has."""
-    counts = np.bincount((x >> np.uint64(20)) & np.uint64(64 * BITMAP - 1), minlength=64 * BITMAP) if len(x) else np.zeros(64 * BITMAP, np.int64)
+    """Parity of the shingles that fall on each bit, in 64-bit words. The number of bits is the power of two from the size
+    of the set on, so that unlike sets of any size differ in many bits. The bits in which two bitmaps differ are at most as
+    many as the shingles that only one of the sets has; a bitmap's halves, XORed, are the bitmap of half as many bits."""
+    bits = 1 << max(6, (len(x) - 1).bit_length())
+    counts = np.bincount(((x >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -85,7 +85,8 @@ def _features(n: int, percent: int):
 
 
 def _prefixes(percent: int, hot: np.ndarray):
-    """Rows (shingle, class, n) for each class's prefix in the order: counted and not hot, hot, the rest; by hash within each."""
+    """Rows (h, c, n, place, before) for each class's prefix in the order: counted and not hot, hot, the rest; by hash within
+    each. place: of the shingle h in the class c of n shingles; before: the shingle before it."""
     border = np.uint64(int(SHARE * 2.0**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +102,11 @@ def _prefixes(percent: int, hot: np.ndarray):
                 rank[hot[at] == flat] = 1
             order = np.lexsort((flat, rank, row))
             place = np.arange(len(flat)) - (ends[:-1] - ends[0])[row]
-            take = place < prefix_size(sizes, percent)[row]
-            chosen = order[take]
-            yield pa.record_batch([pa.array(flat[chosen].view(np.int64)), pa.array(ids[row[take]]), pa.array(sizes[row[take]])], names=["h", "c", "n"])
+            ordered = flat[order].view(np.int64)
+            before = np.concatenate([[0], ordered[:-1]]) if len(ordered) else ordered
+            take = np.flatnonzero(place < prefix_size(sizes, percent)[row])
+            columns = [ordered[take], ids[row[take]], sizes[row[take]].astype(np.int32), place[take].astype(np.int32), np.where(place[take] > 0, before[take], -ids[row[take]] - 1)]
+            yield pa.record_batch([pa.array(x) for x in columns], names=["h", "c", "n", "place", "before"])
 
     return run
 
@@ -143,15 +146,23 @@ def _near(n: str, m: str, percent: int) -> Column:
     return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)).cast("boolean")
 
 
-def _band(n: str, percent: int) -> Column:
-    """Band of a size; sizes that can link are in one band or in neighbouring ones."""
-    return F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(100 / percent) * 1.0001)).cast("int")
+def _band(n: Column, percent: int) -> Column:
+    """Band of a size, eight of the widest ratios of sizes that link wide."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(8 * math.log(100 / percent))).cast("int")
 
 
-def _bound(percent: int) -> Column:
-    """The bit counts allow a link: the sets differ in d shingles or more, so they share (n + m - d) / 2 at most."""
-    differ = sum((F.bit_count(F.col("a.map")[i].bitwiseXOR(F.col("b.map")[i])) for i in range(BITMAP)), F.lit(0))
-    both = F.col("a.n") + F.col("b.n")
+def _folded(m: Column) -> Column:
+    half = F.shiftright(F.size(m), 1)
+    return F.zip_with(F.slice(m, F.lit(1), half), F.slice(m, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def _bound(a: str, b: str, percent: int) -> Column:
+    """The bit counts allow a link of the structs a and b (n, map): the sets differ in d shingles or more, so they share
+    (n + m - d) / 2 at most. Sizes that can link need bitmaps of one size or the double of it."""
+    x, y = F.col(f"{a}.map"), F.col(f"{b}.map")
+    x, y = F.when(F.size(x) > F.size(y), _folded(x)).otherwise(x), F.when(F.size(y) > F.size(x), _folded(y)).otherwise(y)
+    differ = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
     return (100 - percent) * both >= (100 + percent) * differ
 
 
@@ -178,6 +189,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
     whole = scratch.table(whole.dropDuplicates(["c"]).select("c", "n", "map", "low"), "classes")
     members = scratch.table(made.select("doc_id", "n", "k1", "k2").join(heads, ["n", "k1", "k2"], "left").select("doc_id", "n", "c"), "members")
     scratch.drop("features", "heads")
+    scratch.release()
 
     # Sizes under this link with equal sets only, which are one class already.
     least = math.ceil(percent / max(1, 100 - percent)) if percent < 100 else None
@@ -189,7 +201,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 5, percent
         counted = wide.select(F.explode("low").alias("h")).where((F.col("h") >= 0) & (F.col("h") < border)).groupBy("h").count()
         listed = counted.where(F.col("count") > HOT).orderBy(F.desc("count"), "h").limit(HOT_LIMIT).select("h").toPandas()
         hot = np.sort(listed["h"].to_numpy(dtype=np.int64).view(np.uint64))
-        shared = wide.select("c", "n", "low").mapInArrow(_prefixes(percent, hot), "h long, c long, n long")
+        shared = wide.select("c", "n", "low").mapInArrow(_prefixes(percent, hot), "h long, c long, n int, place int, before long")
         links = _links(scratch, rows, wide.select("c", "n", "map"), shared, n, percent)
     if links is None:
         return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
@@ -206,6 +218,7 @@ def _verify(scratch: Scratch, rows: DataFrame, pairs: DataFrame, n: int, percent
     both = left.join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
     out = scratch.table(both.mapInArrow(_linked(percent), "a long, b long"), name)
     scratch.drop(f"{name}-sets")
+    scratch.release()
     return out
 
 
@@ -215,29 +228,37 @@ def _links(scratch: Scratch, rows: DataFrame, classes: DataFrame, prefixes: Data
     tiles = posted.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "c")).alias("least")).where("k > 1")
     posted = scratch.table(posted.join(tiles.select("h", F.col("least.c").alias("o"), F.col("least.n").alias("m")), "h"), "tiles")
     scratch.drop("posted")
+    scratch.release()
 
     starred = posted.where((F.col("c") != F.col("o")) & _near("n", "m", percent)).select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()
-    ca, cb = classes.select(F.col("c").alias("a"), F.struct("n", "map").alias("ea")), classes.select(F.col("c").alias("b"), F.struct("n", "map").alias("eb"))
-    starred = starred.join(ca, "a").join(cb, "b").withColumnsRenamed({"ea": "sa", "eb": "sb"})
-    starred = starred.select("a", "b", F.col("sa").alias("l"), F.col("sb").alias("r"))
-    differ = sum((F.bit_count(F.col("l.map")[i].bitwiseXOR(F.col("r.map")[i])) for i in range(BITMAP)), F.lit(0))
-    starred = scratch.table(starred.where((100 - percent) * (F.col("l.n") + F.col("r.n")) >= (100 + percent) * differ).select("a", "b"), "starred")
+    maps = classes.select("c", F.struct("n", "map").alias("m"))
+    starred = starred.join(maps.select(F.col("c").alias("a"), F.col("m").alias("l")), "a").join(maps.select(F.col("c").alias("b"), F.col("m").alias("r")), "b")
+    starred = scratch.table(starred.where(_bound("l", "r", percent)).select("a", "b"), "starred")
+    scratch.release()
     first = _verify(scratch, rows, starred, n, percent, "star-links")
     found = scratch.table(components(scratch, first, "star"), "star")
 
-    # What is left: tiles that hold several components.
-    labelled = posted.select("h", "c", "n").join(found.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
+    # What is left: tiles that hold several components. A pair is taken where its first common shingle stands, as far as
+    # the shingles right before tell (equal ones are an earlier common shingle); there the places bound the overlap too.
+    labelled = posted.select("h", "c", "n", "place", "before").join(found.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
     labelled = scratch.table(labelled, "labelled")
     open_ = labelled.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("h")
-    tile = labelled.join(open_, "h", "left_semi").join(classes.select("c", "map"), "c").withColumn("band", _band("n", percent))
-    tile = scratch.table(tile, "open")
+    tile = scratch.table(labelled.join(open_, "h", "left_semi").join(classes.select("c", "map"), "c"), "open")
     scratch.drop("labelled", "tiles")
-    a = tile.alias("a")
-    b = tile.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("b")
-    both = (F.col("a.h") == F.col("b.h")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.c") < F.col("b.c")) & (F.col("a.g") != F.col("b.g"))
-    pairs = a.join(b, both & _near("a.n", "b.n", percent) & _bound(percent)).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    scratch.release()
+    # Of a pair's smaller set, the place bound leaves only the first 1 - 2p/(1+p) of its shingles.
+    small = tile.where((100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n")).withColumn("band", _band(F.col("n"), percent)).alias("a")
+    reach = F.array_distinct(F.array(_band(F.floor(F.col("n") * percent / 100), percent), _band(F.col("n"), percent)))
+    large = tile.withColumn("band", F.explode(reach)).alias("b")
+    first_common = (F.col("a.h") == F.col("b.h")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.g") != F.col("b.g")) & (F.col("a.before") != F.col("b.before"))
+    ordered = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.c") < F.col("b.c"))
+    sizes = F.col("a.n") + F.col("b.n")
+    places = (100 + percent) * F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= percent * sizes
+    pairs = small.join(large, first_common & ordered & _near("a.n", "b.n", percent) & places & _bound("a", "b", percent))
+    pairs = pairs.select(F.least("a.c", "b.c").alias("a"), F.greatest("a.c", "b.c").alias("b")).distinct()
     pairs = scratch.table(pairs.join(starred, ["a", "b"], "left_anti"), "pairs")
     scratch.drop("open")
+    scratch.release()
     second = _verify(scratch, rows, pairs, n, percent, "pair-links")
     extra = second.join(found.select(F.col("node").alias("a"), F.col("component").alias("ga")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b", "left")
     extra = scratch.table(extra.select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")), "extra")
