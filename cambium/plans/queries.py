@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium.functions import hashing as H
+from cambium.functions import js_rewrite
+from cambium.operators import integrity, names
 from cambium.operators import matching as M
 from cambium.operators import ordered as O
 from cambium.operators import similarity as S
-from cambium.plans import diff
-from cambium.sources import javascript
+from cambium.plans import diff, lineage
+from cambium.sources import javascript, maps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -449,3 +452,73 @@ def page_script_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pairs = M.cut(old.select(F.col("page_id").alias("pair_id"), F.col("source").alias("old"), new.alias("new")), "pairs")
     return diff.summary(pairs, *diff.compare(pairs))
+
+
+# Queries over texts of our own, whose answers are known.
+
+OLD_TEXT = 'import {q as z} from "m";\nfunction area(w,h){return w*h}\nfunction greet(n){if(n){log("hello "+n)}else{throw new Error("x")}}\nfunction stays(){return z("a")}\nvar gone=function(){for(;;)tick()};'
+NEW_TEXT = 'import {q as z} from "m";\nfunction a(x,y){return x*y}\nfunction greet(n){if(n){log("hello "+n)}else{throw new Error("y")}}\nfunction stays(){return z(null)}\nclass Extra{size(){return 1}}'
+
+
+def inline_pair(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, OLD_TEXT, NEW_TEXT)], "pair_id long, old string, new string")
+
+
+@query("""SELECT * FROM (VALUES ('addition', 'Extra', NULL), ('deletion', 'gone', NULL), ('modification', 'greet', 'string_only'), ('modification', 'stays', 'structural')) t(change, name, classification)""")
+def js_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.compare(inline_pair(spark))[1].select("change", "name", "classification")
+
+
+@query("SELECT * FROM (VALUES ('area', 'a', 'accepted'), ('greet', 'greet', 'accepted'), ('stays', 'stays', 'abstained'), ('z', 'z', 'accepted')) t(name_old, name_new, decision)")
+def js_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names are no signal: a changed body too near to others makes a symbol abstain."""
+    matches, _, _ = lineage.trace(inline_pair(spark))
+    return matches.where("name_old IN ('area', 'greet', 'stays', 'z')").select("name_old", "name_new", "decision")
+
+
+@query("""SELECT * FROM (VALUES ('a', 'read', 'resolved', 'parameter'), ('t', 'read_write', 'resolved', 'let'), ('g', 'call', 'unresolved', NULL), ('t', 'read', 'resolved', 'let'), ('f', 'construct', 'resolved', 'function'), ('t', 'read', 'resolved', 'variable'), ('t', 'write', 'resolved', 'variable')) t(name, role, resolution, kind)""")
+def js_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = javascript.analyze(spark.createDataFrame([("f", "var t=1;function f(a){let t=a;t+=1;return g(t)}new f(t);t=2")], "file_id string, source string"), ["references", "symbols"])
+    symbols = javascript.rows_of(made, "symbols", ["file_id"]).select("file_id", "symbol_ix", "kind")
+    return javascript.rows_of(made, "references", ["file_id"]).join(symbols, ["file_id", "symbol_ix"], "left").select("name", "role", "resolution", "kind")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n")
+def js_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both inline texts and all scripts of pages keep the rules of an analysis."""
+    own = spark.createDataFrame([("old", OLD_TEXT), ("new", NEW_TEXT)], "file_id string, source string")
+    files = own.unionByName(page_scripts(spark, sf_dir).select(F.col("page_id").cast("string").alias("file_id"), "source"))
+    made = M.cut(javascript.analyze(files), "analysis")
+    tables = {t: javascript.rows_of(made, t, ["file_id"]) for t in ("nodes", "scopes", "symbols", "references", "calls")}
+    return integrity.violations(tables, ["file_id"]).agg(F.count(F.lit(1)).alias("n"))
+
+
+MAP_TEXT = '{"version":3,"sources":["a.js"],"names":[],"mappings":"IAAA,KACE,AAIG;;AAEL"}'
+
+
+@query("SELECT * FROM (VALUES (0, 0, 'unmapped', NULL, NULL), (0, 5, 'mapped', 0, 0), (0, 100, 'ambiguous', 1, 2), (0, 100, 'ambiguous', 5, 5), (1, 3, 'ambiguous', 1, 2), (1, 3, 'ambiguous', 5, 5), (2, 1, 'mapped', 7, 0)) t(line, \"column\", status, orig_line, orig_col)")
+def js_map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_ = maps.segments(spark.createDataFrame([("m", MAP_TEXT)], "map_id string, json string"))
+    asked = spark.createDataFrame([("m", 0, 0), ("m", 0, 5), ("m", 0, 100), ("m", 1, 3), ("m", 2, 1)], "map_id string, line long, column long")
+    return maps.lookup(asked, table_).select("line", "column", "status", "orig_line", "orig_col")
+
+
+@query("SELECT * FROM (VALUES ('s1', 'approved', 'total'), ('s2', 'suggested', 'count')) t(symbol_id, state, name)")
+def js_name_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.createDataFrame([], names.EVENT)
+    for asked in ([("d", "s1", "suggested", "total", "review", "me"), ("d", "s2", "suggested", "count", "review", "me")], [("d", "s1", "approved", None, "review", "me")]):
+        rows = spark.createDataFrame(asked, "doc_id string, symbol_id string, new_state string, new_name string, origin string, actor string")
+        events = M.cut(events.unionByName(names.apply_requests(events, rows)), "events")
+    return names.current(events).select("symbol_id", "state", "name")
+
+
+@query("SELECT 'function fn(param_0, param_1) ' || chr(123) || chr(10) || '  return param_0 + param_1' || chr(10) || chr(125) || chr(10) AS text")
+def js_canonical_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text under canonical names, formatted; the function's own name, which holds a hash, reads fn."""
+
+    def run(frames):
+        for frame in frames:
+            frame["text"] = [re.sub(r"fn_[0-9a-f]+", "fn", js_rewrite.pretty(js_rewrite.canonicalize(t)[0])) for t in frame["text"]]
+            yield frame
+
+    return spark.createDataFrame([("function f(a,b){return a+b}",)], "text string").mapInPandas(run, "text string")
