@@ -6,6 +6,7 @@ import hashlib
 
 from cambium.functions.js_analysis import FUNCTIONS, Bindings, hash64
 from cambium.functions.js_parser import Node, parse
+from cambium.functions.sourcemap import positions
 
 ROLES = ["read", "write", "read_write", "call", "construct", "export"]
 _CONTAINERS = FUNCTIONS | {"class_declaration", "class_expression", "variable_declarator", "import_statement", "catch_clause", "for_in_statement"}
@@ -55,7 +56,7 @@ def _fingerprints(root: Node) -> dict[int, tuple[str, int, int]]:
     return out
 
 
-COLUMNS = "symbol_ix int, symbol_id string, name string, kind_class string, scope_kind string, depth int, shape string, shape_hash bigint, context_hash bigint, size int, roles array<int>, features array<bigint>"
+COLUMNS = "symbol_ix int, symbol_id string, name string, kind_class string, scope_kind string, depth int, shape string, shape_hash bigint, context_hash bigint, size int, roles array<int>, features array<bigint>, gen_line int, gen_column int"
 
 
 def contexts(text: str) -> list[tuple]:
@@ -68,6 +69,8 @@ def contexts(text: str) -> list[tuple]:
         if symbol is not None:
             uses.setdefault(symbol, []).append((n, how))
     rows = []
+    offsets = [tree.byte(s.node.start) for s in b.symbols]
+    places = positions(text, offsets)
     for k, s in enumerate(b.symbols):
         box = container(s.node)
         shape, shape_hash, size = prints[id(box)]
@@ -94,5 +97,5 @@ def contexts(text: str) -> list[tuple]:
                 found.add(hash64(n.kind, tree.of(n)))
         features = sorted(found)
         symbol_id = hashlib.sha256(f"{k}|{s.kind}|{shape}".encode()).hexdigest()
-        rows.append((k, symbol_id, s.name, KIND_CLASS[s.kind], b.scopes[s.scope].kind, b.scopes[s.scope].depth, shape, shape_hash, vote(features), size, roles, features))
+        rows.append((k, symbol_id, s.name, KIND_CLASS[s.kind], b.scopes[s.scope].kind, b.scopes[s.scope].depth, shape, shape_hash, vote(features), size, roles, features, *places[k]))
     return rows

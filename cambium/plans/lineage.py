@@ -13,6 +13,7 @@ from cambium.functions import hashing as H
 from cambium.functions import js_context
 from cambium.operators import matching as M
 from cambium.operators import similarity as S
+from cambium.sources import maps
 
 
 @dataclass(frozen=True)
@@ -41,6 +42,18 @@ def contexts(pairs: DataFrame) -> DataFrame:
     return M.cut(made.withColumn("id", F.struct("pair_id", "symbol_ix")), "contexts")
 
 
+def origins(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """rows (contexts) with origin: a digest of where their side's source map puts them, null where it doesn't say.
+
+    segments: of maps named pair_id, a colon, and the side. Digests hide the original paths.
+    """
+    asked = rows.select(F.concat_ws(":", "pair_id", "side").alias("map_id"), F.col("gen_line").cast("long").alias("line"), F.col("gen_column").cast("long").alias("column")).distinct()
+    found = maps.lookup(asked, segments).where("status = 'mapped' AND source IS NOT NULL")
+    digest = H.digest_id("origin", F.col("source"), F.col("orig_line"), F.col("orig_col"))
+    found = found.select("map_id", F.col("line").alias("gen_line"), F.col("column").alias("gen_column"), digest.alias("origin"))
+    return rows.withColumn("map_id", F.concat_ws(":", "pair_id", "side")).join(found, ["map_id", "gen_line", "gen_column"], "left").drop("map_id")
+
+
 def candidates(old: DataFrame, new: DataFrame, c: Config) -> DataFrame:
     """(i1, i2, vote, exact): unique shapes, rare shared features, bands of two similarity hashes, and for symbols
     without any of these the nearest sizes. Caps on postings and candidates are the operator's contract."""
@@ -56,6 +69,10 @@ def candidates(old: DataFrame, new: DataFrame, c: Config) -> DataFrame:
 
     near = S.posting_votes(bands(old), bands(new), [*group, "key"], max(64, 8 * c.max_candidates)).select("i1", "i2", F.lit(0).cast("long").alias("vote"), F.lit(False).alias("exact"))
     some = exact.unionByName(rare).unionByName(near)
+    if "origin" in old.columns:  # equal origins come first; other candidates stay
+        place = lambda t: t.where("origin IS NOT NULL").select("id", "pair_id", F.col("origin").alias("key"))
+        same = S.posting_votes(place(old), place(new), ["pair_id", "key"], max(64, 8 * c.max_candidates))
+        some = some.unionByName(same.select("i1", "i2", F.lit(65_535).cast("long").alias("vote"), F.lit(False).alias("exact")))
     lonely = old.join(some.select(F.col("i1").alias("id")).distinct(), "id", "left_anti")
     sizes = _nearest(lonely, new, 2 * c.max_candidates).select("i1", "i2", F.lit(0).cast("long").alias("vote"), F.lit(False).alias("exact"))
     return some.unionByName(sizes).groupBy("i1", "i2").agg(F.max("vote").alias("vote"), F.max("exact").alias("exact"))
@@ -70,14 +87,16 @@ def _nearest(old: DataFrame, new: DataFrame, k: int) -> DataFrame:
     return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(F.col("id").alias("i1"), "i2")
 
 
-def trace(pairs: DataFrame, c: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def trace(pairs: DataFrame, c: Config = Config(), segments: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matches, targets, stats) of pairs (pair_id, old, new).
 
     matches: a row for each old symbol with its best candidate, decision (accepted or abstained), confidence and scores.
     An exact shape that either side has once is accepted whatever its score; other pairs need the score, both margins,
-    and an untruncated candidate list. targets: accepted, ambiguous (a candidate of something) or added.
+    and an untruncated candidate list. segments of source maps, if given, put candidates of one origin first. targets: accepted, ambiguous (a candidate of something) or added.
     """
     rows = contexts(pairs)
+    if segments is not None:
+        rows = M.cut(origins(rows, segments), "origins")
     old, new = rows.where("side = 'old'"), rows.where("side = 'new'")
     keep = ["id", "name", "symbol_id", "kind_class", "scope_kind", "depth", "shape_hash", "context_hash", "size", "roles"]
     l, r = (t.select(*[F.col(k).alias(f"{k}_{s}") for k in keep]) for t, s in ((old, "s"), (new, "t")))
@@ -107,3 +126,23 @@ def trace(pairs: DataFrame, c: Config = Config()) -> tuple[DataFrame, DataFrame,
     other = targets.groupBy("pair_id").agg(F.count_if(F.col("target") == "added").alias("added"), F.count_if(F.col("target") == "ambiguous").alias("ambiguous"))
     stats = counts.join(pairs_scored, "pair_id", "left").join(other, "pair_id", "full_outer").fillna(0)
     return matches, targets, stats
+
+
+def violations(pairs: DataFrame, matches: DataFrame, targets: DataFrame, c: Config = Config()) -> DataFrame:
+    """(pair_id, rule) that a lineage of pairs breaks: each target accepted once, accepted rows within the limits, every
+    target accounted for, and the same rows when it is computed again. Empty for a sound one."""
+    accepted = matches.where("decision = 'accepted'")
+    pair = F.col("i1.pair_id").alias("pair_id")
+    found = [
+        accepted.groupBy("i2").count().where("count > 1").select(F.col("i2.pair_id").alias("pair_id"), F.lit("target accepted twice").alias("rule")),
+        accepted.where((F.col("confidence") != "exact") & ((F.col("score") < c.least_score) | (F.col("source_margin") < c.least_margin) | (F.col("target_margin") < c.least_margin))).select(pair, F.lit("accepted under the limits").alias("rule")),
+        accepted.join(targets.where("target = 'accepted'").select(F.col("id").alias("i2")), "i2", "left_anti").select(pair, F.lit("target is not accounted for").alias("rule")),
+    ]
+    again, _, _ = trace(pairs, c)
+    columns = ["i1", "i2", "score", "decision", "confidence"]
+    for one, other, rule in ((matches, again, "row is not recomputed"), (again, matches, "recomputed row is missing")):
+        found.append(one.select(*columns).exceptAll(other.select(*columns)).select(pair, F.lit(rule).alias("rule")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out

@@ -5,8 +5,8 @@ from pyspark.errors import PySparkException
 
 from cambium.functions import js_rewrite, sourcemap
 from cambium.operators import names
-from cambium.plans import lineage
-from cambium.sources import maps
+from cambium.plans import lineage, review
+from cambium.sources import javascript, maps
 
 
 def traced(spark, old, new):
@@ -127,3 +127,28 @@ def test_render():
     for bad in ([(7, 8, "b", "x")], [(4, 6, "é", "x"), (5, 7, "", "y")], [(7, 8, "a", "1 1")]):
         with pytest.raises(ValueError):
             js_rewrite.render("var é=a+1", bad)
+
+
+def test_origins_put_candidates_first_and_lineage_is_checked(spark):
+    pairs = spark.createDataFrame([(1, OLD, NEW)], "pair_id long, old string, new string")
+    table = maps.segments(spark.createDataFrame([("1:old", basic([(0, 9, 0, 3, 0)])), ("1:new", basic([(0, 9, 0, 3, 0)]))], "map_id string, json string"))
+    rows = lineage.origins(lineage.contexts(pairs), table)
+    held = {(r.side, r.name): r.origin for r in rows.collect()}
+    assert held["old", "area"] == held["new", "a"] is not None and len(held["old", "area"]) == 64
+    matches, targets, _ = lineage.trace(pairs, segments=table)
+    assert {r.name_old: r.name_new for r in matches.where("decision = 'accepted'").collect()}["area"] == "a"
+    matches, targets, _ = lineage.trace(pairs)
+    assert lineage.violations(pairs, matches, targets).count() == 0
+    from pyspark.sql import functions as F
+
+    assert lineage.violations(pairs, matches.withColumn("decision", F.lit("accepted")), targets).count() > 0
+
+
+def test_review_entries(spark):
+    text = "var t=1;function f(a){return a+t}" + "f(1);" * 20
+    made = javascript.analyze(spark.createDataFrame([("x", text)], "file_id string, source string"))
+    tables = {t: javascript.rows_of(made, t, ["file_id"]) for t in ("nodes", "scopes", "symbols", "references", "calls")}
+    got = {r.name: r for r in review.entries(tables, ["file_id"], generated=True).collect()}
+    assert (got["f"].references, got["f"].call, got["f"].direct_calls, len(got["f"].call_contexts), got["f"].call_contexts_truncated) == (20, 20, 20, 16, True)
+    assert got["a"].read == 1 and got["a"].ancestors == ["formal_parameters", "function_declaration", "program"] and got["t"].direct_calls == 0
+    assert "name" not in review.entries(tables, ["file_id"]).columns
