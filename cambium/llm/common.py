@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -94,6 +97,14 @@ def ranked(scratch: Scratch, df: DataFrame, keys: list[str], order: list[str], n
     return joined.withColumn(rank, (F.col(base) + F.col(at)).cast("long")).drop(part, at, base)
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system; the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another libc
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batches with about limit bytes of text each; a longer text is a slice of its own. Nulls become empty."""
     for batch in batches:
@@ -111,6 +122,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             total += int(size)
         if start < batch.num_rows:
             yield batch.slice(start)
+    trim()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

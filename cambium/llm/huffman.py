@@ -23,6 +23,8 @@ from cambium.llm.common import Scratch, text_slices
 
 #: Ids after which a block is closed, ids between checkpoints, and the greatest code length if the vocabulary allows it.
 BLOCK, EVERY, LONGEST = 1 << 16, 256, 20
+#: Word pieces that a worker remembers while it writes a corpus.
+MEMORY = 1_000_000
 BLOCKS = "first_start long, n_ids long, payload binary, checkpoints array<int>, doc_ids array<long>, starts array<long>, sizes array<long>"
 
 
@@ -133,7 +135,7 @@ def write_corpus(spark: SparkSession, docs: DataFrame, folder: str, path: str |
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, done = tokens.encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, done = tokens.encoder(path, MEMORY), TaskContext.get().partitionId(), 0
         tail = np.array([end_id], np.uint32).tobytes()
         for batch in text_slices(batches):
             made = [x + tail for x in enc.ids(batch.column(1).to_pylist())]

@@ -17,8 +17,8 @@ import numpy as np
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _OTHER = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]")
-#: Pieces that a worker remembers (about 230 bytes each), and the longest one that it does.
-MEMORY, LONGEST = 1_000_000, 64
+#: Pieces that a worker remembers by default (about 160 bytes each), and the longest one that it does.
+MEMORY, LONGEST = 300_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,8 +31,9 @@ def _byte_letters() -> dict[int, str]:
 class _Known(dict):
     """Bytes of the ids of a piece; one that is missing is encoded, and kept unless it is long."""
 
-    def __init__(self, model):
+    def __init__(self, model, memory: int):
         super().__init__()
+        self.memory = memory
         self.tokenize, self.letters = model.tokenize, _byte_letters()
 
     def __missing__(self, x: str) -> bytes:
@@ -44,22 +45,22 @@ class _Known(dict):
 
     def shrink(self) -> None:
         """Forgets longer pieces once there are too many, and all where that isn't enough."""
-        if len(self) > MEMORY:
+        if len(self) > self.memory:
             short = {k: v for k, v in self.items() if len(k) <= 8}
             self.clear()
-            if len(short) <= MEMORY // 2:
+            if len(short) <= self.memory // 2:
                 self.update(short)
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.known = _Known(self.model)
+        self.known = _Known(self.model, memory)
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         split = made.get("pre_tokenizer") or {}
@@ -88,10 +89,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """One for each worker process; path names a file that every machine has."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, memory)
+    _encoders[path].known.memory = memory
     return _encoders[path]
 
 

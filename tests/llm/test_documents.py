@@ -123,9 +123,8 @@ def test_encoder_equals_the_library():
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() for b in e.ids(texts)] == [w.ids for w in want]
     e.known.clear()
-    tokens.MEMORY, kept = 10, tokens.MEMORY
+    e.known.memory = 10
     assert [np.frombuffer(b, "<u4").tolist() for b in e.ids(texts)] == [w.ids for w in want]
-    tokens.MEMORY = kept
 
 
 @settings(max_examples=60, deadline=None)
