@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cambium.llm import stats
-from cambium.llm.common import Scratch, fresh
+from cambium.llm.common import Scratch, fresh, text_slices
 
 D = len(stats.FEATURES)
 #: Share of the pooled covariance in each class's, and of the identity in that (statistics are standardised before).
@@ -113,12 +113,22 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, columns: list
     """
     keep = list(columns or docs.columns)
     names = fresh(docs, "held_out", "score", "predicted")
-    vector = fresh(docs, "features")[0]
+    vector, held = fresh(docs, "features", "held")
     kind = pa.list_(pa.float64())
-    made = Scratch(spark, "quality").table(docs.select(*dict.fromkeys([*keep, "doc_id", text])).mapInArrow(_with_features(keep, text, vector, kind), T.StructType([*[docs.schema[c] for c in dict.fromkeys([*keep, "doc_id"])], T.StructField(vector, T.ArrayType(T.DoubleType()))])), "features")
+    # Statistics are kept without the texts. Where the result carries texts, they are read once more for it.
+    light = [c for c in keep if c != text]
+    columns = list(dict.fromkeys([*light, "doc_id"]))
+
+    def featured(columns: list[str]) -> DataFrame:
+        schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField(vector, T.ArrayType(T.DoubleType()))])
+        return docs.select(*dict.fromkeys([*columns, text])).mapInArrow(_with_features(columns, text, vector, kind), schema)
+
+    made = Scratch(spark, "quality").table(featured(columns if light == keep else ["doc_id"]), "features")
     marks = labels.select(F.col("doc_id").cast("long").alias("labelled_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out("labelled_id"))
     known = made.select(F.col("doc_id").alias("known_id"), F.col(vector).alias("features")).join(marks, F.col("known_id") == F.col("labelled_id"))
     model = fit(moments(known.select("label", "features")))
+    if light != keep:
+        made = featured(list(dict.fromkeys([*keep, "doc_id"])))
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,17 +136,14 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, columns: list
             x = batch.column(batch.schema.get_field_index(vector)).flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
             m = shared.value
             s = m.scores(x) if isinstance(m, Model) else np.full(len(x), m)
-            yield pa.record_batch([*(batch.column(c) for c in keep), batch.column("__held"), pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=[*keep, *names])
+            yield pa.record_batch([*(batch.column(c) for c in keep), batch.column(batch.schema.get_field_index(held)), pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=[*keep, *names])
 
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(names[0], T.BooleanType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.IntegerType())])
-    return made.withColumn("__held", held_out("doc_id")).mapInArrow(scored, schema), names
-
+    return made.withColumn(held, held_out("doc_id")).mapInArrow(scored, schema), names
 
-def _with_features(keep: list[str], text: str, vector: str, kind: pa.DataType):
-    from cambium.llm.common import text_slices
 
+def _with_features(columns: list[str], text: str, vector: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = list(dict.fromkeys([*keep, "doc_id"]))
         for batch in text_slices(batches, text):
             made = [stats.features(x.encode("utf-8")) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(made, kind)], names=[*columns, vector])

@@ -92,13 +92,20 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, columns: list
     inner = [*stats.RULE_NAMES, "base_failed", "kept", *[f"by_{r}" for r in RULES]]
     names = dict(zip(inner, fresh(docs, *inner), strict=True))
     scratch = Scratch(spark, "rules")
-    payload = docs.select(F.struct(*keep).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang_or_empty"), F.col("lang").isNull().alias("no_lang"), F.col("text").cast("string").alias("text"))
-    fields = [*payload.schema.fields[:-1], *[T.StructField(n, T.LongType()) for n in stats.RULE_NAMES]]
-    counted = payload.mapInArrow(stats.over_texts(stats.rule_counts, [pa.int64()] * len(stats.RULE_NAMES), stats.RULE_NAMES), T.StructType(fields))
-    counted = counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    counted = counted.withColumn("stratum", F.when(F.col("no_lang"), "no language").otherwise(F.concat(F.lit("language "), F.col("lang_or_empty"))))
-    counted = scratch.table(counted.select("*", *[c.alias(f"s_{r}") for c, r in zip(steps(), RULES, strict=True)]), "counted")
-    cuts = scratch.table(thresholds(scratch, counted, labels, risk, level), "cutoffs")
+
+    def counted(row: list[str]) -> DataFrame:
+        payload = docs.select(F.struct(*row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang_or_empty"), F.col("lang").isNull().alias("no_lang"), F.col("text").cast("string").alias("text"))
+        fields = [*payload.schema.fields[:-1], *[T.StructField(n, T.LongType()) for n in stats.RULE_NAMES]]
+        rows = payload.mapInArrow(stats.over_texts(stats.rule_counts, [pa.int64()] * len(stats.RULE_NAMES), stats.RULE_NAMES), T.StructType(fields))
+        rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+        rows = rows.withColumn("stratum", F.when(F.col("no_lang"), "no language").otherwise(F.concat(F.lit("language "), F.col("lang_or_empty"))))
+        return rows.select("*", *[c.alias(f"s_{r}") for c, r in zip(steps(), RULES, strict=True)])
+
+    # Counts are kept without the texts. Where the result carries texts, they are read once more for it.
+    light = "text" not in keep
+    known = scratch.table(counted(keep if light else ["doc_id"]), "counted")
+    cuts = scratch.table(thresholds(scratch, known, labels, risk, level), "cutoffs")
+    counted = known if light else counted(keep)
     judged = counted.join(cuts, "stratum", "left")  # one row a stratum: Spark broadcasts it only where it is small
     by = [(F.col(f"s_{r}") > F.coalesce(F.col(f"c_{r}"), F.lit(STEPS))).alias(names[f"by_{r}"]) for r in RULES]
     verdict = ~F.col("base_failed")
