@@ -6,7 +6,7 @@ least ceil(t/(1+t)*(n+m)) >= ceil(t*n) shingles. So for any one order of all shi
 repeat opens no tile for them. A tile is a shared prefix shingle and a band of sizes.
 
 What is never done: pairs within a group. Sets that are equal are one class. In each tile every class is first held
-against the tile's least class alone (a star), which joins near copies in as many comparisons as there are members; only
+against one class of the tile alone (a star), which joins near copies in as many comparisons as there are members; only
 tiles that then still hold several components are compared in pairs, and only across components, behind the bitmaps.
 """
 
@@ -17,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cambium.llm import words
-from cambium.llm.common import Scratch, fresh, text_slices
+from cambium.llm.common import Scratch, fresh, text_slices, trim
 from cambium.llm.components import components
 
 #: Shingles whose hash lies under this share of all hashes are counted over all classes; those in more than HOT classes
@@ -107,6 +107,7 @@ def _prefixes(percent: int, hot: np.ndarray):
             take = np.flatnonzero(place < prefix_size(sizes, percent)[row])
             columns = [ordered[take], ids[row[take]], sizes[row[take]].astype(np.int32), place[take].astype(np.int32), np.where(place[take] > 0, before[take], -ids[row[take]] - 1)]
             yield pa.record_batch([pa.array(x) for x in columns], names=["h", "c", "n", "place", "before"])
+        trim()
 
     return run
 
@@ -137,6 +138,7 @@ def _linked(percent: int):
                 both = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y)) if len(x) and len(y) else 0
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     return run
 
@@ -224,9 +226,14 @@ def _verify(scratch: Scratch, rows: DataFrame, pairs: DataFrame, n: int, percent
 
 def _links(scratch: Scratch, rows: DataFrame, classes: DataFrame, prefixes: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, component) of the classes that link with another."""
-    posted = scratch.table(prefixes, "posted")
-    tiles = posted.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "c")).alias("least")).where("k > 1")
-    posted = scratch.table(posted.join(tiles.select("h", F.col("least.c").alias("o"), F.col("least.n").alias("m")), "h"), "tiles")
+    # One shuffle by shingle: the window counts a tile's classes. The class of a tile whose shingles the most classes share
+    # is its centre: the text that others were copied from, if there is one, so that most copies link with it.
+    tile = Window.partitionBy("h")
+    posted = scratch.table(prefixes.withColumn("k", F.count(F.lit(1)).over(tile)).where("k > 1"), "posted")
+    scratch.release()
+    shared = posted.groupBy("c").agg(F.sum("k").alias("pop"))
+    posted = posted.join(shared, "c").withColumn("centre", F.max(F.struct("pop", "n", "c")).over(tile))
+    posted = scratch.table(posted.select("h", "c", "n", "place", "before", F.col("centre.c").alias("o"), F.col("centre.n").alias("m")), "tiles")
     scratch.drop("posted")
     scratch.release()
 
@@ -241,10 +248,9 @@ def _links(scratch: Scratch, rows: DataFrame, classes: DataFrame, prefixes: Data
     # What is left: tiles that hold several components. A pair is taken where its first common shingle stands, as far as
     # the shingles right before tell (equal ones are an earlier common shingle); there the places bound the overlap too.
     labelled = posted.select("h", "c", "n", "place", "before").join(found.select(F.col("node").alias("c"), F.col("component").alias("g")), "c", "left").withColumn("g", F.coalesce("g", "c"))
-    labelled = scratch.table(labelled, "labelled")
-    open_ = labelled.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("h")
-    tile = scratch.table(labelled.join(open_, "h", "left_semi").join(classes.select("c", "map"), "c"), "open")
-    scratch.drop("labelled", "tiles")
+    open_ = labelled.withColumn("lo", F.min("g").over(tile)).withColumn("hi", F.max("g").over(tile)).where("lo < hi").drop("lo", "hi")
+    tile = scratch.table(open_.join(classes.select("c", "map"), "c"), "open")
+    scratch.drop("tiles")
     scratch.release()
     # Of a pair's smaller set, the place bound leaves only the first 1 - 2p/(1+p) of its shingles.
     small = tile.where((100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n")).withColumn("band", _band(F.col("n"), percent)).alias("a")
