@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a statistic of a text that rejects above a cutoff. Labelled holdouts choose the cutoffs. In each stratum (the
-language) and for each rule, cutoffs are tested from the loosest on: is the share of good documents that the cutoff
-rejects under RISK / rules? The test is exact: the binomial probability of as few rejections at that share. The first
-cutoff that fails ends the sequence, so the tests of one sequence need no correction; those of different rules and strata
-share the error LEVEL evenly (Bonferroni). With probability 1 - LEVEL, no stratum therefore loses more than RISK of its
-good documents. Where the holdout is too small to show that, the rule rejects nothing in that stratum.
+Each rule is a statistic of a text that rejects above a cutoff. Labelled holdouts choose the cutoffs of all rules together,
+along one path: a position allows each rule the same multiple of its width above its middle. Middles (median) and widths
+(up to the share 1 - RISK / 2) come from every PILOT-th good label by hash, whatever its stratum; the path is then fixed,
+and the other good labels test it. In each stratum (the language) positions are tested from the loosest on: is the share of
+good documents that the rules together reject under RISK? The test is exact: the binomial probability of as few rejections
+at that share. The first position that fails ends the sequence, so the tests of one sequence need no correction; strata
+share the error LEVEL evenly (Bonferroni). Strata too small to prove even no rejection are tested as one pool. With
+probability 1 - LEVEL, no stratum with a test of its own, and not the pool as a whole, therefore loses more than RISK of its
+good documents. Where the pool is too small as well, and in strata without good labels, the rules reject nothing.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from cambium.llm.common import Scratch, fresh
 RISK, LEVEL = 0.02, 0.05
 #: Steps of a statistic; cutoffs are whole steps.
 STEPS = 1000
+#: One good label in PILOT scales the path; a rule's width is MARGIN steps at least, and a position a PARTS-th of a width.
+PILOT, MARGIN, PARTS = 8, 10, 100
 RULES = ["symbols", "dup_lines", "repeats", "long_words", "short_words"]
 
 
@@ -50,7 +55,7 @@ def log_cdf(k: int, n: int, p: float) -> float:
 def cutoff(counts: dict[int, int], risk: float, level: float) -> int:
     """Least cutoff of the fixed sequence STEPS, STEPS - 1, ...: statistics above it are rejected. STEPS rejects nothing."""
     n, rejected, best = sum(counts.values()), 0, STEPS
-    if not n or n * math.log1p(-risk) > math.log(level):  # not even no rejection would prove it
+    if not n or not provable(n, risk, level):
         return best
     for c in range(STEPS - 1, -1, -1):
         more = counts.get(c + 1, 0)
@@ -61,22 +66,54 @@ def cutoff(counts: dict[int, int], risk: float, level: float) -> int:
     return best
 
 
+def provable(n: int, risk: float, level: float) -> bool:
+    """No rejection at all among n would prove the risk."""
+    return n * math.log1p(-risk) <= math.log(level)
+
+
+def scale(counts: dict[int, int], risk: float) -> tuple[int, int]:
+    """Middle and width of a statistic; without counts, the whole range."""
+    n, seen, middle = sum(counts.values()), 0, None
+    for step in sorted(counts):
+        seen += counts[step]
+        if middle is None and 2 * seen >= n:
+            middle = step
+        if seen >= (1 - risk / 2) * n:
+            return middle, max(MARGIN, step - middle)
+    return 0, STEPS
+
+
+def on_path(position: int, middle: int, width: int) -> int:
+    """The cutoff at a position: the largest statistic whose own position is no higher."""
+    return STEPS if position >= STEPS else min(STEPS, middle + ((position + 1) * width - 1) // PARTS)
+
+
 def thresholds(scratch: Scratch, counted: DataFrame, labels: DataFrame, risk: float, level: float) -> DataFrame:
     """(stratum, one cutoff for each rule)."""
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("labelled_id")).distinct()
     rows = counted.where(~F.col("base_failed")).join(good, F.col("id") == F.col("labelled_id"), "left_semi")
-    long = rows.select("stratum", F.posexplode(F.array(*[F.col(f"s_{r}") for r in RULES])).alias("rule", "step"))
-    sums = scratch.table(long.groupBy("stratum", "rule", "step").count(), "histogram")
-    tests = max(1, sums.select("stratum").distinct().count()) * len(RULES)
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:  # RULES * (STEPS + 1) rows at most
-        out = {"stratum": part["stratum"].iloc[0]}
-        for k, rule in enumerate(RULES):
-            own = part[part["rule"] == k]
-            out[f"c_{rule}"] = cutoff(dict(zip(own["step"], own["count"], strict=True)), risk / len(RULES), level / tests)
-        return pd.DataFrame([out])
-
-    return sums.groupBy("stratum").applyInPandas(choose, "stratum string, " + ", ".join(f"c_{r} int" for r in RULES))
+    rows = scratch.table(rows.select("stratum", *[f"s_{r}" for r in RULES], (F.pmod(F.xxhash64("id"), F.lit(PILOT)) == 0).alias("pilot")), "labelled")
+    long = rows.where("pilot").select(F.posexplode(F.array(*[F.col(f"s_{r}") for r in RULES])).alias("rule", "step"))
+    pilot: dict[int, dict[int, int]] = {k: {} for k in range(len(RULES))}
+    for r in long.groupBy("rule", "step").count().collect():  # RULES * (STEPS + 1) rows at most
+        pilot[r["rule"]][r["step"]] = r["count"]
+    scales = [scale(pilot[k], risk) for k in range(len(RULES))]
+
+    position = F.greatest(F.lit(0), *[F.floor((F.col(f"s_{r}") - m) * PARTS / w) for r, (m, w) in zip(RULES, scales, strict=True)])
+    sums = rows.where("not pilot").groupBy("stratum", F.least(F.lit(STEPS), position).cast("int").alias("position")).count()
+    sums = scratch.table(sums, "histogram")
+    sized = sums.groupBy("stratum").agg(F.sum("count").alias("n"))
+    own = F.col("n") * F.lit(math.log1p(-risk)) <= F.lit(math.log(level / (sized.count() + 1)))  # as provable
+    sized = scratch.table(sized.select("stratum", F.when(own, F.col("stratum")).otherwise("").alias("unit")), "units")  # "": the pool
+    tests = max(1, sized.select("unit").distinct().count())
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:  # STEPS + 1 rows at most
+        c = cutoff(dict(zip(part["position"], part["count"], strict=True)), risk, level / tests)
+        return pd.DataFrame([{"unit": part["unit"].iloc[0]} | {f"c_{r}": on_path(c, m, w) for r, (m, w) in zip(RULES, scales, strict=True)}])
+
+    units = sums.join(sized, "stratum").groupBy("unit", "position").agg(F.sum("count").alias("count"))
+    cuts = units.groupBy("unit").applyInPandas(choose, "unit string, " + ", ".join(f"c_{r} int" for r in RULES))
+    return sized.join(cuts, "unit").drop("unit")
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, columns: list[str] | None = None, risk: float = RISK, level: float = LEVEL) -> tuple[DataFrame, dict[str, str]]:

@@ -108,6 +108,41 @@ def test_rules_reject_junk_and_keep_good(spark):
     assert len(kept & set(range(3000))) >= 2940 and not kept & set(range(5000, 5020))
 
 
+def test_rules_reject_junk_in_small_strata(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(n))
+    sizes = {"en": 700, "es": 330, "pl": 150, "cs": 150, "tr": 40}  # the last three are one pool
+    rows, labels, junk = [], [], set()
+    for lang, n in sizes.items():
+        for _ in range(n):
+            labels.append((len(rows), 1, 0))
+            rows.append((len(rows), say(80), lang))
+        for _ in range(20):
+            junk.add(len(rows))
+            rows.append((len(rows), say(80).replace(" ", "# "), lang))
+    junk_none = {len(rows) + k for k in range(5)}  # a language without labels: nothing is proven, nothing rejected
+    rows += [(i, say(80).replace(" ", "# "), "xx") for i in sorted(junk_none)]
+    out, _ = rules.judge(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kept = {r.doc_id for r in out.where("kept").collect()}
+    assert not kept & junk and junk_none <= kept
+    for lang in ("en", "es"):
+        good = {i for i, _, x in rows if x == lang} - junk
+        assert len(good & kept) >= (1 - rules.RISK) * len(good)
+    pool = {i for i, _, x in rows if x in ("pl", "cs", "tr")} - junk
+    assert len(pool & kept) >= (1 - rules.RISK) * len(pool)
+
+
+def test_path_of_cutoffs():
+    assert rules.scale({}, 0.02) == (0, rules.STEPS) and rules.scale({0: 500}, 0.02) == (0, rules.MARGIN)
+    assert rules.scale({0: 60, 100: 38, 130: 1, 900: 1}, 0.02) == (0, 130)
+    for m, w in ((0, 10), (746, 43), (99, 333)):
+        for c in (0, 7, 150, 999):
+            cut = rules.on_path(c, m, w)
+            below = [s for s in range(rules.STEPS + 1) if math.floor((s - m) * rules.PARTS / w) <= c]
+            assert cut == max(below)
+    assert rules.on_path(rules.STEPS, 5, 10) == rules.STEPS
+
+
 def test_rules_on_hard_tables(spark):
     docs, labels = hard_docs(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out, names = rules.judge(spark, docs, labels)
