@@ -3,7 +3,8 @@
 Markup is stripped into lines, one for each block element. A line's weight is the length of its text outside links; lines
 in menus, headers, footers, side bars, notices, adverts, forms and reader comments (by element, role or class) weigh
 nothing and never count as text. Weights are summed over sliding windows of WINDOW lines. A run of text surges where a
-sum reaches SURGE and dives where the sums fall to DIVE; of several runs the one with the most text is the main text.
+sum reaches SURGE and dives where the sums fall to DIVE; it begins with the unlinked lines and headings right before its
+surge. All runs together are the main text, so that a list of links divides an article but ends none.
 Pages that name their article or main element are read within it, where every line belongs to the text.
 """
 
@@ -37,6 +38,7 @@ _BOILER = re.compile(
 )
 _REMARKS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|reply|disqus)(?:$|[\s_-])", re.I)
 _HAS = re.compile(r"\b(?:has|with|no|without)-[\w-]+", re.I)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BODY = re.compile(r"articlebody", re.I)
 
 
@@ -46,6 +48,7 @@ class Line:
     linked: int  # characters of it inside links
     dropped: bool
     article: int  # number of the article or main element around it; 0: none
+    heading: bool
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -64,7 +67,7 @@ def lines(page: str) -> list[Line]:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Line(text, min(linked, len(text)), state[0], state[1]))
+            out.append(Line(text, min(linked, len(text)), state[0], state[1], any(t in _HEADINGS for t, *_ in stack[-4:])))
         pieces.clear()
         linked = 0
 
@@ -129,27 +132,32 @@ def lines(page: str) -> list[Line]:
     return out
 
 
+def runs(found: list[Line]) -> list[Line]:
+    """The lines of all runs between surge and dive."""
+    weight = [len(x.text) - x.linked for x in found]
+    sums = [sum(weight[i : i + WINDOW]) for i in range(len(found))]
+    out: list[Line] = []
+    i = done = 0
+    while i < len(found):
+        if sums[i] < SURGE or not weight[i]:
+            i += 1
+            continue
+        start = i
+        while start > done and (weight[start - 1] or found[start - 1].heading):
+            start -= 1
+        while i < len(found) and sums[i] > DIVE:
+            i += 1
+        out += found[start:i]
+        done = i
+    return out
+
+
 def main_lines(all_lines: list[Line]) -> list[Line]:
-    """The lines between surge and dive of the run with the most text."""
+    """The lines of all runs; where nothing surges, those with text outside links."""
     own = [x for x in all_lines if not x.dropped]
     if found := [x for x in own if x.article]:
         return found
-    weight = [len(x.text) - x.linked for x in own]
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(own))]
-    runs, i = [], 0
-    while i < len(own):
-        if sums[i] < SURGE or not weight[i]:
-            i += 1
-            continue
-        end = i
-        while end < len(own) and sums[end] > DIVE:
-            end += 1
-        runs.append((sum(weight[i:end]), -i, end))
-        i = end
-    if not runs:
-        return [x for x, w in zip(own, weight, strict=True) if w]
-    _, start, end = max(runs)
-    return own[-start:end]
+    return runs(own) or [x for x in own if len(x.text) > x.linked]
 
 
 def main_text(page: str) -> str:

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -300,6 +301,22 @@ def test_html_with_and_without_article():
     assert html.main_text(PAGE % f"<div id=content>{long}<p>Tiny.{long}</div><form>search</form><div class=cookie-notice>We use cookies</div>") == " ".join([("Words that carry on. " * 12).strip(), "Tiny.", ("Words that carry on. " * 12).strip()])
 
 
+LINKS = "<ul>%s</ul>" % "".join(f"<li><a href=/{k}>Another headline of this site, number {k}</a>" for k in range(5))
+PARAGRAPH, SMALLER = "Words that carry on. " * 12, "A smaller part of the same text, still part of it, and long enough to be told as one. "
+
+
+@pytest.mark.parametrize("around", ["<div>%s</div>"])
+def test_html_keeps_all_parts_of_an_article_without_its_link_lists(around):
+    page = PAGE % (around % f"<h1>Title</h1><p>By me<p>{SMALLER}{LINKS}<h2>More</h2><p>{PARAGRAPH}{LINKS}<p>{SMALLER}<p>End.")
+    assert html.main_text(page) == " ".join(f"Title By me {SMALLER} More {PARAGRAPH} {SMALLER} End.".split())
+
+
+@pytest.mark.parametrize("around", ["<div>%s</div>", "<article>%s</article>"])
+def test_html_opening_lines_and_linked_title(around):
+    opening = "<h1><a href=/>Linked title</a></h1><p>By me<p>May<p>One<p>Two<p>Three"
+    assert html.main_text(PAGE % (around % f"{opening}<p>{PARAGRAPH}")) == " ".join(f"Linked title By me May One Two Three {PARAGRAPH}".split())
+
+
 def test_html_on_hard_tables(spark):
     pages = spark.createDataFrame([(1, "u", h, "mine") for h in [None, "", "plain text", "<p", "<script>x", "<!-- a", "<a href='x>y", "<p>" * 3000 + "deep", "&#0;&bogus;&amp"]], "page_id long, url string, html string, text string")
     out, name = html.extract(pages)
