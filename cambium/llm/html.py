@@ -4,8 +4,8 @@ Markup is stripped into lines, one for each block element. A line's weight is th
 in menus, headers, footers, side bars, notices, adverts, forms and reader comments (by element, role or class) weigh
 nothing and never count as text. Weights are summed over sliding windows of WINDOW lines. A run of text surges where a
 sum reaches SURGE and dives where the sums fall to DIVE; it begins with the unlinked lines and headings right before its
-surge. All runs together are the main text, so that a list of links divides an article but ends none.
-Pages that name their article or main element are read within it, where every line belongs to the text.
+surge. All runs together are the main text, so that a list of links divides an article but ends none. Where a page names its
+article or main element, that bounds the runs, and its lines weigh ARTICLE times as much.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from cambium.llm.common import fresh, text_slices
 
-WINDOW, SURGE, DIVE = 3, 80, 0
+WINDOW, SURGE, DIVE, ARTICLE = 3, 80, 0, 4
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -134,7 +134,7 @@ def lines(page: str) -> list[Line]:
 
 def runs(found: list[Line]) -> list[Line]:
     """The lines of all runs between surge and dive."""
-    weight = [len(x.text) - x.linked for x in found]
+    weight = [(len(x.text) - x.linked) * (ARTICLE if x.article else 1) for x in found]
     sums = [sum(weight[i : i + WINDOW]) for i in range(len(found))]
     out: list[Line] = []
     i = done = 0
@@ -153,11 +153,14 @@ def runs(found: list[Line]) -> list[Line]:
 
 
 def main_lines(all_lines: list[Line]) -> list[Line]:
-    """The lines of all runs; where nothing surges, those with text outside links."""
+    """The lines of the runs within the article or main element, else of the page's. Where nothing surges: lines with text
+    outside links, of the element, else of the page."""
     own = [x for x in all_lines if not x.dropped]
-    if found := [x for x in own if x.article]:
-        return found
-    return runs(own) or [x for x in own if len(x.text) > x.linked]
+    bounded = [x for x in own if x.article]
+    for found in (bounded, own):
+        if out := runs(found) or [x for x in found if len(x.text) > x.linked]:
+            return out
+    return bounded
 
 
 def main_text(page: str) -> str:

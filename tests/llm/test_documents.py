@@ -305,12 +305,17 @@ LINKS = "<ul>%s</ul>" % "".join(f"<li><a href=/{k}>Another headline of this site
 PARAGRAPH, SMALLER = "Words that carry on. " * 12, "A smaller part of the same text, still part of it, and long enough to be told as one. "
 
 
-@pytest.mark.parametrize("around", ["<div>%s</div>"])
+@pytest.mark.parametrize("around", ["<div>%s</div>", "<article>%s</article>", "<main>%s</main>"])
 def test_html_keeps_all_parts_of_an_article_without_its_link_lists(around):
     page = PAGE % (around % f"<h1>Title</h1><p>By me<p>{SMALLER}{LINKS}<h2>More</h2><p>{PARAGRAPH}{LINKS}<p>{SMALLER}<p>End.")
     assert html.main_text(page) == " ".join(f"Title By me {SMALLER} More {PARAGRAPH} {SMALLER} End.".split())
 
 
+def test_html_main_around_the_whole_page():
+    page = f"<body><main>{LINKS}<h1>Title</h1><p>Short<p>one<p>{PARAGRAPH}{LINKS}</main></body>"
+    assert html.main_text(page) == " ".join(f"Title Short one {PARAGRAPH}".split())
+
+
 @pytest.mark.parametrize("around", ["<div>%s</div>", "<article>%s</article>"])
 def test_html_opening_lines_and_linked_title(around):
     opening = "<h1><a href=/>Linked title</a></h1><p>By me<p>May<p>One<p>Two<p>Three"
