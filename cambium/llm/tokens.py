@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, with a bounded memory of words that were met before.
 
 Byte-level BPE splits a text by a fixed pattern and then encodes each piece by itself. For texts of ASCII and Latin letters
-the pieces are found by Python's re, and each distinct one goes through the library's BPE model once; all other texts,
-and tokenizers of another build, go through the library's encode_batch whole. Both ways give the same ids.
+the pieces are found by Python's re, and each distinct one goes through the library's BPE model once; all other texts, those
+that hold an added token's content, and tokenizers of another build, go through the library's encode_batch whole. Both ways
+give the same ids.
 """
 
 from __future__ import annotations
@@ -58,7 +59,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.known = _Known(self.model, memory)
         with open(path, encoding="utf-8") as f:
@@ -68,13 +68,14 @@ class Encoder:
             made["model"].get("type") == "BPE" and not made.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
             and not made["model"].get("dropout") and not made["model"].get("ignore_merges") and all(x.get("special") for x in made.get("added_tokens", ()))
         )
+        self.added = [x["content"] for x in made.get("added_tokens", ())]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
         rest, get = [], self.known.__getitem__
         for i, text in enumerate(texts):
-            if not self.by_piece or _OTHER.search(text):
+            if not self.by_piece or _OTHER.search(text) or any(map(text.__contains__, self.added)):
                 rest.append(i)
             else:
                 out[i] = b"".join(map(get, _PIECES.findall(text)))

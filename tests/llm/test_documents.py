@@ -163,6 +163,17 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(b, "<u4").tolist() for b in e.ids(texts)] == [w.ids for w in want]
 
 
+def test_encoder_equals_a_fresh_tokenizer_on_added_tokens():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.default_path())
+    added = [x.content for x in fresh.get_added_tokens_decoder().values()]
+    texts = [f"a {x} b" for x in added] + [f"{x}{x}x" for x in added] + [f"été {x[:-1]} {x}" for x in added] + ["plain text"]
+    assert added
+    e = tokens.Encoder(tokens.default_path())
+    assert [np.frombuffer(b, "<u4").tolist() for b in e.ids(texts)] == [w.ids for w in fresh.encode_batch(texts, add_special_tokens=False)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 10_000), min_size=1, max_size=60), st.integers(6, 12))
 def test_code_lengths(counts, longest):
