@@ -9,7 +9,7 @@ import gc
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows, and bytes, that Spark sends a Python worker at a time: a batch of whole texts is in memory on both sides. A row of
+#: more bytes is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Bytes of text that a Python worker turns into arrays at a time.
 SLICE_BYTES = 1 << 21
 
@@ -30,10 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends workers BATCH_ROWS rows and BATCH_BYTES at a time, or as many as it did if that is less."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
 class Scratch:
     """Parquet tables in the shared folder. A lost executor re-reads them instead of replaying their lineage."""
 
     def __init__(self, spark: SparkSession, label: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(self.close)
@@ -125,6 +137,23 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
     trim()
 
 
+def text_udf(make: Callable[[list[str]], pa.Array], returns: str):
+    """A column function of one text column (null: empty). make turns some texts into as many values.
+
+    Workers get the texts alone and send the values back; the other columns stay in the JVM. It counts as nondeterministic,
+    so that no optimizer rule evaluates it a second time.
+    """
+
+    @F.arrow_udf(returns)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            made = [make(x.column(0).to_pylist()) for x in text_slices(iter([pa.record_batch([texts], names=["text"])]))]
+            yield pa.concat_arrays(made) if made else make([])
+        trim()
+
+    return run.asNondeterministic()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +25,14 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
-def components(scratch: Scratch, edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, component): the least node that each node with an edge reaches. Takes edges (a, b) of longs; loops and repeats are harmless.
 
     A large group costs one row a member and round, not one for each pair. A node without edges has no row.
     """
     edges = scratch.table(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     state = None
-    for k in range(1, most_rounds + 1):
+    for k in count(1):
         stepped = scratch.table(_stars(_stars(edges, True), False), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         edges = stepped
@@ -38,7 +40,5 @@ def components(scratch: Scratch, edges: DataFrame, name: str, most_rounds: int =
         if state == (now.n, now.x):
             break
         state = (now.n, now.x)
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     least = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return least.union(least.select(F.col("component").alias("node"), "component").distinct())

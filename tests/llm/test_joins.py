@@ -38,8 +38,7 @@ def family(rng, size, copies, change):
 
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_components_equal_brute_force(spark, monkeypatch, n, percent):
-    monkeypatch.setattr(jaccard, "HOT", 3)  # so that the order has hot shingles here
+def test_components_equal_brute_force(spark, n, percent):
     rng = random.Random(n)
     shared = " ".join(f"s{k}" for k in range(60))
     texts = ["", None, "a", "a b", "A  B", "a b c", " "]
@@ -51,6 +50,32 @@ def test_components_equal_brute_force(spark, monkeypatch, n, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows, n, percent)
 
 
+def test_links_equal_brute_force(spark):
+    rng = random.Random(7)
+    texts = ["", None, "a b c d e f"]
+    for size in (40, 150):
+        texts += family(rng, size, 8, 0.01) + family(rng, size, 6, 0.03)
+    texts += texts[5:9]
+    rows = list(enumerate(texts))
+    links, members = jaccard.jaccard_links(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    members = members.collect()
+    assert len(members) == len(rows)
+    of = {r.doc_id: r["class"] for r in members}
+    got = {(r.a, r.b) for r in links.collect()}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in rows if len(w := (t or "").split()) >= 5}
+    want = {tuple(sorted((of[a], of[b]))) for a in sets for b in sets if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want and got == want and all((of[a] == of[b]) == (sets[a] == sets[b]) for a in sets for b in sets)
+
+
+def test_ids_that_repeat_with_unlike_texts(spark):
+    rng = random.Random(8)
+    x, y, z = (" ".join(rng.choices("abcdefghij", k=60)) for _ in range(3))
+    docs = spark.createDataFrame([(1, x), (1, y), (2, y), (3, z), (3, z), (None, x)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id) for r in jaccard.jaccard_components(spark, docs).collect())
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 3), (3, 3)]
+    assert sorted((r.doc_id or 0, r.text) for r in jaccard.keep_one(spark, docs).collect()) == sorted([(0, x), (1, x), (1, y), (3, z)])
+
+
 def test_jaccard_on_hard_tables(spark):
     docs = hard_docs(spark)
     got = jaccard.jaccard_components(spark, docs).collect()
