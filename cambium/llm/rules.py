@@ -19,10 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cambium.llm import stats
-from cambium.llm.common import Scratch, fresh
+from cambium.llm.common import Scratch, fresh, text_udf
 
 RISK, LEVEL = 0.02, 0.05
 #: Steps of a statistic; cutoffs are whole steps.
@@ -46,10 +45,30 @@ def steps() -> list[Column]:
 
 
 def log_cdf(k: int, n: int, p: float) -> float:
-    """log P(X <= k) for X binomial (n, p)."""
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(0.0, top + math.log(sum(math.exp(x - top) for x in logs)))
+    """log P(X <= k) for X binomial (n, p): the regularised incomplete beta function of 1 - p at (n - k, k + 1)."""
+    if k >= n:
+        return 0.0
+    a, b, x = n - k, k + 1, 1 - p
+    log_front = math.lgamma(n + 1) - math.lgamma(a) - math.lgamma(b) + a * math.log1p(-p) + b * math.log(p)
+    if x * (a + b + 2) < a + 1:
+        return min(0.0, log_front - math.log(a) + math.log(_fraction(a, b, x)))
+    rest = math.exp(log_front - math.log(b)) * _fraction(b, a, p)
+    return math.log1p(-min(rest, 1 - 1e-300)) if rest < 1 else -math.inf
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, evaluated forwards with its convergents' ratios."""
+    tiny = 1e-300
+    c, d = 1.0, 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    out, m = d, 0
+    while True:
+        m += 1
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + step * d) or tiny)
+            c = (1 + step / c) or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            return out
 
 
 def cutoff(counts: dict[int, int], risk: float, level: float) -> int:
@@ -130,12 +149,17 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, columns: list
     names = dict(zip(inner, fresh(docs, *inner), strict=True))
     scratch = Scratch(spark, "rules")
 
+    def made(texts: list[str]) -> pa.Array:
+        found = [stats.rule_counts(x.encode("utf-8")) for x in texts]
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(stats.RULE_NAMES), names=stats.RULE_NAMES)
+
+    counts = text_udf(made, ", ".join(f"{n} long" for n in stats.RULE_NAMES))
+
     def counted(row: list[str]) -> DataFrame:
-        payload = docs.select(F.struct(*row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang_or_empty"), F.col("lang").isNull().alias("no_lang"), F.col("text").cast("string").alias("text"))
-        fields = [*payload.schema.fields[:-1], *[T.StructField(n, T.LongType()) for n in stats.RULE_NAMES]]
-        rows = payload.mapInArrow(stats.over_texts(stats.rule_counts, [pa.int64()] * len(stats.RULE_NAMES), stats.RULE_NAMES), T.StructType(fields))
+        lang = F.when(F.col("lang").isNull(), "no language").otherwise(F.concat(F.lit("language "), F.col("lang").cast("string")))
+        rows = docs.select(F.struct(*row).alias("row"), F.col("doc_id").cast("long").alias("id"), lang.alias("stratum"), counts(F.col("text").cast("string")).alias("found"))
+        rows = rows.select("row", "id", "stratum", "found.*")
         rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        rows = rows.withColumn("stratum", F.when(F.col("no_lang"), "no language").otherwise(F.concat(F.lit("language "), F.col("lang_or_empty"))))
         return rows.select("*", *[c.alias(f"s_{r}") for c, r in zip(steps(), RULES, strict=True)])
 
     # Counts are kept without the texts. Where the result carries texts, they are read once more for it.

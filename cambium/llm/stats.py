@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pyarrow as pa
-
-from cambium.llm.common import text_slices
 
 _SPACE = b" \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -95,16 +91,3 @@ def features(b: bytes) -> list[float]:
         root(repeated_words(words), few),
         float(np.log1p(max(map(len, words), default=0))),
     ]
-
-
-def over_texts(function, kinds: list[pa.DataType], names: list[str], text: str = "text"):
-    """An Arrow function that passes all columns but text and appends function(bytes of the text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, text):
-            keep = [c for c in batch.schema.names if c != text]
-            made = [function(x.encode("utf-8")) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            columns = list(zip(*made, strict=True)) if made else [()] * len(names)
-            yield pa.record_batch([*(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*keep, *names])
-
-    return run

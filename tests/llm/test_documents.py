@@ -34,8 +34,8 @@ def test_quality_on_held_out_labels(spark):
 def test_quality_model_is_the_regularised_discriminant():
     rng = np.random.default_rng(1)
     x = {0: rng.normal(0, 1, (80, quality.D)), 1: rng.normal(0.7, 2, (200, quality.D))}
-    model = quality.fit({c: (len(v), v.sum(0), v.T @ v) for c, v in x.items()})
     both = np.concatenate([x[0], x[1]])
+    model = quality.discriminant(both, np.repeat([0, 1], [80, 200]), 0.1, 0.02, 3.0)
     z = (both - both.mean(0)) / both.std(0)
     covs = [np.cov(z[:80].T, bias=True), np.cov(z[80:].T, bias=True)]
     pooled = (80 * covs[0] + 200 * covs[1]) / 280
@@ -45,10 +45,20 @@ def test_quality_model_is_the_regularised_discriminant():
         s = 0.98 * s + 0.02 * np.eye(quality.D) * np.trace(s) / quality.D
         d = z - part.mean(0)
         logs.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d) - 0.5 * np.linalg.slogdet(s)[1])
-    want = 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / quality.TEMPERATURE + math.log(200 / 80), -500, 500)))
+    want = 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / 3.0 + math.log(200 / 80), -500, 500)))
     assert np.allclose(model.scores(both), want, atol=1e-9)
 
 
+def test_quality_fits_a_bounded_sample(spark):
+    docs, labels = docs_and_labels(spark)
+    model = quality.train(docs, labels, fit_rows=80)
+    full = quality.train(docs, labels)
+    assert isinstance(model, quality.Model) and isinstance(full, quality.Model) and abs(model.prior - full.prior) < 0.2
+    rows = docs.join(labels, "doc_id").where(quality.held_out()).select("text", "quality").collect()
+    x = np.array([stats.features(r.text.encode()) for r in rows])
+    assert np.mean((model.scores(x) >= quality.CUT) == [r.quality == 1 for r in rows]) > 0.9
+
+
 def test_quality_on_hard_tables(spark):
     docs = hard_docs(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -94,6 +104,9 @@ def test_cutoffs_are_exact():
     for n, p, k in ((400, 0.02, 3), (1000, 0.01, 0), (50, 0.3, 20)):
         want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         assert math.isclose(math.exp(rules.log_cdf(k, n, p)), want, rel_tol=1e-9)
+    for n, k in ((10**9, 19_990_000), (10**9, 10), (400_000_000, 400_000)):  # far too many terms for a sum
+        assert rules.log_cdf(k, n, 0.02) < math.log(0.05)
+    assert math.isclose(math.exp(rules.log_cdf(20_000_000, 10**9, 0.02)), 0.5, abs_tol=0.001)
     counts = {0: 990, 5: 5, 900: 5}
     assert rules.cutoff(counts, 0.02, 0.05) == 0 and rules.cutoff(counts, 0.012, 0.05) == 5 and rules.cutoff(counts, 0.01, 0.05) == 900
     assert rules.cutoff({3: 20}, 0.02, 0.05) == rules.STEPS
