@@ -103,7 +103,7 @@ def _run(a: argparse.Namespace) -> int:
             if a.format == "json":
                 lines = [r.json for r in report.as_json(changes).collect()]
             else:
-                made = {"summary": lambda: report.summary_lines(diff.summary(pairs, matches, changes)), "compact": lambda: report.compact_lines(changes), "unified": lambda: report.unified(pairs)}[a.format]()
+                made = {"summary": lambda: report.summary_lines(diff.summary(pairs, matches, changes)), "compact": lambda: report.compact_lines(changes, Path(a.old).name, Path(a.new).name), "unified": lambda: report.unified(pairs)}[a.format]()
                 lines = [r.text for r in made.collect()]
     print("\n".join(lines))
     return 0

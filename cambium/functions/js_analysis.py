@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 
-from cambium.functions.js_parser import Node, Tree, parse
+from cambium.functions.js_parser import Node, Tree, parse, steady
 
 # Kinds that hash with their text, whose children's order doesn't matter, and what adds nothing to a parent.
 LITERALS = {"string", "number", "true", "false", "null", "undefined", "regex", "string_fragment"}
@@ -27,6 +27,16 @@ def hash64(*parts: str) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
+def digest_id(domain: str, *parts: object) -> str:
+    """SHA-256 (hex) over a domain and parts, each behind its length; nothing for None. Equals hashing.digest_id."""
+    h = hashlib.sha256()
+    for p in (domain, *parts):
+        b = b"" if p is None else str(p).encode("utf-8", "surrogatepass")
+        h.update(len(b).to_bytes(8, "little"))
+        h.update(b)
+    return h.hexdigest()
+
+
 def structural_hashes(tree: Tree, root: Node) -> list[int]:
     """Hashes of all subtrees, each from its own shape: identifiers lose their spelling, literals keep their text."""
     found: set[int] = set()
@@ -227,6 +237,8 @@ def role(n: Node) -> str:
             return "write"
         if p.kind == "augmented_assignment_expression" and hit or p.kind == "update_expression" and _is_target(p, n):
             return "read_write"
+        if p.kind not in PATTERNS:  # a target lies behind patterns only
+            break
         p = p.parent
     current = n
     while (p := current.parent) is not None:
@@ -244,10 +256,14 @@ def role(n: Node) -> str:
 
 def unwrapped(n: Node) -> Node:
     while n.kind == "parenthesized_expression":
-        n = next(c for c in n.children if c.named)
+        n = next(c for c in n.children if c.named and c.kind != "comment")
     return n
 
 
+def first_argument(args: Node | None) -> Node | None:
+    return next((c for c in args.children if c.named and c.kind != "comment"), None) if args is not None and args.kind == "arguments" else None
+
+
 def string_value(tree: Tree, n: Node) -> str:
     inner = tree.of(n)[1:-1]
     return inner.replace('\\"', '"').replace("\\'", "'").replace("\\\\", "\\")
@@ -295,8 +311,7 @@ def evidence(tree: Tree, root: Node) -> tuple[list[str], list[tuple[str, str]],
                 continue
             if len(method.encode()) <= 2 and method not in ("fs", "os"):
                 continue
-            args = n.fields["arguments"]
-            first = next((c for c in args.children if c.named), None) if args.kind == "arguments" else None
+            first = first_argument(n.fields["arguments"])
             value = None if first is None else string_value(tree, first) if first.kind == "string" else tree.of(first) if first.kind == "number" else None
             calls.append((obj, method, value))
     return strings, constants, calls
@@ -338,8 +353,9 @@ def declarations(tree: Tree) -> list[tuple[str, str, Node]]:
     name and a value at top level, imports, and exports (an exported declaration counts as itself). What is inside a
     matched declaration isn't searched; other nodes only as the root's or as their parent's first child."""
     found = []
-
-    def visit(n: Node, top: bool) -> None:
+    stack = [(tree.root, True)]
+    while stack:
+        n, top = stack.pop()
         if n.kind in ("function_declaration", "class_declaration"):
             found.append((tree.of(n.fields["name"]), n.kind.split("_")[0], n))
         elif n.kind in ("variable_declaration", "lexical_declaration") and top:
@@ -350,15 +366,12 @@ def declarations(tree: Tree) -> list[tuple[str, str, Node]]:
             found.append((f"import@{tree.line(n.start) - 1}", "import", n))
         elif n.kind == "export_statement":
             if "declaration" in n.fields:
-                visit(n.fields["declaration"], top)
+                stack.append((n.fields["declaration"], top))
             else:
                 found.append((f"export@{tree.line(n.start) - 1}", "export", n))
         else:
-            for k, c in enumerate(n.children):
-                if n.kind == "program" or k == 0:
-                    visit(c, top and c.kind not in ("function_declaration", "class_declaration"))
-
-    visit(tree.root, True)
+            kids = n.children if n.kind == "program" else n.children[:1]
+            stack.extend((c, top) for c in reversed(kids))
     return found
 
 
@@ -396,15 +409,149 @@ def tokens(tree: Tree, bindings: Bindings, root: Node) -> list[tuple[str, str, i
     return out
 
 
-def analyze(text: str, limit: int = 1 << 28) -> dict[str, list[tuple]]:
-    """All tables of one file; spans are UTF-8 bytes."""
+#: Kinds that hold a declaration together.
+CONTAINERS = FUNCTIONS | {"class_declaration", "class_expression", "variable_declarator", "import_statement", "catch_clause", "for_in_statement"}
+
+
+def container(n: Node) -> Node:
+    while n.parent is not None and n.kind not in CONTAINERS:
+        n = n.parent
+    return n
+
+
+def ancestors(n: Node, most: int) -> list[str]:
+    out = []
+    while (n := n.parent) is not None and len(out) < most:
+        out.append(n.kind)
+    return out
+
+
+SCOPES = ["global", "function", "block", "class", "loop", "catch"]
+#: Fixed value: ancestors that are told of a declaration.
+ANCESTORS = 6
+ROLES = ["read", "write", "read_write", "call", "construct", "export"]
+
+
+def flags(n: Node) -> int:
+    """Bits: named, beside the syntax (comments). Texts with errors or missing parts are rejected, so two more bits are 0."""
+    return int(n.named) | 2 * (n.kind == "comment")
+
+
+class Ids:
+    """Identities that hold no spelling and no span. A node's comes from its parent's, its place there, kind and flags."""
+
+    def __init__(self, order: list[Node]):
+        self.of_node: dict[int, str] = {}
+        for n in order:
+            self.of_node[id(n)] = digest_id("node", None if n.parent is None else self.of_node[id(n.parent)], n.ordinal, n.kind, flags(n))
+
+    def symbol(self, s: Symbol) -> str:
+        return digest_id("symbol", self.of_node[id(s.node)], s.kind)
+
+    def reference(self, n: Node, how: str) -> str:
+        return digest_id("reference", self.of_node[id(n)], how)
+
+
+def outline(text: str) -> list[tuple[int, str]]:
+    """(node, line of text) for each node: its kind, where it starts (0-based line and column), the field it fills, and the
+    text of a short leaf, indented by depth."""
+    tree = parse(text)
+    rows, depth, field_of = [], {}, {}
+    for k, n in enumerate(tree.root.walk()):
+        depth[id(n)] = 0 if n.parent is None else depth[id(n.parent)] + 1
+        for name, c in n.fields.items():
+            field_of[id(c)] = name
+        said = f' => "{tree.of(n)}"' if not n.children and n.end - n.start < 50 else ""
+        name = f"{field_of[id(n)]}=" if id(n) in field_of else ""
+        rows.append((k, f"{'  ' * depth[id(n)]}{name}{n.kind} [{tree.line(n.start) - 1}:{tree.column(n.start)}]{said}"))
+    return rows
+
+
+def analyze(text: str, limit: int = 1 << 28, which: list[str] | None = None) -> dict[str, list[tuple]]:
+    """All tables of one file, or those of `which`; spans are UTF-8 bytes.
+
+    Nodes stand in pre-order, scopes by (depth, start, end, kind), references by the symbol they resolve to and then by
+    place (those without one last), calls by place.
+    """
     if len(text) > limit:
         raise ValueError(f"source is longer than {limit}")
-    tree = parse(text)
+    with steady():
+        return _tables(parse(text), which)
+
+
+def _tables(tree: Tree, which: list[str] | None) -> dict[str, list[tuple]]:
     b = Bindings(tree)
-    number = {id(n): k for k, n in enumerate(tree.root.walk())}
     order = list(tree.root.walk())
-    nodes = [(k, None if n.parent is None else number[id(n.parent)], 0 if n.parent is None else next(i for i, c in enumerate(n.parent.children) if c is n), n.kind, tree.byte(n.start), tree.byte(n.end), n.named) for k, n in enumerate(order)]
+    number = {id(n): k for k, n in enumerate(order)}
+    wanted = set(which or ("nodes", "scopes", "symbols", "references", "calls", "declarations"))
+    ids = Ids(order) if wanted - {"declarations"} else None
+    out: dict[str, list[tuple]] = {}
+    if "nodes" in wanted:
+        out["nodes"] = [(k, ids.of_node[id(n)], None if n.parent is None else number[id(n.parent)], n.ordinal, n.kind, tree.byte(n.start), tree.byte(n.end), n.named, flags(n)) for k, n in enumerate(order)]
+    if "declarations" in wanted:
+        out["declarations"] = _declarations(tree, b)
+    if not wanted - {"nodes", "declarations"}:
+        return out
+
+    placed = sorted(range(len(b.scopes)), key=lambda k: (b.scopes[k].depth, b.scopes[k].start, b.scopes[k].end, SCOPES.index(b.scopes[k].kind), k))
+    row_of = {k: row for row, k in enumerate(placed)}
+    scopes, scope_ids = [], []
+    for row, k in enumerate(placed):
+        s = b.scopes[k]
+        parent = None if s.parent is None else row_of[s.parent]
+        span = (tree.byte(s.start), tree.byte(s.end))
+        scope_ids.append(digest_id("scope", None if parent is None else scope_ids[parent], s.kind, s.depth, *span))
+        scopes.append((row, scope_ids[row], parent, s.kind, s.depth, *span, [] if parent is None else [scopes[parent][3], *scopes[parent][7]]))
+
+    held = sorted(range(len(b.references)), key=lambda k: (b.references[k][3] is None, b.references[k][3] or 0, b.references[k][0].start, b.references[k][0].end, ROLES.index(b.references[k][2])))
+    references, ranges, ref_of = [], {}, {}
+    for row, k in enumerate(held):
+        n, scope, how, symbol, resolution = b.references[k]
+        ref_of[id(n)] = row
+        if symbol is not None:
+            first, count = ranges.get(symbol, (row, 0))
+            ranges[symbol] = (first, count + 1)
+        references.append((row, ids.reference(n, how), number[id(n)], row_of[scope], tree.of(n), how, symbol, resolution, tree.byte(n.start), tree.byte(n.end)))
+    at = 0
+    symbols = []
+    for k, s in enumerate(b.symbols):
+        first, count = ranges.get(k, (at, 0))
+        at = first + count
+        box = container(s.node)
+        symbols.append((k, ids.symbol(s), s.name, s.kind, row_of[s.scope], number[id(s.node)], first, count, number[id(box)], ancestors(box, ANCESTORS)))
+
+    calls = []
+    for n in order:
+        if n.kind in ("call_expression", "new_expression"):
+            callee = unwrapped(n.fields.get("function") or n.fields["constructor"])
+            kind, ref, target, prop = "dynamic", None, None, None
+            if callee.kind in ("identifier", "shorthand_property_identifier"):
+                ref = ref_of.get(id(callee))
+                target = references[ref][6] if ref is not None else None
+                kind = "construct" if n.kind == "new_expression" else "direct"
+            elif callee.kind == "member_expression":
+                kind, prop = "member", tree.of(callee.fields["property"])
+                ref = ref_of.get(id(unwrapped(callee.fields["object"])))
+            first = first_argument(n.fields.get("arguments"))
+            said = None if first is None else string_value(tree, first) if first.kind == "string" else tree.of(first) if first.kind == "number" else None
+            made = digest_id("call", ids.of_node[id(n)], kind, None if ref is None else references[ref][1], None if target is None else symbols[target][1], prop)
+            calls.append((len(calls), made, number[id(n)], kind, tree.of(callee), ref, target, prop, said))
+    return out | {"scopes": scopes, "symbols": symbols, "references": references, "calls": calls}
+
+
+#: Fixed value: characters of a line that a report shows.
+SNIPPET = 200
+
+
+def snippet(tree: Tree, at: int) -> str:
+    """The line around a place without its margins, at most SNIPPET characters and an ellipsis."""
+    start = tree.text.rfind("\n", 0, at) + 1
+    end = tree.text.find("\n", at)
+    line = tree.text[start : len(tree.text) if end < 0 else end].strip()
+    return line[:SNIPPET] + "…" if len(line) > SNIPPET else line
+
+
+def _declarations(tree: Tree, b: Bindings) -> list[tuple]:
     decl_of: dict[int, int] = {}
     found = declarations(tree)
     for k, (_, kind, n) in enumerate(found):
@@ -414,42 +561,19 @@ def analyze(text: str, limit: int = 1 << 28) -> dict[str, list[tuple]]:
     decls = []
     for k, (name, kind, n) in enumerate(found):
         shape = structural_hashes(tree, n.fields["value"] if kind == "variable" else n)
-        marks = [(tag, text, None if s is None else (s if local else decl_of.get(s)), local) for tag, text, s, local, _ in tokens(tree, b, n)]
+        marks = [(tag, text, None if s is None else (s if local else decl_of.get(s)), local, line) for tag, text, s, local, line in tokens(tree, b, n)]
         strings, constants, calls = evidence(tree, n) if kind in ("function", "variable") else ([], [], [])
         own = b.by_node.get(id(n.fields["name"])) if "name" in n.fields else None
         dense: dict[int, int] = {}
         plain = []
-        for tag, text, s, local in marks:
+        for tag, text, s, local, line in marks:
             if tag == "binding" and local and s == own:
-                plain.append((tag, "self", None))
+                plain.append((tag, "self", None, line))
             elif tag == "binding" and local:
-                plain.append((tag, f"local {dense.setdefault(s, len(dense))}", None))
+                plain.append((tag, f"local {dense.setdefault(s, len(dense))}", None, line))
             elif tag == "binding":
-                plain.append((tag, f"outer {text}", s))
+                plain.append((tag, f"outer {text}", s, line))
             else:
-                plain.append((tag, text, None))
-        decls.append((k, name, kind, n.kind, signature(tree, n, kind), tree.line(n.start), tree.line(n.end), tree.byte(n.start), tree.byte(n.end), shape, plain, strings, [f"{t} {v}" for t, v in constants], [(f"{o or ''}.{m}", a) for o, m, a in calls], sum(c.kind != "comment" for c in n.walk())))
-    calls = []
-    ref_of = {id(r[0]): k for k, r in enumerate(b.references)}
-    for n in order:
-        if n.kind in ("call_expression", "new_expression"):
-            callee = unwrapped(n.fields.get("function") or n.fields["constructor"])
-            kind, ref, target, prop = "dynamic", None, None, None
-            if callee.kind in ("identifier", "shorthand_property_identifier"):
-                ref = ref_of.get(id(callee))
-                target = b.references[ref][3] if ref is not None else None
-                kind = "construct" if n.kind == "new_expression" else "direct"
-            elif callee.kind == "member_expression":
-                kind, prop = "member", tree.of(callee.fields["property"])
-                ref = ref_of.get(id(unwrapped(callee.fields["object"])))
-            args = n.fields.get("arguments")
-            first = next((c for c in args.children if c.named), None) if args is not None and args.kind == "arguments" else None
-            calls.append((len(calls), number[id(n)], kind, tree.of(callee), ref, target, prop, None if first is None else string_value(tree, first) if first.kind == "string" else tree.of(first) if first.kind == "number" else None))
-    return {
-        "nodes": nodes,
-        "scopes": [(k, s.parent, s.kind, s.depth, tree.byte(s.start), tree.byte(s.end)) for k, s in enumerate(b.scopes)],
-        "symbols": [(k, s.name, s.kind, s.scope, number[id(s.node)]) for k, s in enumerate(b.symbols)],
-        "references": [(k, number[id(n)], scope, tree.of(n), how, symbol, resolution, tree.byte(n.start), tree.byte(n.end)) for k, (n, scope, how, symbol, resolution) in enumerate(b.references)],
-        "calls": calls,
-        "declarations": decls,
-    }
+                plain.append((tag, text, None, line))
+        decls.append((k, name, kind, n.kind, signature(tree, n, kind), tree.line(n.start), tree.line(n.end), tree.byte(n.start), tree.byte(n.end), shape, plain, strings, [f"{t} {v}" for t, v in constants], [(f"{o or ''}.{m}", a) for o, m, a in calls], sum(c.kind != "comment" for c in n.walk()), snippet(tree, n.start), tree.of(n)))
+    return decls

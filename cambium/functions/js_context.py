@@ -4,35 +4,37 @@ from __future__ import annotations
 
 import hashlib
 
-from cambium.functions.js_analysis import FUNCTIONS, Bindings, hash64
-from cambium.functions.js_parser import Node, parse
+import numpy as np
+
+from cambium.functions.js_analysis import ROLES, Bindings, Ids, container, first_argument, hash64, unwrapped
+from cambium.functions.js_parser import Node, parse, steady
 from cambium.functions.sourcemap import positions
 
-ROLES = ["read", "write", "read_write", "call", "construct", "export"]
-_CONTAINERS = FUNCTIONS | {"class_declaration", "class_expression", "variable_declarator", "import_statement", "catch_clause", "for_in_statement"}
 #: Kinds that may become one another between versions.
 KIND_CLASS = {"function": "callable", "class": "type", "import": "import", "parameter": "parameter", "variable": "value", "let": "value", "const": "value", "catch": "value"}
 
 
-def vote(features: list[int]) -> int:
-    """Similarity hash of 64-bit features; ties set the bit."""
-    out = 0
-    for k in range(64):
-        if sum(1 if (f >> k) & 1 else -1 for f in features) >= 0:
-            out |= 1 << k
-    return out - (1 << 64) if out >> 63 else out
+def _votes(features: list[int]) -> np.ndarray:
+    """For each of 64 bits how many features set it, less how many don't."""
+    raw = np.array(features, np.int64).view(np.uint8).reshape(-1, 8)
+    return 2 * np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64) - len(features)
 
 
-def container(n: Node) -> Node:
-    while n.parent is not None and n.kind not in _CONTAINERS:
-        n = n.parent
-    return n
+def _bits(votes: np.ndarray) -> int:
+    """A tie sets the bit."""
+    return int(np.packbits(votes >= 0, bitorder="little").view(np.int64)[0])
+
+
+def vote(features: list[int]) -> int:
+    """Similarity hash of 64-bit features; ties set the bit."""
+    return _bits(_votes(features))
 
 
 def _fingerprints(root: Node) -> dict[int, tuple[str, int, int]]:
     """For each node, by identity: digest of its kinds, similarity hash of its parts' kinds, and size."""
     out: dict[int, tuple[str, int, int]] = {}
-    counters: dict[int, list[int]] = {}
+    counters: dict[int, np.ndarray] = {}
+    own_votes: dict[tuple[str, ...], np.ndarray] = {}
     stack = [(root, False)]
     while stack:
         n, ready = stack.pop()
@@ -41,18 +43,18 @@ def _fingerprints(root: Node) -> dict[int, tuple[str, int, int]]:
             stack.append((n, True))
             stack.extend((c, False) for c in kids)
             continue
-        own = hash64("shape", n.kind, *[c.kind for c in kids])
-        total = [1 if (own >> k) & 1 else -1 for k in range(64)]
-        size = 1
+        kinds = ("shape", n.kind, *[c.kind for c in kids])
+        if kinds not in own_votes:
+            own_votes[kinds] = _votes([hash64(*kinds)])
+        total, size = own_votes[kinds].copy(), 1
         digest = hashlib.sha256(n.kind.encode())
         for c in kids:
             d, _, s = out[id(c)]
             digest.update(bytes.fromhex(d))
             size += s
-            total = [a + b for a, b in zip(total, counters.pop(id(c)), strict=True)]
+            total += counters.pop(id(c))
         counters[id(n)] = total
-        bits = sum(1 << k for k in range(64) if total[k] >= 0)
-        out[id(n)] = (digest.hexdigest(), bits - (1 << 64) if bits >> 63 else bits, size)
+        out[id(n)] = (digest.hexdigest(), _bits(total), size)
     return out
 
 
@@ -61,41 +63,57 @@ COLUMNS = "symbol_ix int, symbol_id string, name string, kind_class string, scop
 
 def contexts(text: str) -> list[tuple]:
     """Rows of COLUMNS, one a symbol."""
+    with steady():
+        return _contexts(text)
+
+
+def _contexts(text: str) -> list[tuple]:
     tree = parse(text)
     b = Bindings(tree)
+    ids = Ids(list(tree.root.walk()))
     prints = _fingerprints(tree.root)
-    uses: dict[int, list[tuple[Node, str]]] = {}
-    for n, _, how, symbol, _ in b.references:
+    uses: dict[int, list[tuple[Node, str, str]]] = {}
+    for n, _, how, symbol, resolution in b.references:
         if symbol is not None:
-            uses.setdefault(symbol, []).append((n, how))
+            uses.setdefault(symbol, []).append((n, how, resolution))
+    incoming: dict[int, set[str]] = {}
+    for n in tree.root.walk():
+        if n.kind in ("call_expression", "new_expression"):
+            callee = unwrapped(n.fields.get("function") or n.fields["constructor"])
+            if callee.kind == "identifier" and (s := b.by_node.get(id(callee))) is not None:
+                incoming.setdefault(s, set()).add("construct" if n.kind == "new_expression" else "direct")
     rows = []
     offsets = [tree.byte(s.node.start) for s in b.symbols]
     places = positions(text, offsets)
+    of_box: dict[int, set[int]] = {}
     for k, s in enumerate(b.symbols):
         box = container(s.node)
         shape, shape_hash, size = prints[id(box)]
         roles = [0] * len(ROLES)
         found = {hash64("kind", s.kind)}
-        for n, how in uses.get(k, ()):
+        for n, how, resolution in uses.get(k, ()):
             roles[ROLES.index(how)] += 1
             found.add(hash64("use", how, n.parent.kind if n.parent else ""))
-            if how == "call" and n.parent is not None and "arguments" in n.parent.fields:
-                found.add(hash64("called with", str(sum(c.named for c in n.parent.fields["arguments"].children))))
-        up, n = 0, box.parent
-        while n is not None and up < 6:
-            found.add(hash64("ancestor", str(up), n.kind))
-            up, n = up + 1, n.parent
+            found.add(hash64("resolution", resolution))
+            found.add(hash64("target kind", KIND_CLASS[s.kind]))
+            if how == "call" and n.parent is not None and first_argument(n.parent.fields.get("arguments")) is not None:
+                found.add(hash64("called with", str(sum(c.named and c.kind != "comment" for c in n.parent.fields["arguments"].children))))
+        found |= {hash64("called by", kind) for kind in incoming.get(k, ())}
         scope, up = s.scope, 0
         while scope is not None and up < 6:
             found.add(hash64("scope", str(up), b.scopes[scope].kind))
             scope, up = b.scopes[scope].parent, up + 1
-        if box.parent is not None:
-            rank = next(i for i, c in enumerate(box.parent.children) if c is box)
-            found.add(hash64("place", str(min(rank, 15))))
-        for n in box.walk():
-            if n.kind in ("string", "number", "property_identifier"):
-                found.add(hash64(n.kind, tree.of(n)))
-        features = sorted(found)
-        symbol_id = hashlib.sha256(f"{k}|{s.kind}|{shape}".encode()).hexdigest()
-        rows.append((k, symbol_id, s.name, KIND_CLASS[s.kind], b.scopes[s.scope].kind, b.scopes[s.scope].depth, shape, shape_hash, vote(features), size, roles, features, *places[k]))
+        if id(box) not in of_box:
+            own = of_box[id(box)] = set()
+            up, n = 0, box.parent
+            while n is not None and up < 6:
+                own.add(hash64("ancestor", str(up), n.kind))
+                up, n = up + 1, n.parent
+            if box.parent is not None:
+                own.add(hash64("place", str(min(box.ordinal, 15))))
+            for n in box.walk():
+                if n.kind in ("string", "number", "property_identifier"):
+                    own.add(hash64(n.kind, tree.of(n)))
+        features = sorted(found | of_box[id(box)])
+        rows.append((k, ids.symbol(s), s.name, KIND_CLASS[s.kind], b.scopes[s.scope].kind, b.scopes[s.scope].depth, shape, shape_hash, vote(features), size, roles, features, *places[k]))
     return rows

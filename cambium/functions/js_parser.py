@@ -6,10 +6,31 @@ while parsing; `Tree.byte` maps them to UTF-8 bytes. A text that does not parse
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import re
 import sys
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+
+#: Statements or expressions within one another, and the interpreter frames that they need.
+DEEPEST, FRAMES = 1500, 60_000
+
+
+@contextlib.contextmanager
+def steady() -> Iterator[None]:
+    """Trees are many small objects that stay: the collector would look through them again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
 
 class ParseError(ValueError):
     def __init__(self, text: str, at: int, what: str = "unexpected token"):
@@ -19,7 +40,7 @@ class ParseError(ValueError):
         super().__init__(f"{what} at {self.line}:{self.column}")
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
 class Node:
     kind: str
     start: int
@@ -27,7 +48,8 @@ class Node:
     named: bool = True
     children: list[Node] = field(default_factory=list)
     fields: dict[str, Node] = field(default_factory=dict)
-    parent: Node | None = field(default=None, repr=False, compare=False)
+    parent: Node | None = field(default=None, repr=False)
+    ordinal: int = 0  # place among the parent's children
 
     def all(self, kind: str) -> list[Node]:
         return [c for c in self.children if c.kind == kind]
@@ -45,31 +67,65 @@ class Node:
 class Tree:
     text: str
     root: Node
+    comments: list[tuple[int, int]] = field(default_factory=list)
 
     def __post_init__(self):
+        self._attach()
         for n in self.root.walk():
-            for c in n.children:
-                c.parent = n
+            for k, c in enumerate(n.children):
+                c.parent, c.ordinal = n, k
         self._bytes = None if self.text.isascii() else self._prefix()
+        self._lines = [0, *(m.end() for m in re.finditer("\n", self.text))]
+
+    def _attach(self) -> None:
+        """Makes each comment a child of the innermost node around it. Comments ascend, so one walk places them all."""
+        left, k = self.comments, 0
+        stack = [(self.root, 0)]
+        out: list[Node] = []
+        if not left:
+            return
+        # In pre-order: before a child begins, the comments that end before it belong to its parent.
+        kids: dict[int, list[Node]] = {}
+        while stack:
+            n, i = stack.pop()
+            own = kids.setdefault(id(n), [])
+            last = n.children[i].start if i < len(n.children) else n.end
+            while k < len(left) and left[k][1] <= last:
+                own.append(Node("comment", *left[k]))
+                k += 1
+            if i < len(n.children):
+                c = n.children[i]
+                own.append(c)
+                stack.append((n, i + 1))
+                if c.children:
+                    stack.append((c, 0))
+                else:
+                    while k < len(left) and left[k][0] < c.end:  # inside a leaf there is none
+                        k += 1
+            else:
+                out.append(n)
+        for n in out:
+            n.children = kids[id(n)]
 
-    def _prefix(self) -> list[int]:
-        out, total = [0], 0
-        for ch in self.text:
-            total += len(ch.encode("utf-8", "surrogatepass"))
-            out.append(total)
-        return out
+    def _prefix(self) -> np.ndarray:
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4")
+        widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        return np.concatenate([[0], np.cumsum(widths)])
 
     def byte(self, at: int) -> int:
-        return at if self._bytes is None else self._bytes[at]
+        return at if self._bytes is None else int(self._bytes[at])
 
     def line(self, at: int) -> int:
-        return self.text.count("\n", 0, at) + 1
+        return bisect_right(self._lines, at)
+
+    def column(self, at: int) -> int:
+        return at - self._lines[bisect_right(self._lines, at) - 1]
 
     def of(self, node: Node) -> str:
         return self.text[node.start : node.end]
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str  # name, number, string, template, regex, private, punct, end
     text: str
@@ -79,6 +135,8 @@ class Token:
 
 
 _SPACE = re.compile("(?:[\\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\\*.*?\\*/|<!--[^\n]*)+", re.S)
+_COMMENT = re.compile("//[^\n\r\u2028\u2029]*|/\\*.*?\\*/|<!--[^\n]*", re.S)
+_BREAK = re.compile("[\n\r\u2028\u2029]")
 _NAME = re.compile(r"(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|[$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*")
 _NUMBER = re.compile(r"0[xX][\da-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?")
 _STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
@@ -89,11 +147,17 @@ _BINARY = {"??": 1, "||": 2, "&&": 3, "|": 4, "^": 5, "&": 6, "==": 7, "!=": 7,
 _ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=", "|=", "^=", "&&=", "||=", "??="}
 _WORDS = set("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum".split())
 _ATOMS = {"this": "this", "super": "super", "null": "null", "true": "true", "false": "false", "undefined": "undefined"}
+#: After these a slash divides; names before a value, after which it does not.
+_OPERANDS = {"name", ")", "]", "}", "`"}
+_BEFORE_VALUE = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "instanceof", "do", "else", "yield", "await"}
+_TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*+", re.S)
 
 
 class Parser:
     def __init__(self, text: str):
-        self.text, self.at, self.comments = text, 0, []
+        self.text, self.at = text, 0
+        self.comments: dict[int, int] = {}
+        self.arrows: dict[int, bool] = {}  # place of each "(" met so far: does an arrow follow its end?
         self.ahead: Token | None = None
         self.depth = 0
         self.last_end = 0
@@ -106,7 +170,11 @@ class Parser:
     def scan(self, at: int) -> Token:
         text, newline = self.text, False
         if m := _SPACE.match(text, at):
-            newline = re.search("[\n\r\u2028\u2029]", m[0]) is not None
+            space = m[0]
+            newline = _BREAK.search(space) is not None
+            if "/" in space or "<" in space:
+                for c in _COMMENT.finditer(space):
+                    self.comments[at + c.start()] = at + c.end()
             at = m.end()
         if text.startswith("/*", at):
             self.fail(at, "comment does not end")
@@ -189,7 +257,7 @@ class Parser:
 
     def statement(self) -> Node:
         self.depth += 1
-        if self.depth > 400:
+        if self.depth > DEEPEST:
             self.fail(what="nested too deeply")
         out = self._statement()
         self.depth -= 1
@@ -566,34 +634,60 @@ class Parser:
         return left
 
     def arrow_ahead(self) -> bool:
-        """Does ( ... ) => start here? The parentheses are matched token by token."""
-        saved, depth = (self.at, self.ahead, self.last_end), 0
-        try:
-            if self.is_("async"):
-                self.take()
-            while True:
-                t = self.peek()
-                if t.kind == "end":
-                    return False
-                if t.kind == "template":
-                    self.template()
-                    continue
-                if t.kind == "punct" and t.text in ("/", "/=") and (m := _REGEX.match(self.text, t.start)):
-                    self.at, self.ahead = m.end(), None
-                    continue
-                self.take()
-                if t.kind == "punct":
-                    depth += (t.text in "([{") - (t.text in ")]}")
-                    if not depth:
-                        return t.text == ")" and self.is_("=>") and not self.peek().newline
-        except ParseError:
-            return False
-        finally:
-            self.at, self.ahead, self.last_end = saved
+        """Does ( ... ) => start here? Every "(" inside is answered at the same time, so no text is looked through twice."""
+        t = self.second() if self.is_("async") else self.peek()
+        if t.start not in self.arrows:
+            try:
+                self._look(t.start)
+            except ParseError:
+                pass
+        return self.arrows.get(t.start, False)
+
+    def _look(self, at: int) -> None:
+        """Matches brackets from the "(" at `at` to its end and notes which are followed by an arrow. A slash starts a
+        regular expression where no operand stands before it."""
+        text, before = self.text, ""
+        stack: list[tuple[str, int]] = []
+        while True:
+            if stack and stack[-1][0] == "`":
+                m = _TEMPLATE.match(text, at)
+                at = m.end()
+                if text.startswith("`", at):
+                    stack.pop()
+                    before, at = "`", at + 1
+                elif text.startswith("${", at):
+                    stack.append(("${", at))
+                    before, at = "{", at + 2
+                else:
+                    return
+                continue
+            t = self.scan(at)
+            if t.kind == "end":
+                return
+            if t.kind == "template":
+                stack.append(("`", t.start))
+                at = t.end
+                continue
+            if t.kind == "punct" and t.text in ("/", "/=") and before not in _OPERANDS and (m := _REGEX.match(text, t.start)):
+                before, at = "name", m.end()
+                continue
+            at = t.end
+            before = t.text if t.kind == "punct" or t.text in _BEFORE_VALUE else "name"
+            if t.kind == "punct" and t.text in "([{":
+                stack.append((t.text, t.start))
+            elif t.kind == "punct" and t.text in ")]}":
+                if not stack:
+                    return
+                opened, place = stack.pop()
+                if t.text == ")" and opened == "(":
+                    n = self.scan(at) if text[at : at + 1] else t
+                    self.arrows[place] = n.text == "=>" and not n.newline
+                if not stack:
+                    return
 
     def assignment(self, in_ok: bool = True) -> Node:
         self.depth += 1
-        if self.depth > 400:
+        if self.depth > DEEPEST:
             self.fail(what="nested too deeply")
         out = self._assignment(in_ok)
         self.depth -= 1
@@ -877,9 +971,12 @@ class Parser:
 def parse(text: str) -> Tree:
     """The syntax tree of a whole text; ParseError where it is not JavaScript."""
     limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 20_000))
+    sys.setrecursionlimit(max(limit, FRAMES))
     try:
-        return Tree(text, Parser(text).program())
+        with steady():
+            parser = Parser(text)
+            root = parser.program()
+            return Tree(text, root, sorted(parser.comments.items()))
     except RecursionError:
         raise ParseError(text, 0, "nested too deeply") from None
     finally:

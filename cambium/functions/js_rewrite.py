@@ -10,7 +10,7 @@ def shape(tree: Tree) -> str:
     """A hash of the syntax without comments, spaces and optional semicolons."""
     parts = []
     for n in tree.root.walk():
-        if n.kind == "comment" or n.kind == ";":
+        if n.kind in ("comment", ";"):
             continue
         parts.append(n.kind if n.children else f"{n.kind} {tree.of(n)}")
     return str(hash64(*parts))
@@ -81,7 +81,7 @@ def canonicalize(text: str) -> tuple[str, list[tuple]]:
     rows: dict[int, list[int]] = {}
     for n, s in occurrences(tree, b):
         rows.setdefault(s, [n.start, n.start])[1] = n.start
-    place = lambda at: (tree.line(at), at - (text.rfind("\n", 0, at) + 1))
+    place = lambda at: (tree.line(at), tree.column(at))
     kind = {"function": "func", "parameter": "param"}
     made = [(*place(first), *place(last), kind.get(b.symbols[s].kind, "var"), b.symbols[s].scope, b.symbols[s].name, names[s], names[s]) for s, (first, last) in rows.items()]
     return rename(tree, b, names), sorted(made)
@@ -170,6 +170,11 @@ def pretty(text: str) -> str:
         put(n.children[-1], True)
 
     def visit(n: Node, tight: bool) -> None:
+        if n.kind == "comment":
+            put(n, False)
+            if tree.of(n)[:2] != "/*":  # it ends with its line
+                end_line()
+            return
         if n.kind in _WHOLE or not n.children:
             put(n, tight)
             return
@@ -183,9 +188,12 @@ def pretty(text: str) -> str:
                 close = not (last is not None and tree.of(last) in ("+", "-") and tree.of(c)[:1] in ("+", "-"))
             visit(c, close)
 
-    for c in tree.root.children:
-        visit(c, False)
-        end_line()
+    try:
+        for c in tree.root.children:
+            visit(c, False)
+            end_line()
+    except RecursionError:  # an expression of thousands of terms
+        return text
     made = "\n".join(lines) + ("\n" if lines else "")
     try:
         return made if shape(parse(made)) == shape(tree) else text

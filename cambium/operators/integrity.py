@@ -7,6 +7,11 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cambium.functions import hashing as H
+
+#: The role of the reference that each kind of call is made through; None: any.
+CALLEE = {"direct": "call", "construct": "construct"}
+
 
 def violations(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """(keys..., rule, row) over nodes, scopes, symbols, references and calls of files named by keys."""
@@ -16,16 +21,50 @@ def violations(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     def rule(rows: DataFrame, name: str, row: str) -> None:
         found.append(rows.select(*keys, F.lit(name).alias("rule"), F.col(row).cast("long").alias("row")))
 
-    parent = nodes.select(*keys, F.col("node_ix").alias("parent_ix"), F.col("start_byte").alias("lo"), F.col("end_byte").alias("hi"))
+    parent = nodes.select(*keys, F.col("node_ix").alias("parent_ix"), F.col("start_byte").alias("lo"), F.col("end_byte").alias("hi"), F.col("node_id").alias("up_id"))
     inside = nodes.join(parent, [*keys, "parent_ix"])
+    node_id = H.digest_id("node", F.col("up_id"), F.col("child_ordinal"), F.col("kind"), F.col("flags"))
+    rule(inside.where(F.col("node_id") != node_id), "node's identity", "node_ix")
+    rule(nodes.where("parent_ix IS NULL").withColumn("up_id", F.lit(None).cast("string")).where((F.col("node_id") != node_id) | (F.col("kind") != "program") | (F.col("start_byte") != 0)), "root", "node_ix")
+    rule(nodes.where("flags < 0 OR flags > 3 OR (flags & 1 = 1) != named"), "flags", "node_ix")
     rule(nodes.where("start_byte > end_byte"), "span ends before it starts", "node_ix")
     rule(nodes.where("parent_ix >= node_ix"), "parent stands after its child", "node_ix")
     rule(nodes.where("parent_ix IS NULL AND node_ix > 0"), "second root", "node_ix")
     rule(inside.where("start_byte < lo OR end_byte > hi"), "child leaves its parent", "node_ix")
     w = Window.partitionBy(*keys, "parent_ix").orderBy("node_ix")
     rule(nodes.where("parent_ix IS NOT NULL").withColumn("nth", F.row_number().over(w) - 1).where("nth != child_ordinal"), "ordinals have gaps", "node_ix")
-    up = scopes.select(*keys, F.col("scope_ix").alias("parent_ix"), F.col("depth").alias("up"))
-    rule(scopes.join(up, [*keys, "parent_ix"]).where("depth != up + 1"), "depth is not the parent's plus one", "scope_ix")
+    up = scopes.select(*keys, F.col("scope_ix").alias("parent_ix"), F.col("depth").alias("up"), F.col("start_byte").alias("lo"), F.col("end_byte").alias("hi"), F.col("scope_id").alias("up_id"))
+    held = scopes.join(up, [*keys, "parent_ix"])
+    rule(held.where("depth != up + 1"), "depth is not the parent's plus one", "scope_ix")
+    rule(held.where("start_byte < lo OR end_byte > hi"), "scope leaves its parent", "scope_ix")
+    scope_id = H.digest_id("scope", F.col("up_id"), F.col("kind"), F.col("depth"), F.col("start_byte"), F.col("end_byte"))
+    rule(held.where(F.col("scope_id") != scope_id), "scope's identity", "scope_ix")
+    rule(scopes.where("parent_ix IS NULL AND (kind != 'global' OR depth != 0 OR scope_ix != 0)"), "global scope", "scope_ix")
+    rule(scopes.where("parent_ix >= scope_ix"), "scope stands before its parent", "scope_ix")
+    box = scopes.select(*keys, "scope_ix", F.col("start_byte").alias("lo"), F.col("end_byte").alias("hi"))
+    at = nodes.select(*keys, "node_ix", "node_id", F.col("start_byte").alias("from_byte"), F.col("end_byte").alias("to_byte"))
+    bound_at = symbols.join(at, [*keys, "node_ix"]).join(box, [*keys, "scope_ix"])
+    rule(bound_at.where("from_byte < lo OR to_byte > hi"), "symbol outside its scope", "symbol_ix")
+    rule(bound_at.where(F.col("symbol_id") != H.digest_id("symbol", F.col("node_id"), F.col("kind"))), "symbol's identity", "symbol_ix")
+    used_at = references.join(at, [*keys, "node_ix"]).join(box, [*keys, "scope_ix"])
+    rule(used_at.where("from_byte < lo OR to_byte > hi"), "reference outside its scope", "ref_ix")
+    rule(used_at.where(F.col("ref_id") != H.digest_id("reference", F.col("node_id"), F.col("role"))), "reference's identity", "ref_ix")
+    ranges = symbols.select(*keys, "symbol_ix", "reference_first", "reference_count")
+    rule(references.join(ranges, [*keys, "symbol_ix"]).where("ref_ix < reference_first OR ref_ix >= reference_first + reference_count"), "reference outside its symbol's range", "ref_ix")
+    held_by = references.where("symbol_ix IS NOT NULL").groupBy(*keys, "symbol_ix").agg(F.count(F.lit(1)).alias("n"))
+    rule(ranges.join(held_by, [*keys, "symbol_ix"], "left").where("coalesce(n, 0) != reference_count"), "range of another length", "symbol_ix")
+    ids = references.select(*keys, F.col("ref_ix").alias("callee_ref"), "ref_id", F.col("role").alias("callee_role"))
+    names = symbols.select(*keys, F.col("symbol_ix").alias("target_symbol"), F.col("symbol_id").alias("target_id"))
+    call_at = calls.join(at, [*keys, "node_ix"]).join(ids, [*keys, "callee_ref"], "left").join(names, [*keys, "target_symbol"], "left")
+    call_id = H.digest_id("call", F.col("node_id"), F.col("kind"), F.col("ref_id"), F.col("target_id"), F.col("property"))
+    rule(call_at.where(F.col("call_id") != call_id), "call's identity", "call_ix")
+    want = F.create_map(*[F.lit(x) for kv in CALLEE.items() for x in kv])[F.col("kind")]
+    shape = (
+        F.when(F.col("kind").isin(*CALLEE), F.col("callee_ref").isNull() | F.col("property").isNotNull() | (F.col("callee_role") != want))
+        .when(F.col("kind") == "member", F.col("property").isNull() | F.col("target_symbol").isNotNull())
+        .otherwise(F.col("callee_ref").isNotNull() | F.col("target_symbol").isNotNull() | F.col("property").isNotNull())
+    )
+    rule(call_at.where(shape), "call's shape", "call_ix")
     rule(symbols.join(scopes, [*keys, "scope_ix"], "left_anti"), "symbol without a scope", "symbol_ix")
     rule(symbols.join(nodes, [*keys, "node_ix"], "left_anti"), "symbol without a node", "symbol_ix")
     rule(references.join(nodes, [*keys, "node_ix"], "left_anti"), "reference without a node", "ref_ix")
@@ -35,6 +74,9 @@ def violations(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     rule(calls.where("callee_ref IS NOT NULL").join(references.withColumnRenamed("ref_ix", "callee_ref"), [*keys, "callee_ref"], "left_anti"), "call of no reference", "call_ix")
     targets = references.select(*keys, F.col("ref_ix").alias("callee_ref"), F.col("symbol_ix").alias("bound"))
     rule(calls.where("target_symbol IS NOT NULL").join(targets, [*keys, "callee_ref"]).where("target_symbol != bound"), "call targets another symbol", "call_ix")
+    for table, ix in (("symbols", "node_ix"), ("references", "node_ix"), ("calls", "node_ix")):
+        again = tables[table].groupBy(*keys, ix).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rule(again, f"{table} share a node", ix)
     for table, ix in (("nodes", "node_ix"), ("scopes", "scope_ix"), ("symbols", "symbol_ix"), ("references", "ref_ix"), ("calls", "call_ix")):
         again = tables[table].groupBy(*keys, ix).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rule(again, f"{table} repeat a row number", ix)

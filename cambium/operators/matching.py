@@ -1,53 +1,72 @@
-"""One-to-one assignment: greedy in rounds, and reciprocal best with margins; what stays unmatched; report counts."""
+"""One-to-one assignment: greedy, and reciprocal best with margins; what stays unmatched; report counts."""
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cambium.functions import hashing as H
+from cambium.operators import graph
+from cambium.operators.scratch import cut, free
 
+__all__ = ["cut", "free", "greedy", "match_summary", "ranked_both_ways", "reciprocal_best", "top_candidates", "unmatched"]
 
-def _shared(spark: SparkSession) -> str:
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
 
-        found = "file://" + tempfile.mkdtemp(prefix="cambium-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges in order, without those that share an end with an edge taken before."""
+    left: set[str] = set()
+    right: set[str] = set()
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            fine = a not in left and b not in right
+            keep.append(fine)
+            if fine:
+                left.add(a)
+                right.add(b)
+        yield batch.filter(pa.array(keep, pa.bool_())).select(range(batch.num_columns - 2))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def greedy(edges: DataFrame, order: list[Column], most_rounds: int = 10_000) -> DataFrame:
+def greedy(edges: DataFrame, order: list[Column], most_edges: int = 2_000_000) -> DataFrame:
     """Greedy one-to-one matching, best edge first, of edges (i1, i2, ...).
 
-    order, with i1 and i2 after it, must rank edges totally. In each round an edge that is the best of both its ends is
-    taken and the edges of both ends go; that gives the sequential result. Each round is written, so rounds do not pile up.
+    order, with i1 and i2 after it, must rank edges totally. Edges of unlike connected components have no end in common, so
+    each task goes through the edges of whole components in order and keeps the ends it has used. A component of more than
+    most_edges goes in rounds instead: an edge that is the best of both its ends is taken, and the edges of both ends go.
     """
     columns = edges.columns
-    edges = cut(edges.withColumn("_order", F.struct(*[o.alias(f"o{k}") for k, o in enumerate([*order, F.col("i1"), F.col("i2")])])), "edges")
+    place = F.struct(*[o.alias(f"o{k}") for k, o in enumerate([*order, F.col("i1"), F.col("i2")])])
+    edges = cut(edges.select("*", place.alias("_order"), F.xxhash64(F.lit(1), "i1").alias("_a"), F.xxhash64(F.lit(2), "i2").alias("_b")), "edges")
+    found = cut(graph.components(edges.select(F.col("_a").alias("a"), F.col("_b").alias("b"))), "components")
+    labelled = edges.join(found.withColumnRenamed("node", "_a"), "_a")
+    large = cut(labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_edges).select("component"), "large")
+    rest = None if large.isEmpty() else cut(labelled.join(large, "component", "left_semi").select(*columns, "_order"), "large")
+    own = labelled if rest is None else labelled.join(large, "component", "left_anti")
+    ends = [F.to_json(F.struct(i)).alias(f"_{i}") for i in ("i1", "i2")]
+    dealt = own.repartition("component").sortWithinPartitions("_order").select(*columns, *ends)
+    taken = cut(dealt.mapInArrow(_taken, edges.select(*columns).schema), "taken")
+    free(edges, found)
+    return taken if rest is None else taken.unionByName(_rounds(rest).select(*columns))
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """Greedy matching of edges (i1, i2, ..., _order) by rounds of mutual best edges, until none is left."""
     taken: DataFrame | None = None
-    for _ in range(most_rounds):
-        best = lambda key, name: edges.groupBy(key).agg(F.min("_order").alias(name))
+    columns = edges.columns
+    while True:
+        best = lambda key, name: edges.groupBy(key).agg(F.min("_order").alias(name))  # noqa: B023, E731
         ranked = edges.join(best("i1", "b1"), "i1").join(best("i2", "b2"), "i2")
-        won = cut(ranked.where((F.col("_order") == F.col("b1")) & (F.col("_order") == F.col("b2"))).select(*edges.columns), "won")
+        won = cut(ranked.where((F.col("_order") == F.col("b1")) & (F.col("_order") == F.col("b2"))).select(*columns), "won")
         if won.isEmpty():
-            break
+            free(edges)
+            return won if taken is None else taken
         taken = won if taken is None else taken.unionByName(won)
-        edges = cut(edges.join(won.select("i1"), "i1", "left_anti").join(won.select("i2"), "i2", "left_anti").select(*edges.columns), "edges")
-    else:
-        raise RuntimeError("greedy matching did not settle")
-    return (taken if taken is not None else edges.where(F.lit(False))).select(*columns)
+        less = cut(edges.join(won.select("i1"), "i1", "left_anti").join(won.select("i2"), "i2", "left_anti").select(*columns), "edges")
+        free(edges)
+        edges = less
 
 
 def ranked_both_ways(scored: DataFrame) -> DataFrame:

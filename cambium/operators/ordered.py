@@ -5,18 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cambium.operators.scratch import cut, free
 
-def asof_position(queries: DataFrame, positions: DataFrame, keys: list[str], at: str) -> DataFrame:
+
+def asof_position(queries: DataFrame, positions: DataFrame, keys: list[str], at: str, spread: bool = False) -> DataFrame:
     """queries (keys, at, query columns) with found: the greatest position (keys, at) that is not after at; null if none.
 
-    One sort of the union, no range join. A position equal to the query's counts.
+    One sort of the union, no range join. A position equal to the query's counts. With spread, a key's rows are dealt to
+    many tasks by range and the last position of each task is carried to the next: for keys with more rows than one task
+    should sort.
     """
     points = positions.select(*keys, at).distinct()
     extra = [c for c in queries.columns if c not in (*keys, at)]
     q = queries.select(*keys, at, F.lit(1).alias("_query"), F.struct(*extra).alias("_row") if extra else F.lit(0).alias("_row"))
     p = points.select(*keys, at, F.lit(0).alias("_query"), F.lit(None).cast(q.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(*keys).orderBy(at, "_query").rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(q).withColumn("found", F.last(F.when(F.col("_query") == 0, F.col(at)), ignorenulls=True).over(w)).where("_query = 1")
+    both = p.unionByName(q)
+    group = list(keys)
+    known = F.when(F.col("_query") == 0, F.col(at))
+    if spread:
+        both = cut(both.repartitionByRange(*keys, at, "_query").withColumn("_part", F.spark_partition_id()), "spread")
+        group.append("_part")
+    w = Window.partitionBy(*group).orderBy(at, "_query").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(known, ignorenulls=True).over(w)
+    if spread:
+        last = both.groupBy(*group).agg(F.max(known).alias("_last"))
+        before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        both = both.join(last.withColumn("_carried", F.max("_last").over(before)).drop("_last"), group)
+        found = F.coalesce(found, F.col("_carried"))
+    both = both.withColumn("found", found).where("_query = 1")
     return both.select(*keys, at, *[F.col("_row")[c].alias(c) for c in extra], "found")
 
 
@@ -26,24 +42,51 @@ def asof_rows(queries: DataFrame, rows: DataFrame, keys: list[str], at: str) ->
     return found.join(rows.withColumnRenamed(at, "found"), [*keys, "found"], "left")
 
 
-def innermost(points: DataFrame, intervals: DataFrame, at: str = "at", width: int = 1) -> DataFrame:
+def innermost(points: DataFrame, intervals: DataFrame, at: str = "at") -> DataFrame:
     """points with the deepest of the intervals (interval, lo, hi, depth) that hold them (lo <= at < hi).
 
-    Intervals are spread over cells of `width`, so that the range test becomes an equi-join; ties take the lowest name.
+    An interval stands in the one or two cells of the least power of two that is as wide as it is, so that the range test
+    becomes an equi-join: a point asks in one cell of each width that occurs (64 at most). Ties take the lowest name.
     """
-    cells = intervals.where("lo < hi").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
-    held = points.withColumn("cell", F.floor(F.col(at) / width)).join(cells, "cell").where((F.col("lo") <= F.col(at)) & (F.col(at) < F.col("hi")))
-    best = held.groupBy(*points.columns).agg(F.max(F.struct("depth", (-F.col("interval")).alias("name"))).alias("best"))
+    level = F.ceil(F.log2((F.col("hi") - F.col("lo")).cast("double"))).cast("int")
+    held = intervals.where("lo < hi").withColumn("level", level)
+    cell = lambda x: F.expr(f"shiftright(cast({x} AS bigint), level)")
+    held = held.withColumn("cell", F.explode(F.array_distinct(F.array(cell("lo"), cell("hi - 1")))))
+    levels = sorted(r.level for r in held.select("level").distinct().collect())  # 64 rows at most
+    asked = points.withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("cell", cell(at))
+    met = asked.join(held, ["level", "cell"]).where((F.col("lo") <= F.col(at)) & (F.col(at) < F.col("hi")))
+    best = met.groupBy(*points.columns).agg(F.max(F.struct("depth", (-F.col("interval")).alias("name"))).alias("best"))
     return points.join(best, points.columns, "left").select(*points.columns, (-F.col("best.name")).alias("interval"))
 
 
-def scope_closure(scopes: DataFrame, depth: int) -> DataFrame:
-    """(scope, ancestor, distance) for scopes (scope, parent), each its own ancestor at 0; up to depth levels."""
-    out = scopes.select("scope", F.col("scope").alias("ancestor"), F.lit(0).alias("distance"))
-    step = out
-    for k in range(1, depth + 1):
-        step = step.join(scopes.select(F.col("scope").alias("ancestor"), F.col("parent").alias("up")), "ancestor").where("up IS NOT NULL").select("scope", F.col("up").alias("ancestor"), F.lit(k).alias("distance"))
-        out = out.unionByName(step)
+#: Kinds of leaves that can bind a name.
+BINDING_LEAVES = ["identifier", "shorthand_property_identifier_pattern", "shorthand_property_identifier"]
+
+
+def smallest_starting_at(points: DataFrame, nodes: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
+    """points (keys, at) with node_ix: of the named nodes that start at that byte the shortest, of equals one that can bind
+    a name, then the first; null if none starts there."""
+    rank = F.struct((F.col("end_byte") - F.col("start_byte")).alias("size"), (~F.col("kind").isin(BINDING_LEAVES)).alias("other"), "node_ix")
+    best = nodes.where("named").groupBy(*keys, F.col("start_byte").alias(at)).agg(F.min(rank)["node_ix"].alias("node_ix"))
+    return points.join(best, [*keys, at], "left")
+
+
+def scope_closure(scopes: DataFrame) -> DataFrame:
+    """(scope, ancestor, distance) for scopes (scope, parent), each its own ancestor at 0, up to the outermost.
+
+    Distances double from round to round: as many rounds as the depth has binary digits.
+    """
+    out = cut(scopes.select("scope", F.col("scope").alias("ancestor"), F.lit(0).alias("distance")), "closure")
+    jump = cut(scopes.where("parent IS NOT NULL AND parent != scope").select("scope", F.col("parent").alias("up")), "jump")
+    step, most = 1, scopes.count()
+    while not jump.isEmpty():
+        if step > most:
+            raise ValueError("scopes contain themselves")
+        far = out.join(jump.withColumnRenamed("scope", "ancestor"), "ancestor").select("scope", F.col("up").alias("ancestor"), (F.col("distance") + step).alias("distance"))
+        grown = cut(out.unionByName(far), "closure")
+        further = cut(jump.join(jump.select(F.col("scope").alias("up"), F.col("up").alias("next")), "up").select("scope", F.col("next").alias("up")), "jump")
+        free(out, jump)
+        out, jump, step = grown, further, 2 * step
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,15 +48,23 @@ def partners_in_window(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(met, left["size"] == met["s"], "left").select("id", "size", F.coalesce("partners", F.lit(0)).alias("partners"))
 
 
+def gate_keys(minhash: Column, lanes: int, least: int) -> Column:
+    """Keys of which two signatures with `least` equal lanes share one: lanes are dealt to least - 1 groups, so two equal
+    lanes fall into one group (pigeonhole), and each pair of lanes of a group is a key. Single lanes for least = 1."""
+    if least < 2:
+        keys = [(k, k) for k in range(lanes)]
+    else:
+        keys = [p for g in range(least - 1) for p in combinations(range(g, lanes, least - 1), 2)]
+    return F.array(*[F.struct(F.lit(k).alias("key"), minhash[i].alias("x"), minhash[j].alias("y")) for k, (i, j) in enumerate(keys)])
+
+
 def gate_pairs(rows: DataFrame, lanes: int, least: int) -> DataFrame:
-    """(i1, i2, equal_lanes) of rows (id, minhash) with at least `least` equal lanes, i1 < i2. Lossless.
+    """(i1, i2, equal_lanes) of rows (id, minhash) with at least `least` equal lanes, i1 < i2. Lossless (see gate_keys).
 
-    By the pigeonhole principle a passing pair agrees in one of any lanes - least + 1 lanes; those are the join keys.
     Rows with equal signatures should be one row (feature_classes), so that copies do not meet in pairs.
     """
-    keys = rows.select("id", "minhash", F.posexplode(F.slice("minhash", 1, lanes - least + 1)).alias("lane", "value"))
-    ids = keys.select("lane", "value", "id")
-    met = ids.alias("a").join(ids.alias("b"), ["lane", "value"]).where("a.id < b.id").select(F.col("a.id").alias("i1"), F.col("b.id").alias("i2")).distinct()
+    ids = rows.select("id", F.explode(gate_keys(F.col("minhash"), lanes, least)).alias("key"))
+    met = ids.alias("a").join(ids.alias("b"), "key").where("a.id < b.id").select(F.col("a.id").alias("i1"), F.col("b.id").alias("i2")).distinct()
     a, b = rows.select(F.col("id").alias("i1"), F.col("minhash").alias("m1")), rows.select(F.col("id").alias("i2"), F.col("minhash").alias("m2"))
     return met.join(a, "i1").join(b, "i2").withColumn("equal_lanes", H.equal_lanes(F.col("m1"), F.col("m2"))).where(F.col("equal_lanes") >= least).select("i1", "i2", "equal_lanes")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,15 +27,15 @@ def declarations(pairs: DataFrame) -> DataFrame:
 def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     """(i1, i2, name_match): pairs of one name and compatible kinds; and others whose sizes and signatures are near.
 
-    A pair that passes the gate agrees in one of any LANES - GATE + 1 lanes, which serve as keys.
+    A pair that passes the gate agrees in two lanes that make a key (see gate_keys).
     """
     a, b = old.alias("a"), new.alias("b")
     kinds = S.compatible_kinds(F.col("a.kind"), F.col("b.kind"))
     named = a.join(b, (F.col("a.pair_id") == F.col("b.pair_id")) & (F.col("a.name") == F.col("b.name")) & kinds).select(F.col("a.id").alias("i1"), F.col("b.id").alias("i2"), F.lit(True).alias("name_match"))
-    keys = lambda t: t.select("pair_id", "id", "name", "kind", "size", F.posexplode(F.slice("minhash", 1, LANES - GATE + 1)).alias("lane", "value"))
+    keys = lambda t: t.select("pair_id", "id", "name", "kind", "size", F.explode(S.gate_keys(F.col("minhash"), LANES, GATE)).alias("key"))
     x, y = keys(old).alias("a"), keys(new).alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("pair_id", "lane", "value")]
-    near = x.join(y, same[0] & same[1] & same[2] & (F.col("a.name") != F.col("b.name")) & kinds & S.size_window(F.col("a.size"), F.col("b.size")))
+    same = (F.col("a.pair_id") == F.col("b.pair_id")) & (F.col("a.key") == F.col("b.key"))
+    near = x.join(y, same & (F.col("a.name") != F.col("b.name")) & kinds & S.size_window(F.col("a.size"), F.col("b.size")))
     near = near.select(F.col("a.id").alias("i1"), F.col("b.id").alias("i2")).distinct()
     m1, m2 = old.select(F.col("id").alias("i1"), F.col("minhash").alias("m1")), new.select(F.col("id").alias("i2"), F.col("minhash").alias("m2"))
     gated = near.join(m1, "i1").join(m2, "i2").where(H.equal_lanes(F.col("m1"), F.col("m2")) >= GATE).select("i1", "i2", F.lit(False).alias("name_match"))
@@ -77,13 +79,29 @@ def evidence(a: str, b: str) -> tuple[Column, Column]:
     return F.when(n > 0, score).otherwise(0.0), n
 
 
+@dataclass
+class Comparison:
+    """declarations; matches: pair_id, i1, i2, name_old, name_new, similarity, classification (unchanged, string_only or
+    structural); changes: see compare."""
+
+    declarations: DataFrame
+    matches: DataFrame
+    changes: DataFrame
+    words: DataFrame  # of changed matches: pair_id, i1, i2, and for both sides tokens as words, their lines, and the text
+
+
 def compare(pairs: DataFrame, fingerprints: bool = False) -> tuple[DataFrame, DataFrame]:
     """(matches, changes) of pairs (pair_id, old, new).
 
-    matches: pair_id, i1, i2, name_old, name_new, similarity, classification (unchanged, string_only or structural).
-    changes: pair_id, change, name, classification; unchanged matches have no row. With fingerprints, the similarity of
-    functions and variables is 0.7 times the score of shared evidence plus 0.3 times that of their shapes.
+    changes: pair_id, change, name, classification, kind, name_new, similarity, description, path, and of both sides line,
+    end_line and snippet; unchanged matches have no row. With fingerprints, the similarity of functions and variables is
+    0.7 times the score of shared evidence plus 0.3 times that of their shapes.
     """
+    found = comparison(pairs, fingerprints)
+    return found.matches, found.changes
+
+
+def comparison(pairs: DataFrame, fingerprints: bool = False) -> Comparison:
     decls = declarations(pairs)
     old, new = decls.where("side = 'old'"), decls.where("side = 'new'")
     columns = ["id", "pair_id", "name", "kind", "signature", "hashes", "size"]
@@ -93,34 +111,76 @@ def compare(pairs: DataFrame, fingerprints: bool = False) -> tuple[DataFrame, Da
     scored = scored.withColumn("similarity", score)
     count = F.lit(0)
     if fingerprints:
-        held = ["strings", "constants", "api", "evidence_size"]
-        w = decls.select("side", "id", "kind", *held).join(weights(decls), ["side", "id"])
-        mine, other = w.where("side = 'old'").select(F.col("id").alias("i1"), F.struct("kind", *held, "w_strings", "w_constants", "w_api").alias("f1")), w.where("side = 'new'").select(F.col("id").alias("i2"), F.struct("kind", *held).alias("f2"))
-        scored = scored.join(mine, "i1").join(other, "i2")
-        both = F.col("f1.kind").isin("function", "variable") & F.col("f2.kind").isin("function", "variable")
-        score, n = evidence("f1", "f2")
-        scored = scored.withColumn("shape", F.col("similarity")).withColumn("evidence", F.when(both, n).otherwise(0))
-        scored = scored.withColumn("similarity", F.when(both, 0.7 * score + 0.3 * F.col("shape")).otherwise(F.col("shape")))
+        scored = with_evidence(scored, decls)
         count = F.col("evidence")
     good = F.col("name_match") | H.acceptance(F.round(F.col("similarity") * H.SCALE, 6).cast("long"), count, F.col("size_old"))
-    edges = scored.where(good).select("i1", "i2", "similarity", F.col("pair_id_old").alias("pair_id"), F.col("name_match"), F.col("size_new").alias("size2"), F.col("name_old"), F.col("name_new"))
-    matches = M.cut(M.greedy(edges, [-F.col("similarity"), F.col("i1"), (~F.col("name_match")).cast("int"), F.col("size2")]), "matches")
+    edges = scored.where(good).select("i1", "i2", "similarity", F.col("pair_id_old").alias("pair_id"), F.col("name_match"), F.col("size_new").alias("size2"), F.col("name_old"), F.col("name_new"), "kind_old")
+    matches = M.greedy(edges, [-F.col("similarity"), F.col("i1"), (~F.col("name_match")).cast("int"), F.col("size2")])
 
     # Names of other declarations read alike where those declarations are matched.
     maps = lambda key: matches.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col(f"{key}.decl_ix"), F.concat(F.lit("match "), F.col("i1.decl_ix").cast("string"))))).alias("known"))
 
-    def normal(t: DataFrame, key: str, name: str) -> DataFrame:
+    def normal(t: DataFrame, key: str, k: int) -> DataFrame:
         joined = t.join(maps(key), "pair_id")
-        word = lambda k: F.concat_ws(" ", k["tag"], F.coalesce(F.element_at("known", k["decl"]), k["text"]))
-        return joined.select(F.col("id").alias(key), F.transform("tokens", word).alias(name), F.transform("tokens", lambda k: F.when(k["tag"] == "string", "string").otherwise(word(k))).alias(f"{name}_plain"))
-
-    read = matches.join(normal(old, "i1", "t1"), "i1").join(normal(new, "i2", "t2"), "i2")
-    kind = F.when(F.col("t1") == F.col("t2"), "unchanged").when(F.col("t1_plain") == F.col("t2_plain"), "string_only").otherwise("structural")
-    matches = read.select("pair_id", "i1", "i2", "name_old", "name_new", "similarity", kind.alias("classification"))
-    changed = matches.where("classification != 'unchanged'").select("pair_id", F.lit("modification").alias("change"), F.col("name_old").alias("name"), "classification")
-    gone = M.unmatched(old, matches, "i1").select("pair_id", F.lit("deletion").alias("change"), "name", F.lit(None).cast("string").alias("classification"))
-    came = M.unmatched(new, matches, "i2").select("pair_id", F.lit("addition").alias("change"), "name", F.lit(None).cast("string").alias("classification"))
-    return matches, changed.unionByName(gone).unionByName(came)
+        word = lambda x: F.concat_ws(" ", x["tag"], F.coalesce(F.element_at("known", x["decl"]), x["text"]))
+        plain = F.transform("tokens", lambda x: F.when(x["tag"] == "string", "string").otherwise(word(x)))
+        return joined.select(F.col("id").alias(key), F.transform("tokens", word).alias(f"t{k}"), plain.alias(f"plain{k}"), F.transform("tokens", lambda x: x["line"]).alias(f"lines{k}"), F.col("text").alias(f"text{k}"))
+
+    read = matches.join(normal(old, "i1", 1), "i1").join(normal(new, "i2", 2), "i2")
+    kind = F.when(F.col("t1") == F.col("t2"), "unchanged").when(F.col("plain1") == F.col("plain2"), "string_only").otherwise("structural")
+    read = M.cut(read.withColumn("classification", kind).withColumnRenamed("kind_old", "kind").drop("plain1", "plain2", "size2", "name_match"), "classified")
+    matches = read.select("pair_id", "i1", "i2", "name_old", "name_new", "similarity", "classification", "kind")
+    return Comparison(decls, matches, _changes(old, new, matches), read.where("classification != 'unchanged'").select("pair_id", "i1", "i2", "t1", "lines1", "text1", "t2", "lines2", "text2"))
+
+
+def with_evidence(scored: DataFrame, decls: DataFrame) -> DataFrame:
+    """scored pairs (i1, i2, similarity) with the similarity of shared evidence mixed in, and evidence: how much of it there is."""
+    held = ["strings", "constants", "api", "evidence_size"]
+    w = decls.select("side", "id", "kind", *held).join(weights(decls), ["side", "id"])
+    mine, other = w.where("side = 'old'").select(F.col("id").alias("i1"), F.struct("kind", *held, "w_strings", "w_constants", "w_api").alias("f1")), w.where("side = 'new'").select(F.col("id").alias("i2"), F.struct("kind", *held).alias("f2"))
+    scored = scored.join(mine, "i1").join(other, "i2")
+    both = F.col("f1.kind").isin("function", "variable") & F.col("f2.kind").isin("function", "variable")
+    score, n = evidence("f1", "f2")
+    scored = scored.withColumn("shape", F.col("similarity")).withColumn("evidence", F.when(both, n).otherwise(0))
+    return scored.withColumn("similarity", F.when(both, 0.7 * score + 0.3 * F.col("shape")).otherwise(F.col("shape")))
+
+
+def described(change: Column, kind: Column, old: Column, new: Column, classification: Column, similarity: Column) -> Column:
+    """What happened to a declaration, in words. Formats are fixed values."""
+    what = F.when(classification == "string_only", F.lit("string-only")).otherwise(F.format_string("structural (%.1f%%)", similarity * 100))
+    return (
+        F.when(change == "deletion", F.format_string("Removed %s '%s'", kind, old))
+        .when(change == "addition", F.format_string("Added %s '%s'", kind, new))
+        .when(old != new, F.format_string("%s '%s' (was '%s') — %s", kind, new, old, what))
+        .otherwise(F.format_string("%s '%s' — %s", kind, old, what))
+    )
+
+
+def path_of(old: Column, new: Column) -> Column:
+    """Where a change stands; one of both names may be null."""
+    return F.when(old != new, F.format_string("global.%s->%s", old, new)).otherwise(F.format_string("global.%s", F.coalesce(old, new)))
+
+
+def _changes(old: DataFrame, new: DataFrame, matches: DataFrame) -> DataFrame:
+    place = lambda t, key, s: t.select(F.col("id").alias(key), *[F.col(c).alias(f"{c}_{s}") for c in ("line", "end_line", "snippet")])
+    none = lambda s: [F.lit(None).cast(k).alias(f"{c}_{s}") for c, k in (("line", "int"), ("end_line", "int"), ("snippet", "string"))]
+    empty = [F.lit(None).cast("string").alias("classification"), F.lit(None).cast("double").alias("similarity")]
+    changed = matches.where("classification != 'unchanged'").join(place(old, "i1", "old"), "i1").join(place(new, "i2", "new"), "i2").withColumn("change", F.lit("modification"))
+    here = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("line", "end_line", "snippet")]
+    gone = M.unmatched(old, matches, "i1").select("pair_id", F.lit("deletion").alias("change"), F.col("name").alias("name_old"), F.lit(None).cast("string").alias("name_new"), "kind", *empty, *here("old"), *none("new"))
+    came = M.unmatched(new, matches, "i2").select("pair_id", F.lit("addition").alias("change"), F.lit(None).cast("string").alias("name_old"), F.col("name").alias("name_new"), "kind", *empty, *none("old"), *here("new"))
+    rows = changed.select(*gone.columns).unionByName(gone).unionByName(came)
+    text = described(F.col("change"), F.col("kind"), F.col("name_old"), F.col("name_new"), F.col("classification"), F.col("similarity"))
+    return rows.select("pair_id", "change", F.coalesce("name_old", "name_new").alias("name"), "classification", "kind", "name_new", "similarity", text.alias("description"), path_of(F.col("name_old"), F.col("name_new")).alias("path"), *[f"{c}_{s}" for s in ("old", "new") for c in ("line", "end_line", "snippet")])
+
+
+def totals(declarations: DataFrame, matches: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per pair: total_old, total_new, matched and similarity (matched over the larger side; 1 for two empty sides)."""
+    sides = declarations.groupBy("pair_id").agg(F.count_if(F.col("side") == "old").alias("total_old"), F.count_if(F.col("side") == "new").alias("total_new"))
+    n = matches.groupBy("pair_id").agg(F.count(F.lit(1)).alias("matched"))
+    rows = pairs.select("pair_id").join(sides, "pair_id", "left").join(n, "pair_id", "left").fillna(0)
+    high = F.greatest("total_old", "total_new")
+    return rows.withColumn("similarity", F.when(high == 0, 1.0).otherwise(F.col("matched") / high))
 
 
 def summary(pairs: DataFrame, matches: DataFrame, changes: DataFrame) -> DataFrame:

@@ -333,7 +333,7 @@ def transition_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p.pos AS at, arg_max(i.interval, depth * 1000000000 - i.interval) AS interval FROM p LEFT JOIN v i ON lo <= p.pos AND p.pos < hi GROUP BY 1""")
 def innermost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("interval"), (F.col("c_custkey") * 7).alias("lo"), (F.col("c_custkey") * 7 + 5 + F.col("c_custkey") % 40).alias("hi"), (F.col("c_custkey") % 9).alias("depth"))
-    return O.innermost(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("at")).distinct(), i, width=32)
+    return O.innermost(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("at")).distinct(), i)
 
 
 _SCOPES = """s AS (SELECT 'r' || r_regionkey AS scope, CAST(NULL AS VARCHAR) AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
@@ -354,7 +354,7 @@ def nearest_scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     bindings = region.select(name("r", "r_regionkey").alias("scope"), x("r_regionkey", 3).alias("name"), name("region ", "r_regionkey").alias("symbol"))
     bindings = bindings.unionByName(nation.select(name("n", "n_nationkey").alias("scope"), x("n_nationkey", 4).alias("name"), name("nation ", "n_nationkey").alias("symbol"))).unionByName(nation.select(name("n", "n_nationkey").alias("scope"), x("n_nationkey", 6).alias("name"), name("again ", "n_nationkey").alias("symbol")))
     refs = customer.select(F.col("c_custkey").alias("ref"), name("c", "c_custkey").alias("scope"), x("c_custkey", 5).alias("name"))
-    return O.resolve_names(refs, O.scope_closure(scopes, 2), bindings).select("ref", "name", "symbol", "resolution")
+    return O.resolve_names(refs, O.scope_closure(scopes), bindings).select("ref", "name", "symbol", "resolution")
 
 
 @query("SELECT l_partkey, l_suppkey, arg_min(l_orderkey, l_orderkey * 100 + l_linenumber) AS first_value, arg_max(l_orderkey, l_orderkey * 100 + l_linenumber) AS last_value, count(*) AS n FROM lineitem GROUP BY 1, 2")

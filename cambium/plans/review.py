@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How many ancestors, children, references and calls are shown.
-ANCESTORS, CHILDREN, REFERENCES, CALLS = 6, 12, 24, 16
-ROLES = ["read", "write", "read_write", "call", "construct", "export"]
+from cambium.functions.js_analysis import ROLES
+
+#: How many children, references and calls are shown.
+CHILDREN, REFERENCES, CALLS = 12, 24, 16
 KINDS = ["direct", "member", "construct", "dynamic"]
 
 
@@ -31,24 +32,20 @@ def _capped(rows: DataFrame, keys: list[str], order: str, fields: list[str], cap
 
 
 def entries(tables: dict[str, DataFrame], keys: list[str], generated: bool = False) -> DataFrame:
-    """One row a symbol: its kind, scope, ancestors, children, usage, references and calls. The text's own names are left
-    out unless generated."""
-    nodes, symbols, references, calls = (tables[t] for t in ("nodes", "symbols", "references", "calls"))
-    s = symbols.select(*keys, "symbol_ix", "kind", "node_ix", *(["name"] if generated else []))
-    up = nodes.select(*keys, "node_ix", "parent_ix", F.col("kind").alias("node_kind"))
-    chain = s.join(up.drop("node_kind"), [*keys, "node_ix"]).select(*keys, "symbol_ix", F.col("parent_ix").alias("at"), F.array().cast("array<string>").alias("ancestors"))
-    for _ in range(ANCESTORS):
-        step = up.select(*keys, F.col("node_ix").alias("at"), F.col("parent_ix").alias("next"), "node_kind")
-        chain = chain.join(step, [*keys, "at"], "left").select(*keys, "symbol_ix", F.col("next").alias("at"), F.when(F.col("node_kind").isNull(), F.col("ancestors")).otherwise(F.concat("ancestors", F.array("node_kind"))).alias("ancestors"))
-    parent = s.join(nodes.select(*keys, "node_ix", F.col("parent_ix").alias("box")), [*keys, "node_ix"]).select(*keys, "symbol_ix", "box")
-    kids = parent.join(nodes.where("named").select(*keys, F.col("parent_ix").alias("box"), F.col("node_ix").alias("child_ix"), F.col("kind").alias("child_kind")), [*keys, "box"])
-    children = _capped(kids, keys, "child_ix", ["child_kind"], CHILDREN, "children")
-    held = references.where("symbol_ix IS NOT NULL").join(nodes.select(*keys, "node_ix", "parent_ix"), [*keys, "node_ix"]).join(nodes.select(*keys, F.col("node_ix").alias("parent_ix"), F.col("kind").alias("parent_kind")), [*keys, "parent_ix"], "left")
-    refs = _capped(held, keys, "ref_ix", ["role", "resolution", "parent_kind"], REFERENCES, "reference_contexts")
-    by_ref = references.select(*keys, F.col("ref_ix").alias("callee_ref"), "symbol_ix")
-    called = calls.join(by_ref, [*keys, "callee_ref"]).where("symbol_ix IS NOT NULL").withColumnRenamed("kind", "call_kind")
-    call = _capped(called, keys, "call_ix", ["call_kind"], CALLS, "call_contexts")
-    out = s.drop("node_ix").join(chain.drop("at"), [*keys, "symbol_ix"]).join(usage(tables, keys), [*keys, "symbol_ix"])
+    """One row a symbol: its identity, kind, scope, the declaration that holds it with ancestors and children, usage,
+    references and calls. The text's own names are left out unless generated."""
+    nodes, scopes, symbols, references, calls = (tables[t] for t in ("nodes", "scopes", "symbols", "references", "calls"))
+    box = nodes.select(*keys, F.col("node_ix").alias("container_ix"), F.col("node_id").alias("declaration_id"), F.col("kind").alias("declaration_kind"), "start_byte", "end_byte")
+    scope = scopes.select(*keys, "scope_ix", "scope_id", F.col("kind").alias("scope_kind"), F.col("depth").alias("scope_depth"), F.col("ancestor_kinds").alias("scope_ancestors"))
+    s = symbols.select(*keys, "symbol_ix", "symbol_id", "kind", "scope_ix", "container_ix", F.col("ancestor_kinds").alias("ancestors"), *(["name"] if generated else []))
+    out = s.join(scope, [*keys, "scope_ix"]).join(box, [*keys, "container_ix"]).join(usage(tables, keys), [*keys, "symbol_ix"])
+    kids = nodes.where("named").select(*keys, F.col("parent_ix").alias("container_ix"), F.col("node_ix").alias("child_ix"), F.col("kind").alias("child_kind"))
+    children = _capped(s.select(*keys, "symbol_ix", "container_ix").join(kids, [*keys, "container_ix"]), keys, "child_ix", ["child_kind"], CHILDREN, "children")
+    up = nodes.select(*keys, "node_ix", "parent_ix", "node_id").join(nodes.select(*keys, F.col("node_ix").alias("parent_ix"), F.col("kind").alias("parent_kind")), [*keys, "parent_ix"], "left")
+    refs = _capped(references.where("symbol_ix IS NOT NULL").join(up, [*keys, "node_ix"]), keys, "ref_ix", ["node_id", "role", "resolution", "parent_kind"], REFERENCES, "reference_contexts")
+    by_ref = references.where("symbol_ix IS NOT NULL").select(*keys, F.col("ref_ix").alias("callee_ref"), "symbol_ix")
+    called = calls.join(by_ref, [*keys, "callee_ref"]).join(nodes.select(*keys, "node_ix", "node_id"), [*keys, "node_ix"]).withColumnRenamed("kind", "call_kind").withColumn("is_target", F.col("target_symbol").isNotNull())
+    call = _capped(called, keys, "call_ix", ["node_id", "call_kind", "is_target"], CALLS, "call_contexts")
     for part in (children, refs, call):
         out = out.join(part, [*keys, "symbol_ix"], "left")
-    return out
+    return out.drop("container_ix", "scope_ix")

@@ -60,10 +60,41 @@ def find(dump: dict[str, DataFrame], name: str) -> DataFrame:
     return old.unionByName(new).orderBy(F.desc("side"), "id")
 
 
+def find_first(dump: dict[str, DataFrame], name: str) -> DataFrame:
+    """The first declaration of a name: of the old side, else of the new."""
+    return dump["declarations"].where(F.col("name") == name).orderBy(F.desc("side"), "id").limit(1).select("side", "id", "name", "kind", "line", "signature")
+
+
 def match_of(dump: dict[str, DataFrame], pair_id, decl_ix: int) -> DataFrame:
     return dump["matches"].where((F.col("i1.pair_id") == pair_id) & (F.col("i1.decl_ix") == decl_ix))
 
 
+def match_named(dump: dict[str, DataFrame], name: str | None = None) -> DataFrame:
+    """(pair_id, name, line, other, other_line, similarity): for each pair the first old declaration of a name (of every
+    name if none is given) and what it matches; null if nothing."""
+    d = dump["declarations"]
+    old = d.where("side = 'old'") if name is None else d.where((F.col("side") == "old") & (F.col("name") == name))
+    first = old.groupBy("pair_id", "name").agg(F.min_by(F.struct("id", "line"), "decl_ix").alias("f")).select("pair_id", "name", "f.id", "f.line")
+    new = d.where("side = 'new'").select(F.col("id").alias("i2"), F.col("name").alias("other"), F.col("line").alias("other_line"))
+    found = first.join(dump["matches"].select(F.col("i1").alias("id"), "i2", "similarity"), "id", "left").join(new, "i2", "left")
+    return found.select("pair_id", "name", "line", "other", "other_line", "similarity")
+
+
+def inspect(declarations: DataFrame, matches: DataFrame, name: str) -> DataFrame:
+    """What there is of a name: the old side's declarations with what they match, then those of the new side that no
+    declaration shown matches. (pair_id, side, id, kind, line, end_line, size, signature, other, other_line, similarity,
+    hashes, strings, constants, api, text): the first 10 hashes, 5 of each kind of evidence, and 200 characters."""
+    most = F.slice("hashes", 1, 10).alias("hashes"), *[F.slice(c, 1, 5).alias(c) for c in ("strings", "constants", "api")]
+    show = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text")).alias("text")
+    rows = declarations.where(F.col("name") == name).select("pair_id", "side", "id", "kind", "line", "end_line", "size", "signature", *most, show)
+    new = declarations.where("side = 'new'").select(F.col("id").alias("i2"), F.col("name").alias("other"), F.col("line").alias("other_line"))
+    met = matches.select("i1", "i2", "similarity").join(new, "i2")
+    old = rows.where("side = 'old'").join(met.withColumnRenamed("i1", "id"), "id", "left")
+    shown = old.select(F.col("i2").alias("id")).where("id IS NOT NULL")
+    rest = rows.where("side = 'new'").join(shown, "id", "left_anti")
+    return old.drop("i2").unionByName(rest, allowMissingColumns=True)
+
+
 def unmatched(dump: dict[str, DataFrame], side: str) -> DataFrame:
     """Declarations of a side (old or new) that nothing matches."""
     key = "i1" if side == "old" else "i2"
@@ -74,6 +105,17 @@ def summary(dump: dict[str, DataFrame]) -> DataFrame:
     return dump["changes"].groupBy("pair_id", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
+def overview(dump: dict[str, DataFrame]) -> DataFrame:
+    """Per pair: declarations of both sides, matches, similarity, and changes by kind."""
+    d, m = dump["declarations"], dump["matches"]
+    sides = d.groupBy("pair_id").agg(F.count_if(F.col("side") == "old").alias("total_old"), F.count_if(F.col("side") == "new").alias("total_new"))
+    n = m.groupBy("pair_id").agg(F.count(F.lit(1)).alias("matched"))
+    kinds = {"additions": "addition", "deletions": "deletion", "modifications": "modification"}
+    c = dump["changes"].groupBy("pair_id").agg(*[F.count_if(F.col("change") == k).alias(name) for name, k in kinds.items()])
+    rows = sides.join(n, "pair_id", "left").join(c, "pair_id", "left").fillna(0)
+    return rows.withColumn("similarity", F.col("matched") / F.greatest("total_old", "total_new"))
+
+
 def renames(dump: dict[str, DataFrame]) -> DataFrame:
     """(pair_id, old, new) of matched declarations whose names differ."""
     return dump["matches"].where("name_old != name_new").select("pair_id", F.col("name_old").alias("old"), F.col("name_new").alias("new"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium.functions import js_analysis
@@ -13,12 +13,24 @@ from cambium.functions.js_parser import ParseError
 
 #: Columns of each table, as Spark types.
 TABLES = {
-    "nodes": "node_ix int, parent_ix int, child_ordinal int, kind string, start_byte int, end_byte int, named boolean",
-    "scopes": "scope_ix int, parent_ix int, kind string, depth int, start_byte int, end_byte int",
-    "symbols": "symbol_ix int, name string, kind string, scope_ix int, node_ix int",
-    "references": "ref_ix int, node_ix int, scope_ix int, name string, role string, symbol_ix int, resolution string, start_byte int, end_byte int",
-    "calls": "call_ix int, node_ix int, kind string, callee string, callee_ref int, target_symbol int, property string, first_arg string",
-    "declarations": "decl_ix int, name string, kind string, node_kind string, signature string, line int, end_line int, start_byte int, end_byte int, hashes array<bigint>, tokens array<struct<tag:string,text:string,decl:int>>, strings array<string>, constants array<string>, api array<struct<key:string,arg:string>>, evidence_size int",
+    "nodes": "node_ix int, node_id string, parent_ix int, child_ordinal int, kind string, start_byte int, end_byte int, named boolean, flags int",
+    "scopes": "scope_ix int, scope_id string, parent_ix int, kind string, depth int, start_byte int, end_byte int, ancestor_kinds array<string>",
+    "symbols": "symbol_ix int, symbol_id string, name string, kind string, scope_ix int, node_ix int, reference_first int, reference_count int, container_ix int, ancestor_kinds array<string>",
+    "references": "ref_ix int, ref_id string, node_ix int, scope_ix int, name string, role string, symbol_ix int, resolution string, start_byte int, end_byte int",
+    "calls": "call_ix int, call_id string, node_ix int, kind string, callee string, callee_ref int, target_symbol int, property string, first_arg string",
+    "declarations": (
+        "decl_ix int, name string, kind string, node_kind string, signature string, line int, end_line int, start_byte int, end_byte int, hashes array<bigint>, "
+        "tokens array<struct<tag:string,text:string,decl:int,line:int>>, strings array<string>, constants array<string>, api array<struct<key:string,arg:string>>, evidence_size int, snippet string, text string"
+    ),
+}
+
+#: What an analysis does not tell: fixed codes, with what they mean.
+LOSSES = {
+    "source_map_lineage_unavailable": "where a text comes from is told by its source map, not by its analysis",
+    "fingerprint_evidence_unavailable": "evidence of declarations is not part of the graph",
+    "dynamic_call_target_unavailable": "calls of members and of computed functions have no target",
+    "tdz_and_flow_resolution_unavailable": "names are resolved by scope, not by when they are assigned",
+    "dynamic_scope_unavailable": "with statements and direct eval can change what a name means",
 }
 
 
@@ -56,7 +68,7 @@ def analyze(sources: DataFrame, which: list[str] | None = None, strict: bool = T
             errors = []
             for text in frame["source"]:
                 try:
-                    found, error = js_analysis.analyze(text or ""), None
+                    found, error = js_analysis.analyze(text or "", which=which), None
                 except ParseError as e:
                     if strict:
                         raise
@@ -66,7 +78,7 @@ def analyze(sources: DataFrame, which: list[str] | None = None, strict: bool = T
                     rows = [dict(zip(names[t], r, strict=True)) for r in found[t]]
                     for r in rows:
                         if "tokens" in r:
-                            r["tokens"] = [{"tag": a, "text": b, "decl": c} for a, b, c in r["tokens"]]
+                            r["tokens"] = [{"tag": a, "text": b, "decl": c, "line": d} for a, b, c, d in r["tokens"]]
                             r["api"] = [{"key": a, "arg": b} for a, b in r["api"]]
                     made[t].append(rows)
             yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame({**made, "error": errors})], axis=1)
@@ -80,6 +92,50 @@ def rows_of(analysis: DataFrame, table: str, keys: list[str]) -> DataFrame:
     return analysis.select(*keys, F.inline(table))
 
 
+def losses(spark: SparkSession) -> DataFrame:
+    """(code, message): what no analysis of this kind can tell."""
+    return spark.createDataFrame(list(LOSSES.items()), "code string, message string")
+
+
+def digests(sources: DataFrame, analysis: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., source_digest, source_length, analysis_digest): SHA-256 of each text's bytes, and of all its tables."""
+    tables = [t for t in TABLES if t in analysis.columns]
+    source = F.coalesce("source", F.lit("")).cast("binary")
+    texts = sources.select(*keys, F.sha2(source, 256).alias("source_digest"), F.octet_length(source).cast("long").alias("source_length"))
+    return texts.join(analysis.select(*keys, F.sha2(F.to_json(F.struct(*tables)), 256).alias("analysis_digest")), keys)
+
+
+def outline(sources: DataFrame) -> DataFrame:
+    """(keys..., node_ix, text): the syntax tree of each source as indented lines."""
+    keys = [c for c in sources.columns if c != "source"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = frame[keys].copy()
+            made["line"] = [[{"node_ix": k, "text": t} for k, t in js_analysis.outline(text or "")] for text in frame["source"]]
+            yield made
+
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in sources.schema if f.name != "source"], "line array<struct<node_ix:int,text:string>>"])
+    return sources.mapInPandas(run, schema).select(*keys, F.inline("line"))
+
+
+def source_range(source: Column | str, start_line: Column, end_line: Column) -> Column:
+    """Lines start_line to end_line (from 1) of a text; empty where there are none."""
+    lines = F.split(F.coalesce(F.col(source) if isinstance(source, str) else source, F.lit("")), "\r?\n", -1)
+    count = F.least(end_line, F.size(lines)) - start_line + 1
+    return F.when((start_line >= 1) & (count > 0), F.array_join(F.slice(lines, F.greatest(start_line, F.lit(1)), F.greatest(count, F.lit(0))), "\n")).otherwise("")
+
+
+def out_of_range(declarations: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., decl_ix) of declarations whose bytes are no part of their source: empty, beyond its end, or cutting a
+    character."""
+    raw = sources.select(*keys, F.coalesce("source", F.lit("")).cast("binary").alias("raw"))
+    start, end = F.col("start_byte"), F.col("end_byte")
+    inner = lambda at: F.conv(F.hex(F.expr(f"substring(raw, {at} + 1, 1)")), 16, 10).cast("int").between(128, 191)
+    bad = (start >= end) | (start < 0) | (end > F.octet_length("raw")) | F.coalesce(inner("start_byte"), F.lit(False)) | F.coalesce(inner("end_byte"), F.lit(False))
+    return declarations.join(raw, keys).where(bad).select(*keys, "decl_ix")
+
+
 def read_sources(spark: SparkSession, path: str, most_bytes: int = 256 << 20) -> DataFrame:
     """(file_id, source) of whole files, which must be UTF-8 and no longer than most_bytes."""
     files = spark.read.format("binaryFile").load(path)

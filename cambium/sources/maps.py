@@ -28,6 +28,31 @@ def segments(maps: DataFrame, limits: sourcemap.Limits = sourcemap.Limits()) ->
     return made.withColumn("at", F.col("gen_line") * WIDTH + F.col("gen_col"))
 
 
+def validate(maps: DataFrame, limits: sourcemap.Limits = sourcemap.Limits()) -> DataFrame:
+    """(map_id, valid, segments, digest, error) of maps (map_id, json): whether each is sound and within the limits, how many
+    segments it has, the SHA-256 of its bytes, and what is wrong."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for i, text in zip(frame["map_id"], frame["json"], strict=True):
+                try:
+                    rows.append((i, len(sourcemap.decode(text, limits)), None))
+                except sourcemap.MapError as e:
+                    rows.append((i, None, str(e)))
+            yield pd.DataFrame(rows, columns=["map_id", "segments", "error"]).astype({"segments": "Int64"})
+
+    kind = maps.schema["map_id"].dataType.simpleString()
+    found = maps.select("map_id", "json").mapInPandas(run, f"map_id {kind}, segments long, error string")
+    digest = maps.select("map_id", F.sha2(F.col("json").cast("binary"), 256).alias("digest"))
+    return found.join(digest, "map_id").select("map_id", F.col("error").isNull().alias("valid"), "segments", "digest", "error")
+
+
+def redacted(found: DataFrame) -> DataFrame:
+    """What a lookup found, without the names of sources and symbols."""
+    return found.drop("source", "name")
+
+
 def lookup(queries: DataFrame, table: DataFrame) -> DataFrame:
     """queries (map_id, line, column, ...) with source, orig_line, orig_col, name and status.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cambium.operators import names
-from cambium.operators.matching import cut
+from cambium.operators.scratch import cut, free
 
 
 def read_log(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
@@ -23,13 +25,14 @@ def fold(spark: SparkSession, requests: DataFrame, folder: str, batch: int) -> N
     """
     nth = F.row_number().over(Window.partitionBy("doc_id", "symbol_id").orderBy("at", "new_state", "new_name"))
     requests = cut(requests.withColumn("nth", nth), "requests")
-    events, added = read_log(spark, folder, batch), None
+    events, made = read_log(spark, folder, batch), []
     for k in range(1, (requests.agg(F.max("nth")).first()[0] or 0) + 1):
         new = cut(names.apply_requests(events, requests.where(F.col("nth") == k).drop("nth", "at")), "added")
         events = events.unionByName(new)
-        added = new if added is None else added.unionByName(new)
-    if added is not None:
-        added.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        made.append(new)
+    if made:
+        functools.reduce(DataFrame.unionByName, made).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    free(requests, *made)
 
 
 def start(spark: SparkSession, requests: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

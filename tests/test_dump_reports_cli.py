@@ -30,10 +30,16 @@ def test_reports(spark):
     pairs = spark.createDataFrame([(1, OLD, NEW)], "pair_id long, old string, new string")
     matches, changes = diff.compare(pairs)
     assert [r.text for r in report.summary_lines(diff.summary(pairs, matches, changes)).collect()] == ["matched: 2", "renamed: 1", "unchanged: 1", "string_only: 1", "structural: 0", "added: 1", "removed: 1"]
-    assert [r.text for r in report.compact_lines(changes).collect()] == ["+ New", "- gone", "~ f string_only"]
+    assert [r.text for r in report.compact_lines(changes, "a.js", "b.js").collect()] == ["Removed: 1", "  gone (a.js:3-3)", "Added: 1", "  New (b.js:3-3)", "String-only: 1", "  f (a.js:1 -> b.js:1)"]
+    assert [r.text for r in report.full_lines(changes).collect()] == [
+        "=== Removed ===", "--- Removed variable 'gone'\n    at line 3: var gone=function(){for(;;)q()}", "=== Added ===", "+++ Added class 'New'\n    at line 3: class New{m(){}}",
+        "=== String Changes ===", "@@@ function 'f' — string-only\n  - at line 1: function f(){return \"a\"}\n  + at line 1: function f(){return \"b\"}",
+    ]
+    assert [r.text for r in report.rename_export(matches).collect()] == ["g: renamed\n"]
     assert any(r.text == '+function f(){return "b"}' for r in report.unified(pairs).collect())
-    long = spark.range(1).select(report.snippet(F.lit("  " + "x" * 300 + "\nrest")).alias("s")).first().s
-    assert len(long) == 201 and long.endswith("…")
+    long = spark.createDataFrame([("x", "var a='" + "x" * 300 + "';\n\n  /*1*/ function f(){}")], "file_id string, source string")
+    shown = [r.snippet for r in javascript.rows_of(javascript.analyze(long, ["declarations"]), "declarations", ["file_id"]).collect()]
+    assert len(shown[0]) == 201 and shown[0].endswith("…") and shown[1] == "/*1*/ function f(){}"
 
 
 def test_integrity(spark):
@@ -61,7 +67,7 @@ def test_command_line(spark, tmp_path, capsys):
     old.write_text(OLD)
     new.write_text(NEW)
     assert cli.main(["diff", str(old), str(new), "--format", "compact", "--dump", f"{tmp_path}/d"]) == 0
-    assert capsys.readouterr().out.splitlines() == ["+ New", "- gone", "~ f string_only"]
+    assert capsys.readouterr().out.splitlines()[:2] == ["Removed: 1", "  gone (old.js:3-3)"]
     assert cli.main(["dump", f"{tmp_path}/d", "unmatched-old"]) == 0
     assert '"gone"' in capsys.readouterr().out
     assert cli.main(["canon", str(old), "--mapping", f"{tmp_path}/m"]) == 0

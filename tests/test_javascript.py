@@ -36,7 +36,7 @@ def rows(text, table):
 
 def test_scopes_and_roles():
     text = "var t=1;function f(a){let t=a;t+=1;return g(t)}new f(t);t=2"
-    roles = [(r[3], r[4], r[6]) for r in rows(text, "references")]
+    roles = [(r[4], r[5], r[7]) for r in sorted(rows(text, "references"), key=lambda r: r[8])]
     assert roles == [("a", "read", "resolved"), ("t", "read_write", "resolved"), ("g", "call", "unresolved"), ("t", "read", "resolved"), ("f", "construct", "resolved"), ("t", "read", "resolved"), ("t", "write", "resolved")]
 
 

@@ -22,7 +22,7 @@ def test_lineage_follows_renames(spark):
     matches, targets, stats = traced(spark, OLD, NEW)
     assert {k: matches[k][:2] for k in ("area", "greet", "Box")} == {"area": ("a", "accepted"), "greet": ("b", "accepted"), "Box": ("C", "accepted")}
     assert targets["extra"] in ("added", "ambiguous") and targets["a"] == "accepted"
-    assert stats.sources == 6 and stats.accepted + stats.abstained == 6
+    assert stats.source_symbols == 6 and stats.accepted + stats.abstained + stats.deleted == 6
 
 
 def test_clones_abstain(spark):
@@ -100,9 +100,13 @@ def test_event_log(spark):
     forged = [list(r) for r in events.collect()]
     forged[0][6] = "approved"
     assert names.violations(log(spark, [tuple(r) for r in forged])).count() > 0
-    accepted = spark.createDataFrame([("s1", "t1"), ("s2", "t2")], "source_symbol string, target_symbol string")
-    moved = names.propagate(events, accepted, spark.createDataFrame([("t1",), ("t2",)], "symbol_id string"), "new", "me").collect()
-    assert [(r.doc_id, r.symbol_id, r.new_name) for r in moved] == [("new", "t1", "total")]
+    accepted = spark.createDataFrame([("d", "s1", "new", "t1"), ("d", "s2", "new", "t2")], "doc_id string, source_symbol string, new_doc string, target_symbol string")
+    moved = names.propagate(events, accepted, spark.createDataFrame([("new", "t1"), ("new", "t2")], "new_doc string, symbol_id string"))
+    assert [(r.doc_id, r.symbol_id, r.new_state, r.new_name) for r in moved.collect()] == [("new", "t1", "approved", "total")]
+    assert names.apply_requests(log(spark, []), moved, trusted=True).count() == 1
+    for bad in (request(spark, ("s3", "suggested", "x"), ("s3", "suggested", "y")), request(spark, ("s3", "suggested", " x"))):
+        with pytest.raises(PySparkException):
+            names.apply_requests(events, bad).collect()
 
 
 TEXT = 'import {q as z} from "m";export function keep(a,{b,c:d=1}){let e=a+b*-d;return z(e,`x${a}`)};var u=keep(1,{b:2});if(u){u++}else{for(let i=0;i<3;i++)console.log(i)}'
@@ -150,5 +154,5 @@ def test_review_entries(spark):
     tables = {t: javascript.rows_of(made, t, ["file_id"]) for t in ("nodes", "scopes", "symbols", "references", "calls")}
     got = {r.name: r for r in review.entries(tables, ["file_id"], generated=True).collect()}
     assert (got["f"].references, got["f"].call, got["f"].direct_calls, len(got["f"].call_contexts), got["f"].call_contexts_truncated) == (20, 20, 20, 16, True)
-    assert got["a"].read == 1 and got["a"].ancestors == ["formal_parameters", "function_declaration", "program"] and got["t"].direct_calls == 0
+    assert got["a"].read == 1 and got["a"].ancestors == ["program"] and got["a"].declaration_kind == "function_declaration" and got["a"].children[0].child_kind == "identifier" and got["t"].direct_calls == 0
     assert "name" not in review.entries(tables, ["file_id"]).columns
