@@ -87,6 +87,13 @@ def digest_id(domain: str, *parts: Column) -> Column:
     return F.sha2(F.concat(*pieces), 256)
 
 
+def feature_hash(*parts: Column | str) -> Column:
+    """A signed 64-bit hash of parts: the first eight bytes, least first, of the SHA-256 over each behind its length."""
+    domain, *rest = parts
+    digest = digest_id(domain, *rest)
+    return F.conv(F.concat(*[F.substring(digest, 15 - 2 * k, 2) for k in range(8)]), 16, -10).cast("long")
+
+
 def string_context(text: Column) -> Column:
     """What a string literal looks like. Fixed values, in order: error words, path marks, endpoints, kebab case, long identifiers."""
     low = F.lower(text)

@@ -18,13 +18,12 @@ NAMES = {"identifier", "shorthand_property_identifier", "shorthand_property_iden
 
 
 def hash64(*parts: str) -> int:
-    """A signed 64-bit hash of a list of texts."""
-    h = hashlib.blake2b(digest_size=8)
+    """A signed 64-bit hash of a list of texts: the first eight bytes, least first, of the SHA-256 over each behind its length."""
+    h = hashlib.sha256()
     for p in parts:
         b = p.encode("utf-8", "surrogatepass")
-        h.update(len(b).to_bytes(8, "little"))
-        h.update(b)
-    return int.from_bytes(h.digest(), "little", signed=True)
+        h.update(len(b).to_bytes(8, "little") + b)
+    return int.from_bytes(h.digest()[:8], "little", signed=True)
 
 
 def digest_id(domain: str, *parts: object) -> str:
@@ -490,7 +489,9 @@ def _tables(tree: Tree, which: list[str] | None) -> dict[str, list[tuple]]:
         out["nodes"] = [(k, ids.of_node[id(n)], None if n.parent is None else number[id(n.parent)], n.ordinal, n.kind, tree.byte(n.start), tree.byte(n.end), n.named, flags(n)) for k, n in enumerate(order)]
     if "declarations" in wanted:
         out["declarations"] = _declarations(tree, b)
-    if not wanted - {"nodes", "declarations"}:
+    if "occurrences" in wanted:
+        out["occurrences"] = [(b.by_node[id(n)], tree.byte(n.start), tree.byte(n.end)) for n in order if id(n) in b.by_node and n.kind in NAMES]
+    if not wanted - {"nodes", "declarations", "occurrences"}:
         return out
 
     placed = sorted(range(len(b.scopes)), key=lambda k: (b.scopes[k].depth, b.scopes[k].start, b.scopes[k].end, SCOPES.index(b.scopes[k].kind), k))

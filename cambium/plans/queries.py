@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium.functions import hashing as H
-from cambium.functions import js_rewrite
-from cambium.operators import integrity, names
 from cambium.operators import matching as M
 from cambium.operators import ordered as O
 from cambium.operators import similarity as S
-from cambium.plans import diff, lineage
-from cambium.sources import javascript, maps
+from cambium.plans import diff
+from cambium.sources import javascript
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -129,14 +126,22 @@ def _old_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 ACROSS_SQL = f"""{SCORED_SQL}, x2 AS (SELECT CASE WHEN i1 % 2 = 0 THEN i1 ELSE i2 END AS i1, CASE WHEN i1 % 2 = 0 THEN i2 ELSE i1 END AS i2, similarity_bps FROM q WHERE (i1 + i2) % 2 = 1)"""
 
 
-@query()
+# Edges one after the other, best first, with the ends that were taken before.
+GREEDY_SQL = f"""WITH RECURSIVE {ACROSS_SQL}, e AS (SELECT row_number() OVER (ORDER BY similarity_bps DESC, i1, i2) AS n, i1, i2, similarity_bps FROM x2),
+g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS u1, CAST([] AS BIGINT[]) AS u2, CAST(NULL AS BIGINT) AS i1, CAST(NULL AS BIGINT) AS i2, CAST(NULL AS BIGINT) AS similarity_bps, FALSE AS took
+ UNION ALL SELECT e.n, CASE WHEN list_contains(u1, e.i1) OR list_contains(u2, e.i2) THEN u1 ELSE list_append(u1, e.i1) END, CASE WHEN list_contains(u1, e.i1) OR list_contains(u2, e.i2) THEN u2 ELSE list_append(u2, e.i2) END,
+ e.i1, e.i2, e.similarity_bps, NOT (list_contains(u1, e.i1) OR list_contains(u2, e.i2)) FROM g JOIN e ON e.n = g.n + 1),
+m AS (SELECT i1, i2, similarity_bps FROM g WHERE took)"""
+SIDES_SQL = "SELECT id FROM h WHERE len(features) > 0 AND id % 2 ="
+
+
+@query(f"{GREEDY_SQL} SELECT i1, i2, similarity_bps FROM m")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential by nature: tests hold it against a loop."""
     _, _, edges = _old_new(spark, sf_dir)
     return M.greedy(edges, [-F.col("similarity_bps")]).select("i1", "i2", "similarity_bps")
 
 
-@query()
+@query(f"{GREEDY_SQL} SELECT id, 'removed' AS change FROM ({SIDES_SQL} 0) WHERE id NOT IN (SELECT i1 FROM m) UNION ALL SELECT id, 'added' FROM ({SIDES_SQL} 1) WHERE id NOT IN (SELECT i2 FROM m)")
 def added_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new, edges = _old_new(spark, sf_dir)
     matches = M.greedy(edges, [-F.col("similarity_bps")])
@@ -144,7 +149,7 @@ def added_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gone.unionByName(M.unmatched(new, matches, "i2").select("id", F.lit("added").alias("change")))
 
 
-@query()
+@query(f"{GREEDY_SQL}, z AS (SELECT (SELECT count(*) FROM ({SIDES_SQL} 0)) AS n_old, (SELECT count(*) FROM ({SIDES_SQL} 1)) AS n_new, (SELECT count(*) FROM m) AS matched) SELECT n_old, n_new, matched, n_old - matched AS removed, n_new - matched AS added, CAST(matched * 10000 // greatest(n_old, n_new) AS BIGINT) AS similarity_bps FROM z")
 def similarity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new, edges = _old_new(spark, sf_dir)
     return M.match_summary(old, new, M.greedy(edges, [-F.col("similarity_bps")]))
@@ -179,13 +184,6 @@ def exact_duplicate_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unique_anchors(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "key")
 
 
-@query("SELECT a.p_partkey AS i1, b.p_partkey AS i2 FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1")
-def name_anchor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    a = part.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "i1")
-    return a.join(part.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "i2"), ["p_name", "p_brand"]).select("i1", "i2")
-
-
 @query("""WITH o AS (SELECT doc_id AS id, length(coalesce(text, '')) AS size FROM documents)
 SELECT a.id, a.size, count(b.id) AS partners FROM (SELECT * FROM o WHERE id % 2 = 0) a LEFT JOIN (SELECT * FROM o WHERE id % 2 = 1) b ON b.size BETWEEN greatest(1, a.size // 2) AND a.size * 3 // 2 GROUP BY 1, 2""")
 def size_band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,17 +266,12 @@ FROM u a JOIN u b ON b.user_id = a.user_id + 1""")
 def role_histogram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's histogram of event types against the next user's."""
     events = table(spark, sf_dir, "events").select("user_id", "event_type")
-    kinds = [r.event_type for r in events.select("event_type").distinct().orderBy("event_type").limit(5).collect()]  # the five event types
+    kinds = [r.event_type for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # a few event types
     counts = events.groupBy("user_id").agg(*[F.count_if(F.col("event_type") == k).alias(f"r{i}") for i, k in enumerate(kinds)])
     a, b = counts.alias("a"), counts.alias("b")
     return a.join(b, F.col("b.user_id") == F.col("a.user_id") + 1).select(F.col("a.user_id").alias("u1"), F.col("b.user_id").alias("u2"), H.histogram_bps([(F.col(f"a.r{i}"), F.col(f"b.r{i}")) for i in range(len(kinds))]).alias("similarity_bps"))
 
 
-@query("""SELECT user_id, count(*) AS n_events, count(DISTINCT event_type) AS n_types, count(*) FILTER (WHERE value > 50) AS n_large, min(event_id) AS first_event, max(event_id) AS last_event FROM events GROUP BY 1""")
-def usage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("event_type").alias("n_types"), F.count_if(F.col("value") > 50).alias("n_large"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
-
-
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     return rows.where("event_id % 3 = 0"), rows.where("event_id % 3 != 0")
@@ -377,15 +370,6 @@ def canonical_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.dense_numbers(tokens, "doc_id", "token", "at").select("doc_id", "token", F.col("number").cast("long").alias("number"))
 
 
-@query(f"""WITH {RANK_SQL} SELECT d.i2 AS doc_id, CAST(l.quality AS INTEGER) AS quality FROM d JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE toxic = 0 GROUP BY 1) l ON l.doc_id = d.i1 WHERE d.decision = 'accepted'""")
-def three_way_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels that are approved (not toxic) move along accepted matches to documents of the new version."""
-    _, new, edges = _old_new(spark, sf_dir)
-    accepted = M.reciprocal_best(edges.withColumnRenamed("similarity_bps", "score")).where("decision = 'accepted'").select("i1", "i2")
-    labels = table(spark, sf_dir, "labels").where("toxic = 0").groupBy(F.col("doc_id").alias("i1")).agg(F.min("quality").alias("quality"))
-    return accepted.join(labels, "i1").join(new.select(F.col("id").alias("i2")), "i2", "left_semi").select(F.col("i2").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-
-
 @query("""SELECT 'lineitem without order' AS violation, count(*) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)
 UNION ALL SELECT 'order without customer', count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)
 UNION ALL SELECT 'order key repeats', count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'line number not positive', count(*) FROM lineitem WHERE l_linenumber < 1""")
@@ -404,18 +388,6 @@ def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT n_nationkey, sha256('nation' || ':' || n_nationkey || ':' || n_name) AS id FROM nation")
-def sha_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.sha2(F.concat_ws(":", F.lit("nation"), F.col("n_nationkey").cast("string"), "n_name").cast("binary"), 256).alias("id"))
-
-
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n_lines, max(length(line) + length(regexp_replace(line, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) AS widest_utf16 FROM l GROUP BY 1""")
-def utf16_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    wide = F.length("line") + F.length(F.regexp_replace("line", "[^\\x{10000}-\\x{10FFFF}]", ""))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max(wide).cast("long").alias("widest_utf16"))
-
-
 # Pages hold one inline script each: var t="...";track(N);
 
 SQL_SCRIPT = "regexp_extract(html, '<script>(.*?)</script>', 1)"
@@ -452,73 +424,3 @@ def page_script_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pairs = M.cut(old.select(F.col("page_id").alias("pair_id"), F.col("source").alias("old"), new.alias("new")), "pairs")
     return diff.summary(pairs, *diff.compare(pairs))
-
-
-# Queries over texts of our own, whose answers are known.
-
-OLD_TEXT = 'import {q as z} from "m";\nfunction area(w,h){return w*h}\nfunction greet(n){if(n){log("hello "+n)}else{throw new Error("x")}}\nfunction stays(){return z("a")}\nvar gone=function(){for(;;)tick()};'
-NEW_TEXT = 'import {q as z} from "m";\nfunction a(x,y){return x*y}\nfunction greet(n){if(n){log("hello "+n)}else{throw new Error("y")}}\nfunction stays(){return z(null)}\nclass Extra{size(){return 1}}'
-
-
-def inline_pair(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, OLD_TEXT, NEW_TEXT)], "pair_id long, old string, new string")
-
-
-@query("""SELECT * FROM (VALUES ('addition', 'Extra', NULL), ('deletion', 'gone', NULL), ('modification', 'greet', 'string_only'), ('modification', 'stays', 'structural')) t(change, name, classification)""")
-def js_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.compare(inline_pair(spark))[1].select("change", "name", "classification")
-
-
-@query("SELECT * FROM (VALUES ('area', 'a', 'accepted'), ('greet', 'greet', 'accepted'), ('stays', 'stays', 'abstained'), ('z', 'z', 'accepted')) t(name_old, name_new, decision)")
-def js_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names are no signal: a changed body too near to others makes a symbol abstain."""
-    matches, _, _ = lineage.trace(inline_pair(spark))
-    return matches.where("name_old IN ('area', 'greet', 'stays', 'z')").select("name_old", "name_new", "decision")
-
-
-@query("""SELECT * FROM (VALUES ('a', 'read', 'resolved', 'parameter'), ('t', 'read_write', 'resolved', 'let'), ('g', 'call', 'unresolved', NULL), ('t', 'read', 'resolved', 'let'), ('f', 'construct', 'resolved', 'function'), ('t', 'read', 'resolved', 'variable'), ('t', 'write', 'resolved', 'variable')) t(name, role, resolution, kind)""")
-def js_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = javascript.analyze(spark.createDataFrame([("f", "var t=1;function f(a){let t=a;t+=1;return g(t)}new f(t);t=2")], "file_id string, source string"), ["references", "symbols"])
-    symbols = javascript.rows_of(made, "symbols", ["file_id"]).select("file_id", "symbol_ix", "kind")
-    return javascript.rows_of(made, "references", ["file_id"]).join(symbols, ["file_id", "symbol_ix"], "left").select("name", "role", "resolution", "kind")
-
-
-@query("SELECT CAST(0 AS BIGINT) AS n")
-def js_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both inline texts and all scripts of pages keep the rules of an analysis."""
-    own = spark.createDataFrame([("old", OLD_TEXT), ("new", NEW_TEXT)], "file_id string, source string")
-    files = own.unionByName(page_scripts(spark, sf_dir).select(F.col("page_id").cast("string").alias("file_id"), "source"))
-    made = M.cut(javascript.analyze(files), "analysis")
-    tables = {t: javascript.rows_of(made, t, ["file_id"]) for t in ("nodes", "scopes", "symbols", "references", "calls")}
-    return integrity.violations(tables, ["file_id"]).agg(F.count(F.lit(1)).alias("n"))
-
-
-MAP_TEXT = '{"version":3,"sources":["a.js"],"names":[],"mappings":"IAAA,KACE,AAIG;;AAEL"}'
-
-
-@query("SELECT * FROM (VALUES (0, 0, 'unmapped', NULL, NULL), (0, 5, 'mapped', 0, 0), (0, 100, 'ambiguous', 1, 2), (0, 100, 'ambiguous', 5, 5), (1, 3, 'ambiguous', 1, 2), (1, 3, 'ambiguous', 5, 5), (2, 1, 'mapped', 7, 0)) t(line, \"column\", status, orig_line, orig_col)")
-def js_map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table_ = maps.segments(spark.createDataFrame([("m", MAP_TEXT)], "map_id string, json string"))
-    asked = spark.createDataFrame([("m", 0, 0), ("m", 0, 5), ("m", 0, 100), ("m", 1, 3), ("m", 2, 1)], "map_id string, line long, column long")
-    return maps.lookup(asked, table_).select("line", "column", "status", "orig_line", "orig_col")
-
-
-@query("SELECT * FROM (VALUES ('s1', 'approved', 'total'), ('s2', 'suggested', 'count')) t(symbol_id, state, name)")
-def js_name_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.createDataFrame([], names.EVENT)
-    for asked in ([("d", "s1", "suggested", "total", "review", "me"), ("d", "s2", "suggested", "count", "review", "me")], [("d", "s1", "approved", None, "review", "me")]):
-        rows = spark.createDataFrame(asked, "doc_id string, symbol_id string, new_state string, new_name string, origin string, actor string")
-        events = M.cut(events.unionByName(names.apply_requests(events, rows)), "events")
-    return names.current(events).select("symbol_id", "state", "name")
-
-
-@query("SELECT 'function fn(param_0, param_1) ' || chr(123) || chr(10) || '  return param_0 + param_1' || chr(10) || chr(125) || chr(10) AS text")
-def js_canonical_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text under canonical names, formatted; the function's own name, which holds a hash, reads fn."""
-
-    def run(frames):
-        for frame in frames:
-            frame["text"] = [re.sub(r"fn_[0-9a-f]+", "fn", js_rewrite.pretty(js_rewrite.canonicalize(t)[0])) for t in frame["text"]]
-            yield frame
-
-    return spark.createDataFrame([("function f(a,b){return a+b}",)], "text string").mapInPandas(run, "text string")

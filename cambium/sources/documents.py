@@ -70,7 +70,7 @@ def review_documents(entries: DataFrame, digests: DataFrame, events: DataFrame |
     generated = F.col("name") if "name" in entries.columns else F.lit(None).cast("string")
     provenance = F.when(F.col("last").isNotNull(), F.struct("last.origin", "last.actor", "last.evidence_digest"))
     entry = F.struct("symbol_id", F.coalesce("last.new_state", F.lit(names.UNKNOWN)).alias("state"), F.col("last.new_name").alias("semantic_name"), generated.alias("generated_name"), *_immutable(), provenance.alias("provenance"))
-    symbols = entries.join(last, ["doc_id", "symbol_id"], "left").groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("symbols"))
+    symbols = entries.join(last, ["doc_id", "symbol_id"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["symbol_id"] < b["symbol_id"], -1).when(a["symbol_id"] > b["symbol_id"], 1).otherwise(0)).alias("symbols"))
     event = F.struct("revision", *[c for c in events.columns if c not in ("doc_id", "revision")])
     log = events.groupBy("doc_id").agg(F.sort_array(F.collect_list(event)).alias("events"))
     kind = log.schema["events"].dataType
@@ -83,6 +83,21 @@ def review_documents(entries: DataFrame, digests: DataFrame, events: DataFrame |
     return rows.select("doc_id", F.to_json(body).alias("json"))
 
 
+def updated(read: DataFrame, events: DataFrame) -> DataFrame:
+    """(doc_id, json): documents that were read (doc_id, NAMES) with another event log, and the states that follow from it."""
+    last = events.groupBy("doc_id", "symbol_id").agg(F.max_by(F.struct("new_state", "new_name", "origin", "actor", "evidence_digest"), "revision").alias("last"))
+    rows = symbols_of(read)
+    kept = [c for c in rows.columns if c not in ("doc_id", "symbol_id", "state", "semantic_name", "provenance")]
+    provenance = F.when(F.col("last").isNotNull(), F.struct("last.origin", "last.actor", "last.evidence_digest"))
+    entry = F.struct("symbol_id", F.coalesce("last.new_state", F.lit(names.UNKNOWN)).alias("state"), F.col("last.new_name").alias("semantic_name"), *kept, provenance.alias("provenance"))
+    symbols = rows.join(last, ["doc_id", "symbol_id"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["symbol_id"] < b["symbol_id"], -1).when(a["symbol_id"] > b["symbol_id"], 1).otherwise(0)).alias("symbols"))
+    log = events.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("revision", *[c for c in events.columns if c not in ("doc_id", "revision")]))).alias("events"))
+    held = F.coalesce("e.events", F.array().cast(log.schema["events"].dataType))
+    out = read.alias("r").join(symbols.alias("s"), "doc_id", "left").join(log.alias("e"), "doc_id", "left")
+    symbols_or_none = F.coalesce("s.symbols", F.array().cast(symbols.schema["symbols"].dataType))
+    return out.select("doc_id", F.to_json(F.struct("r.format", F.size(held).cast("long").alias("revision"), "r.instructions", "r.analysis", "r.redacted", symbols_or_none.alias("symbols"), held.alias("events"))).alias("json"))
+
+
 def events_of(read: DataFrame) -> DataFrame:
     """The event log of documents that were read (doc_id, NAMES)."""
     rows = read.select("doc_id", F.inline("events"))
@@ -127,5 +142,5 @@ def bound_violations(read: DataFrame, entries: DataFrame, digests: DataFrame) ->
     out = out.unionByName(names.symbol_differences(symbols, entries).select("doc_id", F.lit("other symbols").alias("problem")))
     fields_ = ["kind", "scope", "declaration", "usage", "references", "references_truncated", "calls", "calls_truncated"]
     told = symbols.select("doc_id", "symbol_id", F.to_json(F.struct(*fields_)).alias("told"))
-    true = entries.select("doc_id", "symbol_id", F.struct(*_immutable()).alias("e")).select("doc_id", "symbol_id", F.to_json(F.struct(*[F.col("e")[f].alias(f) for f in fields_])).alias("true"))
-    return out.unionByName(told.join(true, ["doc_id", "symbol_id"]).where("told != true").select("doc_id", F.lit("altered context").alias("problem")))
+    made = entries.select("doc_id", "symbol_id", F.struct(*_immutable()).alias("e")).select("doc_id", "symbol_id", F.to_json(F.struct(*[F.col("e")[f].alias(f) for f in fields_])).alias("made"))
+    return out.unionByName(told.join(made, ["doc_id", "symbol_id"]).where("told != made").select("doc_id", F.lit("altered context").alias("problem")))

@@ -18,6 +18,7 @@ TABLES = {
     "symbols": "symbol_ix int, symbol_id string, name string, kind string, scope_ix int, node_ix int, reference_first int, reference_count int, container_ix int, ancestor_kinds array<string>",
     "references": "ref_ix int, ref_id string, node_ix int, scope_ix int, name string, role string, symbol_ix int, resolution string, start_byte int, end_byte int",
     "calls": "call_ix int, call_id string, node_ix int, kind string, callee string, callee_ref int, target_symbol int, property string, first_arg string",
+    "occurrences": "symbol_ix int, start_byte int, end_byte int",
     "declarations": (
         "decl_ix int, name string, kind string, node_kind string, signature string, line int, end_line int, start_byte int, end_byte int, hashes array<bigint>, "
         "tokens array<struct<tag:string,text:string,decl:int,line:int>>, strings array<string>, constants array<string>, api array<struct<key:string,arg:string>>, evidence_size int, snippet string, text string"
@@ -56,9 +57,10 @@ def _names(columns: str) -> list[str]:
 def analyze(sources: DataFrame, which: list[str] | None = None, strict: bool = True) -> DataFrame:
     """sources (keys..., source) with one array column for each table and error: null, or where the text doesn't parse.
 
-    strict raises on the first text that is not JavaScript; else its tables are empty. A null source is empty.
+    strict raises on the first text that is not JavaScript; else its tables are empty. A null source is empty. occurrences
+    (every place that spells a symbol) are made only where `which` names them.
     """
-    which = which or list(TABLES)
+    which = which or [t for t in TABLES if t != "occurrences"]
     keys = [c for c in sources.columns if c != "source"]
     names = {t: _names(TABLES[t]) for t in which}
 

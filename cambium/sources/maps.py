@@ -48,6 +48,21 @@ def validate(maps: DataFrame, limits: sourcemap.Limits = sourcemap.Limits()) ->
     return found.join(digest, "map_id").select("map_id", F.col("error").isNull().alias("valid"), "segments", "digest", "error")
 
 
+def positions(sources: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
+    """offsets (keys, byte) with line and column (UTF-16 units, from 0) in sources (keys, source). A byte that starts no
+    character is an error."""
+    asked = offsets.groupBy(*keys).agg(F.collect_set("byte").alias("bytes"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = frame[keys].copy()
+            made["found"] = [[{"byte": b, "line": l, "column": c} for b, (l, c) in zip(at, sourcemap.positions(text or "", list(at)), strict=True)] for text, at in zip(frame["source"], frame["bytes"], strict=True)]
+            yield made
+
+    schema = ", ".join([*[f"{k} {sources.schema[k].dataType.simpleString()}" for k in keys], "found array<struct<byte:long,line:long,column:long>>"])
+    return sources.join(asked, keys).select(*keys, "source", "bytes").mapInPandas(run, schema).select(*keys, F.inline("found"))
+
+
 def redacted(found: DataFrame) -> DataFrame:
     """What a lookup found, without the names of sources and symbols."""
     return found.drop("source", "name")
