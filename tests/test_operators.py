@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -78,3 +79,37 @@ def test_digest_id_tells_parts_apart(spark):
     df = spark.range(1).select(H.digest_id("d", F.lit("ab"), F.lit("c")).alias("x"), H.digest_id("d", F.lit("a"), F.lit("bc")).alias("y"))
     r = df.first()
     assert r.x != r.y and len(r.x) == 64
+
+
+@pytest.mark.parametrize(("least", "most"), [(0, 2_000_000), (560, 10)])
+def test_greedy_takes_long_chains_and_large_components(spark, least, most):
+    """One chain of edges, whose best is last: whole components in order, and rounds for those with over `most` edges."""
+    edges = [(k, k, 2 * k) for k in range(300)] + [(k, k + 1, 2 * k + 1) for k in range(299)]
+    edges = [e for e in edges if e[2] > least]
+    got = M.greedy(spark.createDataFrame(edges, "i1 long, i2 long, s long"), [-F.col("s")], most_edges=most)
+    assert {tuple(r) for r in got.collect()} == sequential(edges)
+
+
+def test_asof_spread_equals_one_task_a_key(spark):
+    q = spark.range(2000).selectExpr("id % 2 AS k", "id * 3 AS at", "id AS q")
+    p = spark.range(900).selectExpr("id % 2 AS k", "id * 7 AS at")
+    both = [sorted(map(tuple, O.asof_position(q, p, ["k"], "at", spread=s).select("k", "q", "found").collect()), key=repr) for s in (False, True)]
+    assert both[0] == both[1]
+
+
+def test_deep_scopes_and_wide_intervals(spark):
+    chain = spark.range(700).selectExpr("id AS scope", "CASE WHEN id > 0 THEN id - 1 END AS parent")
+    closure = O.scope_closure(chain)
+    assert closure.count() == 700 * 701 // 2 and closure.where("scope = 699 AND ancestor = 0").first().distance == 699
+    with pytest.raises(ValueError):
+        O.scope_closure(spark.createDataFrame([(1, 2), (2, 1)], "scope long, parent long"))
+    intervals = spark.createDataFrame([(1, 0, 1 << 40, 0), (2, 5, 6, 1), (3, 100, 1 << 39, 1), (4, 7, 7, 9)], "interval long, lo long, hi long, depth long")
+    found = {r["at"]: r.interval for r in O.innermost(spark.createDataFrame([(0,), (5,), (6,), (100,), ((1 << 39) - 1,), (1 << 39,), (1 << 40,)], "at long"), intervals).collect()}
+    assert found == {0: 1, 5: 2, 6: 1, 100: 3, (1 << 39) - 1: 3, 1 << 39: 1, 1 << 40: None}
+
+
+def test_feature_hash_equals_the_parser_side(spark):
+    from cambium.functions.js_analysis import digest_id, hash64
+
+    row = spark.range(1).select(H.feature_hash("a", F.lit("é"), F.lit(3)).alias("h"), H.digest_id("node", F.lit(None).cast("string"), F.lit(0), F.lit("x")).alias("d")).first()
+    assert row.h == hash64("a", "é", "3") and row.d == digest_id("node", None, 0, "x")
