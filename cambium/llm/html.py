@@ -24,7 +24,9 @@ from cambium.llm.common import fresh, text_slices
 
 WINDOW, SURGE, DIVE, ARTICLE = 3, 80, 0, 4
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|))*+)>")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_CLOSE: dict[str, re.Pattern] = {}
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noframes", "noembed", "svg", "math", "object", "canvas", "audio", "video"}
 _DROP = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "fieldset", "label", "datalist", "map"}
@@ -55,79 +57,115 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" /") else {}
 
 
+def _pieces(page: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """(kind, name, attributes, text, end) in order: text, plain text, open and close. Each character is looked at a bounded
+    number of times: a mark that has no end ends the search for such marks.
+
+    A quoted value may hold ">". Where a tag's quotes leave it without an end, tags end at the first ">" from there on.
+    """
+    at, n, quotes = 0, len(page), True
+    while at < n:
+        i = page.find("<", at)
+        if i < 0:
+            yield "text", "", "", page[at:], n
+            return
+        if i > at:
+            yield "text", "", "", page[at:i], i
+        mark = page[i + 1 : i + 2]
+        if mark in ("!", "?"):
+            if page.startswith("<!--", i):
+                j = page.find("-->", i + 2)
+                at = n if j < 0 else j + 3
+            elif page.startswith("<![CDATA[", i) and (j := page.find("]]>", i + 9)) >= 0:
+                yield "plain", "", "", page[i + 9 : j], j + 3
+                at = j + 3
+            else:
+                j = page.find(">", i)
+                at = n if j < 0 else j + 1
+            continue
+        m = _TAG.match(page, i) if quotes else None
+        if m is not None:
+            name, rest, end, closes = m[2], m[3], m.end(), m[1]
+        else:
+            head = _NAME.match(page, i)
+            if head is None:  # no tag: the character itself
+                yield "text", "", "", "<", i + 1
+                at = i + 1
+                continue
+            quotes = False
+            j = page.find(">", i)
+            if j < 0:
+                yield "text", "", "", page[i:], n
+                return
+            name, rest, end, closes = page[i + 1 + len(head[1]) : min(head.end(), j)], page[min(head.end(), j) : j], j + 1, head[1]
+        yield "close" if closes else "open", name.lower(), rest, "", end
+        tag = name.lower()
+        if not closes and tag in _RAW and not (rest.endswith("/") and tag in ("svg", "math")):
+            found = _CLOSE.setdefault(tag, re.compile(rf"</{re.escape(tag)}\s*+>", re.I)).search(page, end)
+            end = found.end() if found else n
+        at = end
+
+
+@dataclass(slots=True)
+class State:
+    dropped: bool
+    article: int
+    link: bool
+    fixed: bool  # within an element that is never main text
+
+
 def lines(page: str) -> list[Line]:
     """The page's blocks in order. Elements left open end with the element around them."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # element, dropped, article, link
+    stack: list[tuple[str, State]] = []
+    opened: dict[str, int] = {}
     pieces: list[str] = []
     linked = articles = 0
-    state = (False, 0, False)
+    outside = state = State(False, 0, False, False)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            out.append(Line(text, min(linked, len(text)), state[0], state[1], any(t in _HEADINGS for t, *_ in stack[-4:])))
+            out.append(Line(text, min(linked, len(text)), state.dropped, state.article, any(t in _HEADINGS for t, _ in stack[-4:])))
         pieces.clear()
         linked = 0
 
-    def say(raw: str, plain: bool = False) -> None:
-        nonlocal linked
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    for kind, tag, rest, raw, _ in _pieces(page):
         if raw:
-            text = raw if plain else unescape(raw)
+            text = raw if kind == "plain" else unescape(raw)
             pieces.append(text)
-            if state[2]:
+            if state.link:
                 linked += len(text.strip())
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _MARKUP.search(page, at)
-        if not m:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if m["cdata"]:
-            say(m["cdata"], plain=True)
-        if not tag:
             continue
         if tag not in _INLINE:
             flush()
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-        elif tag in _RAW:
-            if m["rest"].endswith("/") and tag in ("svg", "math"):
-                continue
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
-            continue
-        elif tag in _VOID:
+        if kind == "close":
+            if opened.get(tag):
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+        elif tag in _RAW or tag in _VOID:
             continue
         else:
-            own = _attributes(m["rest"])
+            own = _attributes(rest)
             marks = _HAS.sub(" ", f"{own.get('class', '')} {own.get('id', '')}")
-            dropped, article, link = state
-            role, kind = own.get("role", "").lower(), own.get("itemprop", "")
-            if tag in ("article", "main") or role == "main" or _BODY.search(kind):
-                remark = _REMARKS.search(marks) is not None
-                inside = any(t in _DROP for t, *_ in stack)
-                dropped = inside or remark or (dropped and article > 0)
+            dropped, article, role, name = state.dropped, state.article, own.get("role", "").lower(), own.get("itemprop", "")
+            if tag in ("article", "main") or role == "main" or _BODY.search(name):
+                dropped = state.fixed or _REMARKS.search(marks) is not None or (dropped and article > 0)
                 if not dropped and not article:
                     articles += 1
                     article = articles
             elif tag not in ("html", "body"):
                 dropped = dropped or tag in _DROP or role in _ROLES or (tag == "header" and not article) or "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in own.get("style", "").replace(" ", "").lower() or _BOILER.search(marks) is not None
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
-            stack.append((tag, dropped, article, link or tag == "a"))
-        if stack:
-            state = stack[-1][1:]
-        else:
-            state = (False, 0, False)
+                pop()
+            stack.append((tag, State(dropped, article, state.link or tag == "a", state.fixed or tag in _DROP)))
+            opened[tag] = opened.get(tag, 0) + 1
+        state = stack[-1][1] if stack else outside
     flush()
     return out
 

@@ -1,8 +1,10 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -351,3 +353,111 @@ def test_html_on_hard_tables(spark):
     out, name = html.extract(pages)
     assert name == "_text" and out.count() == 9 and all(r[name] is not None for r in out.collect())
     assert html.extract(pages.limit(0))[0].count() == 0
+
+
+class Second(HTMLParser):
+    """Another reader of pages: the library's parser, and states worked out anew from all open elements at each block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.raw, self.pieces, self.blocks, self.articles = [], None, [], [], 0
+
+    def state(self):
+        dropped, article, link = False, 0, False
+        for tag, own, number in self.open:
+            marks = html._HAS.sub(" ", f"{own.get('class') or ''} {own.get('id') or ''}")
+            if number is not None:
+                inside = any(t in html._DROP for t, *_ in self.open[: [x[0] for x in self.open].index(tag)])
+                dropped = inside or html._REMARKS.search(marks) is not None or (dropped and article > 0)
+                article = article or (0 if dropped else number)
+            elif tag not in ("html", "body"):
+                quiet = tag in html._DROP or (own.get("role") or "").lower() in html._ROLES or tag == "header" and not article or "hidden" in own
+                dropped = dropped or quiet or (own.get("aria-hidden") or "") == "true" or "display:none" in (own.get("style") or "").replace(" ", "") or html._BOILER.search(marks) is not None
+            link = link or tag == "a"
+        return dropped, article, link
+
+    def flush(self):
+        text = " ".join("".join(t for t, _ in self.pieces).split())
+        if text:
+            dropped, article, _ = self.state()
+            linked = sum(len(t.strip()) for t, link in self.pieces if link)
+            self.blocks.append(html.Line(text, min(linked, len(text)), dropped, article, any(t in html._HEADINGS for t, *_ in self.open[-4:])))
+        self.pieces = []
+
+    def handle_starttag(self, tag, attrs):
+        if self.raw:
+            return
+        if tag not in html._INLINE:
+            self.flush()
+        if tag in html._RAW:
+            self.raw = tag
+        elif tag not in html._VOID:
+            own = dict(attrs)
+            number = None
+            if tag in ("article", "main") or own.get("role") == "main" or html._BODY.search(own.get("itemprop") or ""):
+                self.articles += 1
+                number = self.articles
+            if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and self.open and self.open[-1][0] == tag:
+                self.open.pop()
+            self.open.append((tag, own, number))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.raw:
+            self.raw = None if tag == self.raw else self.raw
+            return
+        if tag not in html._INLINE:
+            self.flush()
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.pieces.append((data, self.state()[2]))
+
+
+def second_text(page):
+    reader = Second()
+    reader.feed(page)
+    reader.close()
+    reader.flush()
+    own = [x for x in reader.blocks if not x.dropped]
+    for found in ([x for x in own if x.article], own):
+        weight = [(len(x.text) - x.linked) * (html.ARTICLE if x.article else 1) for x in found]
+        near = [sum(weight[k : k + html.WINDOW]) for k in range(len(found))]
+        inside, k = set(), 0
+        while k < len(found):
+            if near[k] >= html.SURGE and weight[k]:
+                end = next((j for j in range(k, len(found)) if near[j] <= html.DIVE), len(found))
+                start = k
+                while start - 1 >= 0 and start - 1 not in inside and (weight[start - 1] or found[start - 1].heading) and not any(j in inside for j in range(start - 1, k)):
+                    start -= 1
+                inside |= set(range(start, end))
+                k = end
+            else:
+                k += 1
+        kept = [found[j] for j in sorted(inside)] or [x for x in found if len(x.text) > x.linked]
+        if kept:
+            return " ".join(x.text for x in kept)
+    return ""
+
+
+def test_html_equals_a_second_version_on_all_pages(spark):
+    pages = spark.read.parquet(f"{DIR}/pages.parquet")
+    out, name = html.extract(pages.select("page_id", "html"))
+    got = {r.page_id: r[name] for r in out.collect()}
+    assert got == {r.page_id: second_text(r.html) for r in pages.collect()} and sum(map(bool, got.values())) > 200
+    bare = [r.html.replace("<article", "<div").replace("</article", "</div") for r in pages.limit(60).collect()]
+    assert [html.main_text(x) for x in bare] == [second_text(x) for x in bare]
+
+
+@pytest.mark.parametrize("piece", ["<a", "<!", "<!--", "<a x=\"", "<a x='", "<", "</", "<b>", "</b>", "<p>", "<div>", "<article>", "<a href=x>y", "<script>", "&", "<![CDATA[", "<a b = ", "<svg>", "<li>x", "<x y='>\">"])
+def test_html_of_a_megabyte_of_one_piece(piece):
+    page = "<p>Some words before.</p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 15
