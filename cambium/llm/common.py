@@ -7,16 +7,17 @@ import contextlib
 import ctypes
 import gc
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cambium.operators.scratch import shared_folder
+
 #: Rows, and bytes, that Spark sends a Python worker at a time: a batch of whole texts is in memory on both sides. A row of
 #: more bytes is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -24,15 +25,6 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 SLICE_BYTES = 1 << 21
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cambium-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """From now on the session sends workers BATCH_ROWS rows and BATCH_BYTES at a time, or as many as it did if that is less."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
@@ -89,22 +81,29 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def ranked(scratch: Scratch, df: DataFrame, keys: list[str], order: list[str], name: str, rank: str = "rank") -> DataFrame:
+def ranked(scratch: Scratch, df: DataFrame, keys: list[str], order: list[str], name: str, rank: str = "rank", deal: list[str] | None = None, total: tuple[str, str, list[str]] | None = None) -> DataFrame:
     """df with rank, the 0-based place of a row within its keys by order.
 
-    Rows are dealt by range over keys and order, so a key that holds a third of all rows spreads over many tasks.
-    Each task numbers its own run of a key; the number of rows of that key in earlier tasks, one row for each
-    (task, key), is added. The dealt rows are written first: both steps see the same partitions. Dealing by range reads
-    df twice; df should be cheap to read.
+    Rows are dealt by range over keys and order (or over `deal`, the first of them), so a key that holds a third of all rows
+    spreads over many tasks. Each task numbers its own run of a key; the number of rows of that key in earlier tasks, one
+    row for each (task, key), is added. total: (column, as, by) adds the sum of a column over all rows before within `by`,
+    the first of keys. The dealt rows are written first: both steps see the same partitions. Dealing by range reads df
+    twice; df should be cheap to read.
     """
-    part, at, base = fresh(df, "part", "at", "base")
-    dealt = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn(part, F.spark_partition_id())
+    part, at, base, sum_at, sum_base = fresh(df.withColumns({n: F.lit(0) for n in (rank, *(total or ())[1:2])}), "part", "nth", "base", "sum_at", "sum_base")
+    dealt = df.repartitionByRange(*[F.col(c) for c in deal or [*keys, *order]]).withColumn(part, F.spark_partition_id())
     dealt = scratch.table(dealt, name)
-    from pyspark.sql import Window
-
+    before = lambda by: Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(at))
-    sizes = sizes.withColumn(base, F.coalesce(F.sum(at).over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(at)
+    sizes = sizes.withColumn(base, F.coalesce(F.sum(at).over(before(keys)), F.lit(0))).drop(at)
     within = dealt.withColumn(at, F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order)) - 1)
+    if total:
+        column, name_as, by = total
+        own = Window.partitionBy(*by, part).orderBy(*[k for k in keys if k not in by], at).rowsBetween(Window.unboundedPreceding, -1)
+        within = within.withColumn(sum_at, F.coalesce(F.sum(column).over(own), F.lit(0)))
+        sums = dealt.groupBy(*by, part).agg(F.sum(column).alias(sum_base))
+        sums = sums.withColumn(sum_base, F.coalesce(F.sum(sum_base).over(before(by)), F.lit(0)))
+        within = within.join(sums, [*by, part]).withColumn(name_as, (F.col(sum_at) + F.col(sum_base)).cast("long")).drop(sum_at, sum_base)
     joined = within.join(sizes, [*keys, part])
     return joined.withColumn(rank, (F.col(base) + F.col(at)).cast("long")).drop(part, at, base)
 

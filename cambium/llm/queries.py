@@ -58,8 +58,8 @@ def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = pages.where("page_id % 307 != 11").withColumn("html", F.expr("CASE WHEN page_id % 211 = 5 THEN substring(html, 1, length(html) div 2) WHEN page_id % 101 = 7 THEN concat(html, '!') ELSE html END"))
     left, right = warc.archive(pages), warc.archive(other)
     found = warc.audit(spark, left, right)
-    rows = left.join(found, "place", "left")
-    return rows.select(F.shiftright("place", 20).alias("page_id"), F.col("file").cast("long").alias("file"), F.col("at").alias("byte_offset"), F.col("size").alias("n_bytes"), F.col("digest").alias("sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
+    rows = left.join(found, ["id", "nth"], "left")
+    return rows.select(F.col("id").alias("page_id"), F.col("file").cast("long").alias("file"), F.col("at").alias("byte_offset"), F.col("size").alias("n_bytes"), F.col("digest").alias("sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
 
 
 def _sql_archive(source: str) -> str:
@@ -116,4 +116,28 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_warc_fixity, op4_quality_rules, op5_ngram_jaccard_join, op6_html_extraction, op7_packing, op8_sharding, op9_benchmark_decontamination, op10_token_binary)}
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op3_warc_fixity": OP3_SQL}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT l.b, r.c FROM r JOIN l ON r.doc_id = l.a)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, min(r.c)) AS component_id FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, g
+"""
+
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM (SELECT item, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size)),
+h AS (SELECT DISTINCT doc_id, i, dw.size, item FROM dw JOIN bw ON dw.size = bw.size AND dw.g = bw.g),
+p AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM (SELECT DISTINCT doc_id, i, size FROM h)) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(d.w) AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+ORACLES = {"op1_chat_formatting": OP1_SQL, "op3_warc_fixity": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op9_benchmark_decontamination": OP9_SQL}

@@ -80,7 +80,7 @@ def pages(spark, n, change=lambda i, h: h):
 def test_audit_finds_what_differs(spark):
     change = lambda i, h: {3: h[:-1] + "?", 700: "gone", 2000: None}.get(i, h)
     left, right = warc.archive(pages(spark, 2500)), warc.archive(pages(spark, 2500, change))
-    got = {r.place >> 20: r.status for r in warc.audit(spark, left, right).collect()}
+    got = {r.id: r.status for r in warc.audit(spark, left, right).collect()}
     want = {3: "damaged", 700: "missing", 2000: "damaged"} | {i: "moved" for i in range(701, 1024)} | {i: "moved" for i in range(2001, 2048)}
     want |= {i: "moved" for i in range(2001, 2048)}
     assert got == want
@@ -92,22 +92,55 @@ def test_audit_of_unlike_lengths_and_nothing(spark):
     assert {r.status for r in warc.audit(spark, some, none).collect()} == {"missing"}
     assert warc.audit(spark, none, some).count() == 40
     assert warc.audit(spark, none, none).count() == 0
-    assert {r.place >> 20 for r in warc.audit(spark, some, warc.archive(pages(spark, 5000))).collect()} == set(range(40, 5000))
+    assert {r.id for r in warc.audit(spark, some, warc.archive(pages(spark, 5000))).collect()} == set(range(40, 5000))
 
 
 def test_repeated_and_missing_ids(spark):
     rows = [(1, "u", "a"), (1, "u", "a"), (1, None, None), (None, "u", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = warc.archive(df).collect()
-    assert sorted(r.place for r in got) == [1 << 20, (1 << 20) + 1, (1 << 20) + 2]
+    assert sorted((r.id, r.nth) for r in got) == [(1, 0), (1, 1), (1, 2)]
     assert warc.audit(spark, warc.archive(df), warc.archive(df)).count() == 0
 
 
 def test_tree_nodes_are_hashes_of_their_children(spark):
-    levels = warc.tree(Scratch(spark, "t"), warc.archive(pages(spark, 300)), "x")
-    below = {r.node: r for r in levels[1].collect()}
+    records = warc.archive(pages(spark, 300))
+    levels = warc.tree(Scratch(spark, "t"), records, "x", warc.heights(records))
+    below = {r.id: r for r in levels[1].collect()}
     for r in levels[2].collect():
-        kids = [below[k] for k in sorted(below) if k // warc.FAN == r.node]
-        text = "|".join(f"{k.node}:{k.lo}:{k.hi}:{k.hash}" for k in kids)
+        kids = [below[k] for k in sorted(below) if k // warc.FAN == r.id]
+        text = "|".join(f"{k.id}:{k.nth}:{k.lo}:{k.hi}:{k.hash}" for k in kids)
         assert r.hash == hashlib.sha256(text.encode()).hexdigest()
     assert levels[-1].count() == 1
+
+
+def test_any_id_and_many_rows_of_one(spark):
+    ids = [(1 << 62, "a"), ((1 << 62) + 1, "b"), (-5, "c"), (-(1 << 62), "d"), (0, "e")] + [(7, f"t{k}") for k in range(3000)]
+    df = spark.createDataFrame([(i, "u", t) for i, t in ids], "page_id long, url string, html string")
+    left = warc.archive(df)
+    held = left.collect()
+    assert len(held) == len(ids) and sorted(r.nth for r in held if r.id == 7) == list(range(3000))
+    at = {}
+    for r in sorted((r for r in held if r.file == 0), key=lambda r: r["at"]):
+        assert r["at"] == at.get("end", 0)
+        at["end"] = r["at"] + r["size"]
+    gone = warc.archive(df.where("html NOT IN ('a', 'c')"))
+    assert {(r.id, r.status) for r in warc.audit(spark, left, gone).collect()} == {(1 << 62, "missing"), ((1 << 62) + 1, "moved"), (-5, "missing")}
+
+
+def test_very_long_texts(spark):
+    text = "word </s> & more " * 80_000
+    made = chat.conversations_of_trees(spark, chat.chains(spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")))
+    r = made.select(chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learnt")).first()
+    assert [t.text for t in r.turns] == [text, text] and r.learnt == text
+    df = spark.createDataFrame([(1, "u", text), (2, "u", text + "x")], "page_id long, url string, html string")
+    assert [r.status for r in warc.audit(spark, warc.archive(df), warc.archive(df.withColumn("html", F.lit(text)))).collect()] == ["damaged"]
+
+
+def test_branches_are_ranked_before_paths_are_listed(spark):
+    rows = [("t", k, (k - 1) // 2 if k else None, "user", f"m{k}", float(k % 7), "x") for k in range(127)]
+    best = chat.conversations_of_trees(spark, spark.createDataFrame(rows, SCHEMA), branches=3).collect()
+    paths = sorted(((-sum(p[5] for p in path), key[1]) for key, path in walk(rows).items()))
+    assert sorted((-r.score, r.leaf) for r in best) == paths[:3] and sorted(r.rank for r in best) == [1, 2, 3]
+    kept = chat.branches_of(Scratch(spark, "t"), spark.createDataFrame(rows, SCHEMA), 3)
+    assert kept.count() == 21  # three paths of seven messages, and no others
