@@ -2,8 +2,9 @@
 
 Of every GUARANTEE - K + 1 consecutive K-grams of words a text keeps the one with the least hash (the last of equals). Two
 texts that share GUARANTEE words in a row therefore keep a common fingerprint inside them. Fingerprints of documents are
-joined with those of the benchmark, and each hit is extended to both sides as far as the words agree: a run of GUARANTEE
-words or more is a match. Items with fewer words are one window, which is found as a whole.
+joined with those of the benchmark, and each hit is extended over the windows that it stands for, by the hash of all their
+words: a window of GUARANTEE words that some item has as well is a match, and matches that overlap are one span. Items with
+fewer words are one window, which is found as a whole. Every step is one over arrays, whatever the words repeat.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from cambium.llm import words
 from cambium.llm.common import Scratch, fresh, text_slices
 
 GUARANTEE, K = 13, 5
-#: Benchmark words (8 bytes each, about 14 with their fingerprints) that one broadcast holds. A larger benchmark is taken
-#: in blocks of that size, one pass over the documents each.
-BLOCK_WORDS = 2_000_000
+#: Benchmark words (8 bytes each, about 24 with their windows) that one broadcast holds; items of equal words count once. A
+#: larger benchmark is taken in blocks of about that size, one pass over the documents each. An item of more than
+#: SEGMENT_WORDS is taken in segments that overlap by a window.
+BLOCK_WORDS, SEGMENT_WORDS = 2_000_000, 100_000
 
 
 def fingerprint_places(grams: np.ndarray, window: int) -> np.ndarray:
@@ -41,60 +43,64 @@ def fingerprint_places(grams: np.ndarray, window: int) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of a block of items: [(item id or None, word hashes)]."""
+    """Fingerprints and windows of a block of items: [(item ids, word hashes)]."""
 
-    def __init__(self, items: list[tuple[object, np.ndarray]], guarantee: int = GUARANTEE, k: int = K):
+    def __init__(self, items: list[tuple[list[str], np.ndarray]], guarantee: int = GUARANTEE, k: int = K):
         self.guarantee, self.k, self.window = guarantee, k, guarantee - k + 1
-        self.names = [None if i is None else str(i) for i, _ in items]
-        self.items = [x for _, x in items]
-        short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, x in enumerate(self.items):
-            if len(x) >= guarantee:
+        self.names: list[frozenset[str]] = [frozenset(i) for i, _ in items]
+        marks, found = [np.zeros(0, np.uint64)], {}
+        for i, (_, x) in enumerate(items):
+            size = min(len(x), guarantee)
+            if size:
+                found.setdefault(size, []).append((i, words.ngrams(x, size)))
+            if size == guarantee:
                 grams = words.ngrams(x, k)
-                for p in np.unique(fingerprint_places(grams, self.window)).tolist():
-                    found[int(grams[p])].append((i, p))
-            elif len(x):
-                short[len(x)][int(words.ngrams(x, len(x))[0])].append(i)
-        self.found, self.short = dict(found), {n: dict(v) for n, v in short.items()}
-        self.keys = np.array(sorted(found), dtype=np.uint64)
-        self.short_keys = {n: np.array(sorted(v), dtype=np.uint64) for n, v in self.short.items()}
-
-    def matches(self, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(document, first word, end, item) for every shared run; first word and end count within the slice."""
-        n = len(hashes)
-        row_of = lambda p: np.searchsorted(offsets, p, side="right") - 1
-        if len(self.keys) and n >= self.guarantee:
-            grams = words.ngrams(hashes, self.k)
-            at = fingerprint_places(grams, self.window)
-            start = np.arange(len(at))
-            row = row_of(start)
-            at = np.unique(at[start + self.guarantee <= offsets[row + 1]])  # windows within one document
-            at = at[isin(grams[at], self.keys)]
-            done: dict[tuple[int, int, int], int] = {}
-            for p, d in zip(at.tolist(), row_of(at).tolist(), strict=True):
-                lo, hi = int(offsets[d]), int(offsets[d + 1])
-                for i, q in self.found[int(grams[p])]:
-                    if done.get((d, i, p - q), -1) >= p:
-                        continue
-                    x = self.items[i]
-                    left = agree(hashes[lo:p][::-1], x[:q][::-1])
-                    right = agree(hashes[p:hi], x[q:])
-                    done[d, i, p - q] = p + right
-                    if left + right >= self.guarantee:
-                        yield d, p - left, p + right, i
-        for size, keys in self.short_keys.items():
+                marks.append(grams[np.unique(fingerprint_places(grams, self.window))])
+        self.keys = np.unique(np.concatenate(marks))
+        self.windows = {size: self._table(rows) for size, rows in found.items()}
+
+    def _table(self, rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted window hashes, and for each the number of the set of items that have it."""
+        hashes = np.concatenate([x for _, x in rows])
+        owner = np.repeat([i for i, _ in rows], [len(x) for _, x in rows])
+        order = np.lexsort((owner, hashes))
+        hashes, owner = hashes[order], owner[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(hashes))
+        sets = owner[starts].astype(np.int64)
+        known: dict[bytes, int] = {}
+        for j in np.flatnonzero(owner[starts] != owner[ends - 1]).tolist():
+            own = np.unique(owner[starts[j] : ends[j]])
+            mark = own.tobytes()
+            if mark not in known:
+                known[mark] = len(self.names)
+                self.names.append(frozenset().union(*(self.names[i] for i in own.tolist())))
+            sets[j] = known[mark]
+        return hashes[starts], sets
+
+    def matches(self, hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(size, first words, documents, item sets) of all windows that items have, for each size of windows; words count
+        within the slice."""
+        for size, (known, sets) in self.windows.items():
             grams = words.ngrams(hashes, size)
-            at = np.flatnonzero(isin(grams, keys))
-            for p, d in zip(at.tolist(), row_of(at).tolist(), strict=True):
-                if p + size <= offsets[d + 1]:
-                    for i in self.short[size][int(grams[p])]:
-                        if np.array_equal(hashes[p : p + size], self.items[i]):
-                            yield d, p, p + size, i
+            at = np.arange(len(grams))
+            row = np.searchsorted(offsets, at, side="right") - 1
+            fine = at + size <= offsets[row + 1]  # within one document
+            if size == self.guarantee:  # a window that an item has keeps a fingerprint that the item keeps
+                short = words.ngrams(hashes, self.k)
+                fine &= isin(short, self.keys)[fingerprint_places(short, self.window)]
+            at = np.flatnonzero(fine)
+            at = at[isin(grams[at], known)]
+            if len(at):
+                yield size, at, row[at], sets[np.searchsorted(known, grams[at])]
 
 
 def isin(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """x in the sorted keys; a table of 16 bits answers most of it."""
+    if not len(keys):
+        return np.zeros(len(x), bool)
     maybe = np.zeros(1 << 16, bool)
     maybe[(keys >> np.uint64(48)).astype(np.int64)] = True
     out = maybe[(x >> np.uint64(48)).astype(np.int64)]
@@ -103,22 +109,15 @@ def isin(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def agree(x: np.ndarray, y: np.ndarray) -> int:
-    """Words in which x and y agree from their start on."""
-    size = min(len(x), len(y))
-    differ = x[:size] != y[:size]
-    at = int(differ.argmax()) if size else 0
-    return at if size and differ[at] else size
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def spans_of(hit: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word, end) of runs of hit words, which end with their document; words count within it."""
+    first = np.zeros(len(hit) + 1, bool)
+    first[offsets] = True
+    before = np.concatenate([[False], hit[:-1]]) & ~first[:-1]
+    after = np.concatenate([hit[1:], [False]]) & ~first[1:]
+    start, end = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after) + 1
+    row = np.searchsorted(offsets, start, side="right") - 1
+    return row, start - offsets[row], end - offsets[row]
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -130,21 +129,26 @@ def _scan(index, text: str, names: list[str], keep: list[str], before: bool):
         found = index.value
         for batch in text_slices(batches, text):
             hashes, offsets = words.hash_words(batch.column(batch.schema.get_field_index(text)), words.ALNUM)
-            spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            hit = np.zeros(len(hashes) + 1, np.int64)
             items: dict[int, set[str]] = defaultdict(set)
             if before:
                 for d, (old, had) in enumerate(zip(batch.column(names[1]).to_pylist(), batch.column(names[2]).to_pylist(), strict=True)):
-                    if old:
-                        spans[d] += [(s["start"] + int(offsets[d]), s["end"] + int(offsets[d])) for s in old]
+                    for x in old or ():
+                        hit[x["start"] + int(offsets[d])] += 1
+                        hit[x["end"] + int(offsets[d])] -= 1
                     items[d] |= set(had or ())
-            for d, a, b, i in found.matches(hashes, offsets):
-                spans[d].append((a, b))
-                if found.names[i] is not None:
-                    items[d].add(found.names[i])
+            for size, at, docs, sets in found.matches(hashes, offsets):
+                np.add.at(hit, at, 1)
+                np.add.at(hit, at + size, -1)
+                for d, k in np.unique(np.stack([docs, sets], axis=1), axis=0).tolist():
+                    items[d] |= found.names[k]
+            spans: dict[int, list[dict[str, int]]] = defaultdict(list)
+            for d, start, end in zip(*(x.tolist() for x in spans_of(np.cumsum(hit[:-1]) > 0, offsets)), strict=True):
+                spans[d].append({"start": start, "end": end})
             rows = range(batch.num_rows)
             out = [batch.column(c) for c in keep]
             out.append(pa.array(np.diff(offsets)))
-            out.append(pa.array([[{"start": a - int(offsets[d]), "end": b - int(offsets[d])} for a, b in merged(spans[d])] if d in spans else [] for d in rows], _ARROW_SPANS))
+            out.append(pa.array([spans.get(d, []) for d in rows], _ARROW_SPANS))
             out.append(pa.array([sorted(items[d]) if d in items else [] for d in rows], pa.list_(pa.string())))
             yield pa.record_batch(out, names=[*keep, *names])
 
@@ -157,15 +161,20 @@ def _blocks(benchmark: DataFrame, item: str, text: str, guarantee: int, k: int)
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             hashes, offsets = words.hash_words(batch.column(1), words.ALNUM)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))], names=["item", "hashes"])
+            ids, parts = [], []
+            for i, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for at in range(a, max(a + 1, b - guarantee + 1), SEGMENT_WORDS):
+                    ids.append(i)
+                    parts.append(hashes[at : min(b, at + SEGMENT_WORDS + guarantee - 1)].view(np.int64).tolist())
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(parts, pa.list_(pa.int64()))], names=["item", "hashes"])
 
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
-    made = rows.mapInArrow(hashed, "item string, hashes array<long>").where(F.size("hashes") > 0)
+    made = rows.mapInArrow(hashed, "item string, hashes array<long>").where(F.size("hashes") > 0).groupBy("hashes").agg(F.collect_set("item").alias("items"))
     total = made.agg(F.sum(F.size("hashes").cast("long"))).first()[0] or 0
     parts = -(-total // BLOCK_WORDS)
     for part in range(parts):
         block = made.where(F.pmod(F.xxhash64("hashes"), F.lit(parts)) == part) if parts > 1 else made
-        yield Index([(r.item, np.array(r.hashes, dtype=np.int64).view(np.uint64)) for r in block.toLocalIterator()], guarantee, k)
+        yield Index([(r["items"], np.array(r["hashes"], dtype=np.int64).view(np.uint64)) for r in block.toLocalIterator()], guarantee, k)
 
 
 def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, columns: list[str] | None = None, text: str = "text", item: str = "item_id", guarantee: int = GUARANTEE, k: int = K) -> tuple[DataFrame, list[str]]:

@@ -130,3 +130,37 @@ def test_overlaps_on_hard_tables(spark):
     assert out.count() == docs.count() - 3
     assert winnow.decontaminate(spark, docs, items.limit(0)).count() == docs.count()
     assert winnow.decontaminate(spark, empty_docs(spark), items).count() == 0
+
+
+def test_repeated_words_and_copies_of_items(spark):
+    """A document of a million equal words against a long item of them, and one item in very many copies."""
+    docs = spark.createDataFrame([(1, "same " * 1_000_000), (2, "one " + " ".join(f"w{k}" for k in range(20))), (3, "other")], "doc_id long, text string")
+    items = [(10, "same " * 5_000), (11, "same " * 13)] + [(k, " ".join(f"w{k}" for k in range(20))) for k in range(1000, 6000)]
+    out, (n, spans, names) = winnow.overlaps(spark, docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id"])
+    got = {r.doc_id: (r[n], [(x.start, x.end) for x in r[spans]], len(r[names])) for r in out.collect()}
+    assert got == {1: (1_000_000, [(0, 1_000_000)], 2), 2: (21, [(1, 21)], 5000), 3: (1, [], 0)}
+
+
+def test_long_items_are_taken_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "SEGMENT_WORDS", 7)
+    item = " ".join(f"w{k}" for k in range(60))
+    docs = [(k, " ".join(f"w{j}" for j in range(k, k + 13))) for k in range(48)] + [(99, " ".join(f"w{j}" for j in range(12)))]
+    out, (n, spans, names) = winnow.overlaps(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string"), ["doc_id"])
+    assert {r.doc_id: (sum(x.end - x.start for x in r[spans]), r[names]) for r in out.collect()} == {k: (13, ["5"]) for k in range(48)} | {99: (0, [])}
+
+
+@pytest.mark.parametrize("name", ["op5_ngram_jaccard_join", "op9_benchmark_decontamination"])
+def test_joins_equal_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = entry.queries()[name](spark, folder)
+    want = duck.sql(entry.oracle_sql()[name])
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(repr(tuple(r[want.columns.index(c)] for c in columns)) for r in want.fetchall())
