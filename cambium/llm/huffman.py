@@ -25,7 +25,7 @@ from cambium.llm.common import Scratch, text_slices
 BLOCK, EVERY, LONGEST = 1 << 16, 256, 20
 #: Word pieces that a worker remembers while it writes a corpus.
 MEMORY = 1_000_000
-BLOCKS = "first_start long, n_ids long, payload binary, checkpoints array<int>, doc_ids array<long>, starts array<long>, sizes array<long>"
+BLOCKS = "first_start long, n_ids long, payload binary, checkpoints array<long>, doc_ids array<long>, starts array<long>, sizes array<long>"
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -84,7 +84,7 @@ class Codebook:
         for k in range((self.longest + 14) // 8):
             part = ((word >> np.uint64(32 - 8 * k)) & np.uint64(255)).astype(np.float64)
             out[k:] += np.bincount(byte, weights=part, minlength=n - k)[: n - k]
-        return out[: (total + 7) // 8].astype(np.uint8).tobytes(), at[::EVERY].astype(np.int32)
+        return out[: (total + 7) // 8].astype(np.uint8).tobytes(), at[::EVERY]
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """For each possible next `longest` bits the id and its code's length."""
@@ -204,7 +204,7 @@ def write_corpus(spark: SparkSession, docs: DataFrame, folder: str, path: str |
 
 
 _NAMES = ["part", "first_start", "n_ids", "payload", "checkpoints", "doc_ids", "starts", "sizes"]
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
 def _narrow(x: bytes) -> bytes:
