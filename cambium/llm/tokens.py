@@ -12,6 +12,7 @@ import json
 import os
 import re
 from array import array
+from operator import itemgetter
 
 import numpy as np
 
@@ -29,28 +30,39 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Known(dict):
-    """Bytes of the ids of a piece; one that is missing is encoded, and kept unless it is long."""
+class _Known:
+    """Bytes of the ids of pieces that were met; one that is missing is encoded, and held unless it is long."""
 
     def __init__(self, model, memory: int):
-        super().__init__()
+        self.held: dict[str, bytes] = {}
         self.memory = memory
         self.tokenize, self.letters = model.tokenize, _byte_letters()
 
-    def __missing__(self, x: str) -> bytes:
+    def clear(self) -> None:
+        self.held.clear()
+
+    def encoded(self, x: str) -> bytes:
         as_letters = "Ġ" + x[1:] if x[0] == " " and x.isascii() and not x.isspace() else x.encode("utf-8").decode("latin-1").translate(self.letters)
         out = array("I", [t.id for t in self.tokenize(as_letters)]).tobytes()
         if len(x) <= LONGEST:
-            self[x] = out
+            self.held[x] = out
         return out
 
+    def joined(self, pieces: list[str]) -> bytes:
+        """The ids of all pieces of a text. One look-up for them all, and one by one where some are missing."""
+        held = self.held
+        if len(pieces) > 1:
+            try:
+                return b"".join(itemgetter(*pieces)(held))
+            except KeyError:
+                pass
+        return b"".join([held.get(x) or self.encoded(x) for x in pieces])
+
     def shrink(self) -> None:
         """Forgets longer pieces once there are too many, and all where that isn't enough."""
-        if len(self) > self.memory:
-            short = {k: v for k, v in self.items() if len(k) <= 8}
-            self.clear()
-            if len(short) <= self.memory // 2:
-                self.update(short)
+        if len(self.held) > self.memory:
+            short = {k: v for k, v in self.held.items() if len(k) <= 8}
+            self.held = short if len(short) <= self.memory // 2 else {}
 
 
 class Encoder:
@@ -73,12 +85,12 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        rest, get = [], self.known.__getitem__
+        rest = []
         for i, text in enumerate(texts):
             if not self.by_piece or _OTHER.search(text) or any(map(text.__contains__, self.added)):
                 rest.append(i)
             else:
-                out[i] = b"".join(map(get, _PIECES.findall(text)))
+                out[i] = self.known.joined(_PIECES.findall(text))
         self.known.shrink()
         if rest:
             encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
