@@ -36,9 +36,9 @@ def asof_position(queries: DataFrame, positions: DataFrame, keys: list[str], at:
     return both.select(*keys, at, *[F.col("_row")[c].alias(c) for c in extra], "found")
 
 
-def asof_rows(queries: DataFrame, rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+def asof_rows(queries: DataFrame, rows: DataFrame, keys: list[str], at: str, spread: bool = False) -> DataFrame:
     """As asof_position, joined with every row at the found position: ties all count, queries without any stay once."""
-    found = asof_position(queries, rows, keys, at)
+    found = asof_position(queries, rows, keys, at, spread)
     return found.join(rows.withColumnRenamed(at, "found"), [*keys, "found"], "left")
 
 

@@ -68,26 +68,27 @@ def redacted(found: DataFrame) -> DataFrame:
     return found.drop("source", "name")
 
 
-def lookup(queries: DataFrame, table: DataFrame) -> DataFrame:
+def lookup(queries: DataFrame, table: DataFrame, spread: bool = False) -> DataFrame:
     """queries (map_id, line, column, ...) with source, orig_line, orig_col, name and status.
 
     The segment in force is the one at the greatest position not after the query's, on that line or an earlier one. All
-    segments at that position count: several are `ambiguous`; one without an original, or none, is `unmapped`.
+    segments at that position count: several are `ambiguous`; one without an original, or none, is `unmapped`. With spread,
+    the positions of one map are dealt to many tasks: for maps with more segments and queries than one task should sort.
     """
     extra = [c for c in queries.columns if c != "map_id"]
     q = queries.withColumn("at", F.col("line") * WIDTH + F.col("column"))
-    rows = O.asof_rows(q, table.select("map_id", "at", "source", "orig_line", "orig_col", "name"), ["map_id"], "at")
+    rows = O.asof_rows(q, table.select("map_id", "at", "source", "orig_line", "orig_col", "name"), ["map_id"], "at", spread)
     found = rows.select("map_id", *extra, "source", "orig_line", "orig_col", "name").distinct()
     found = found.withColumn("n", F.count("orig_line").over(Window.partitionBy("map_id", *extra))).where("n = 0 OR orig_line IS NOT NULL")
     return found.withColumn("status", F.when(F.col("n") == 0, "unmapped").when(F.col("n") > 1, "ambiguous").otherwise("mapped")).drop("n")
 
 
-def compose(queries: DataFrame, outer: DataFrame, inner: DataFrame, inner_of: DataFrame) -> DataFrame:
+def compose(queries: DataFrame, outer: DataFrame, inner: DataFrame, inner_of: DataFrame, spread: bool = False) -> DataFrame:
     """lookup in outer, then of what it finds in the map that inner_of (source, inner_id) names; the inner name wins."""
-    first = lookup(queries, outer).join(inner_of, "source", "left")
+    first = lookup(queries, outer, spread).join(inner_of, "source", "left")
     keys = [c for c in queries.columns]
     second = first.where("status != 'unmapped'").select(*[F.col(k).alias(f"q_{k}") for k in keys], F.col("inner_id").alias("map_id"), F.col("orig_line").alias("line"), F.col("orig_col").alias("column"), F.col("name").alias("outer_name"))
-    found = lookup(second, inner)
+    found = lookup(second, inner, spread)
     found = found.select(*[F.col(f"q_{k}").alias(k) for k in keys], "source", "orig_line", "orig_col", F.coalesce("name", "outer_name").alias("name"), "status")
     lost = first.where("status = 'unmapped'").select(*keys, F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("orig_line"), F.lit(None).cast("long").alias("orig_col"), F.lit(None).cast("string").alias("name"), "status")
     return found.unionByName(lost)

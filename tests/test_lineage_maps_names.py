@@ -42,13 +42,14 @@ def basic(segments, sources=("a.js",), names=()):
     return json.dumps({"version": 3, "sources": list(sources), "names": list(names), "mappings": sourcemap.encode(segments)})
 
 
-def test_lookup_takes_ties_earlier_lines_and_gaps(spark):
+@pytest.mark.parametrize("spread", [False, True])
+def test_lookup_takes_ties_earlier_lines_and_gaps(spark, spread):
     text = basic([(0, 4, 0, 0, 0), (0, 9, 0, 1, 2), (0, 9, 0, 5, 5), (2, 0, 0, 7, 0)])
     table = maps.segments(spark.createDataFrame([("m", text)], "map_id string, json string"))
     q = spark.createDataFrame([("m", 0, 0), ("m", 0, 5), ("m", 0, 100), ("m", 1, 3), ("m", 2, 1)], "map_id string, line long, column long")
-    got = sorted(((r.line, r.column), r.status, r.orig_line, r.orig_col) for r in maps.lookup(q, table).collect() if r.orig_line is not None)
+    got = sorted(((r.line, r.column), r.status, r.orig_line, r.orig_col) for r in maps.lookup(q, table, spread).collect() if r.orig_line is not None)
     assert got == [((0, 5), "mapped", 0, 0), ((0, 100), "ambiguous", 1, 2), ((0, 100), "ambiguous", 5, 5), ((1, 3), "ambiguous", 1, 2), ((1, 3), "ambiguous", 5, 5), ((2, 1), "mapped", 7, 0)]
-    assert [r.status for r in maps.lookup(q, table).where("line = 0 AND column = 0").collect()] == ["unmapped"]
+    assert [r.status for r in maps.lookup(q, table, spread).where("line = 0 AND column = 0").collect()] == ["unmapped"]
 
 
 def test_composition(spark):
