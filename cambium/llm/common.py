@@ -116,15 +116,16 @@ def trim() -> None:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of batches with about limit bytes of text each; a longer text is a slice of its own. Nulls become empty."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, fill: bool = True) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about limit bytes of text each; a longer text is a slice of its own. Nulls become empty, or
+    stay without fill."""
     for batch in batches:
         i = batch.schema.get_field_index(column)
         texts = batch.column(i)
-        if texts.null_count:
+        if fill and texts.null_count:
             texts = texts.fill_null("")
             batch = batch.set_column(i, column, texts)
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False) if len(texts) else []
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) if len(texts) else []
         start = total = 0
         for k, size in enumerate(sizes):
             if total and total + size > limit:

@@ -127,8 +127,8 @@ _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def _scan(index, text: str, names: list[str], keep: list[str], before: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = index.value
-        for batch in text_slices(batches, text):
-            hashes, offsets = words.hash_words(batch.column(batch.schema.get_field_index(text)), words.ALNUM)
+        for batch in text_slices(batches, text, fill=False):  # a null text has no words, and is null in what is kept
+            hashes, offsets = words.hash_words(batch.column(batch.schema.get_field_index(text)).fill_null(""), words.ALNUM)
             hit = np.zeros(len(hashes) + 1, np.int64)
             items: dict[int, set[str]] = defaultdict(set)
             if before:
