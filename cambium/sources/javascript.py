@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cambium.functions import js_analysis
 from cambium.functions.js_parser import ParseError
+from cambium.operators.scratch import dealt
 
 #: Columns of each table, as Spark types.
 TABLES = {
@@ -25,6 +29,9 @@ TABLES = {
     ),
 }
 
+#: Texts, and characters of them, whose tables a Python worker holds at a time.
+SLICE_ROWS, SLICE_CHARS = 64, 1 << 17
+
 #: What an analysis does not tell: fixed codes, with what they mean.
 LOSSES = {
     "source_map_lineage_unavailable": "where a text comes from is told by its source map, not by its analysis",
@@ -50,10 +57,6 @@ def _struct(columns: str) -> str:
     return "struct<" + ",".join(f"{n}:{t}" for n, t in _columns(columns)) + ">"
 
 
-def _names(columns: str) -> list[str]:
-    return [n for n, _ in _columns(columns)]
-
-
 def analyze(sources: DataFrame, which: list[str] | None = None, strict: bool = True) -> DataFrame:
     """sources (keys..., source) with one array column for each table and error: null, or where the text doesn't parse.
 
@@ -62,31 +65,40 @@ def analyze(sources: DataFrame, which: list[str] | None = None, strict: bool = T
     """
     which = which or [t for t in TABLES if t != "occurrences"]
     keys = [c for c in sources.columns if c != "source"]
-    names = {t: _names(TABLES[t]) for t in which}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made: dict[str, list] = {t: [] for t in which}
-            errors = []
-            for text in frame["source"]:
-                try:
-                    found, error = js_analysis.analyze(text or "", which=which), None
-                except ParseError as e:
-                    if strict:
-                        raise
-                    found, error = {t: [] for t in which}, str(e)
-                errors.append(error)
-                for t in which:
-                    rows = [dict(zip(names[t], r, strict=True)) for r in found[t]]
-                    for r in rows:
-                        if "tokens" in r:
-                            r["tokens"] = [{"tag": a, "text": b, "decl": c, "line": d} for a, b, c, d in r["tokens"]]
-                            r["api"] = [{"key": a, "arg": b} for a, b in r["api"]]
-                    made[t].append(rows)
-            yield pd.concat([frame[keys].reset_index(drop=True), pd.DataFrame({**made, "error": errors})], axis=1)
+    kinds = [to_arrow_type(T.ArrayType(T.StructType.fromDDL(TABLES[t]))) for t in which]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.schema.get_field_index("source")):
+                made: list[list] = [[] for _ in which]
+                errors = []
+                for text in part.column("source").to_pylist():
+                    try:
+                        found, error = js_analysis.analyze(text or "", which=which), None
+                    except ParseError as e:
+                        if strict:
+                            raise
+                        found, error = {t: [] for t in which}, str(e)
+                    errors.append(error)
+                    for t, rows in zip(which, made, strict=True):
+                        rows.append(found[t])
+                columns = [part.column(k) for k in keys] + [pa.array(rows, kind) for rows, kind in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(errors, pa.string())], [*keys, *which, "error"])
 
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in sources.schema if f.name != "source"], *[f"{t} array<{_struct(TABLES[t])}>" for t in which], "error string"])
-    return sources.mapInPandas(run, schema)
+    return dealt(sources, keys).mapInArrow(run, schema).hint("merge")
+
+
+def slices(batch: pa.RecordBatch, source: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most SLICE_ROWS texts and, if more than one, SLICE_CHARS."""
+    start, chars = 0, 0
+    for k, n in enumerate(x or 0 for x in pc.utf8_length(batch.column(source)).to_pylist()):
+        if k > start and (k - start >= SLICE_ROWS or chars + n > SLICE_CHARS):
+            yield batch.slice(start, k - start)
+            start, chars = k, 0
+        chars += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
 
 
 def rows_of(analysis: DataFrame, table: str, keys: list[str]) -> DataFrame:
@@ -111,14 +123,15 @@ def outline(sources: DataFrame) -> DataFrame:
     """(keys..., node_ix, text): the syntax tree of each source as indented lines."""
     keys = [c for c in sources.columns if c != "source"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = frame[keys].copy()
-            made["line"] = [[{"node_ix": k, "text": t} for k, t in js_analysis.outline(text or "")] for text in frame["source"]]
-            yield made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, batch.schema.get_field_index("source")):
+                lines = [js_analysis.outline(text or "") for text in part.column("source").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(lines, kind)], [*keys, "line"])
 
+    kind = to_arrow_type(T.ArrayType(T.StructType.fromDDL("node_ix int, text string")))
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in sources.schema if f.name != "source"], "line array<struct<node_ix:int,text:string>>"])
-    return sources.mapInPandas(run, schema).select(*keys, F.inline("line"))
+    return dealt(sources, keys).mapInArrow(run, schema).hint("merge").select(*keys, F.inline("line"))
 
 
 def source_range(source: Column | str, start_line: Column, end_line: Column) -> Column:
