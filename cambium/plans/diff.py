@@ -27,12 +27,17 @@ def declarations(pairs: DataFrame) -> DataFrame:
 def candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     """(i1, i2, name_match): pairs of one name and compatible kinds; and others whose sizes and signatures are near.
 
-    A pair that passes the gate agrees in two lanes that make a key (see gate_keys).
+    A pair that passes the gate agrees in two lanes that make a key (see gate_keys). Where all declarations of both sides
+    are fewer pairs than rows with keys, all meet by one key instead.
     """
     a, b = old.alias("a"), new.alias("b")
     kinds = S.compatible_kinds(F.col("a.kind"), F.col("b.kind"))
     named = a.join(b, (F.col("a.pair_id") == F.col("b.pair_id")) & (F.col("a.name") == F.col("b.name")) & kinds).select(F.col("a.id").alias("i1"), F.col("b.id").alias("i2"), F.lit(True).alias("name_match"))
-    keys = lambda t: t.select("pair_id", "id", "name", "kind", "size", F.explode(S.gate_keys(F.col("minhash"), LANES, GATE)).alias("key"))
+    many = S.gate_keys(F.col("minhash"), LANES, GATE)
+    one = F.array(F.struct(F.lit(-1).alias("key"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")))
+    n = lambda t, name: t.groupBy("pair_id").agg(F.count(F.lit(1)).alias(name))
+    few = n(old, "n").join(n(new, "m"), "pair_id").select("pair_id", (F.col("n") * F.col("m") <= S.gate_key_count(LANES, GATE) * (F.col("n") + F.col("m"))).alias("few"))
+    keys = lambda t: t.join(few, "pair_id").select("pair_id", "id", "name", "kind", "size", F.explode(F.when(F.col("few"), one).otherwise(many)).alias("key"))
     x, y = keys(old).alias("a"), keys(new).alias("b")
     same = (F.col("a.pair_id") == F.col("b.pair_id")) & (F.col("a.key") == F.col("b.key"))
     near = x.join(y, same & (F.col("a.name") != F.col("b.name")) & kinds & S.size_window(F.col("a.size"), F.col("b.size")))

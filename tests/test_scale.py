@@ -4,6 +4,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cambium.operators import similarity as S
+from cambium.operators.scratch import cut
+from cambium.plans import diff
 from cambium.sources import javascript
 
 
@@ -30,3 +32,20 @@ def test_slices_hold_all_texts_in_order_and_few_characters():
     assert [t for p in parts for t in p.column(0).to_pylist()] == texts
     assert all(p.num_rows == 1 or p.num_rows <= javascript.SLICE_ROWS and sum(len(t or "") for t in p.column(0).to_pylist()) <= javascript.SLICE_CHARS for p in parts)
     assert list(javascript.slices(pa.record_batch({"source": pa.array([], pa.string())}), 0)) == []
+
+
+def test_tables_that_cut_lineage_are_not_broadcast(spark):
+    """Equal rows are a few bytes of a file, and as many rows in the driver."""
+    a, b = cut(spark.range(5000).withColumn("x", F.array(F.lit("same"))), "a"), cut(spark.range(5000).withColumn("y", F.lit("same")), "b")
+    assert "Broadcast" not in a.join(b.where("y = 'same'").select("id", "y"), "id")._jdf.queryExecution().toString()
+    assert a.join(b, "id").count() == 5000
+
+
+def test_small_pairs_meet_by_one_key_with_the_same_candidates(spark, monkeypatch):
+    decls = diff.declarations(_pairs(spark, 8))
+    old, new = decls.where("side = 'old'"), decls.where("side = 'new'")
+    found = lambda: sorted(map(str, diff.candidates(old, new).collect()))
+    few = found()
+    assert any("name_match=False" in x for x in few)
+    monkeypatch.setattr(S, "gate_key_count", lambda lanes, least: 0)
+    assert found() == few
