@@ -6,16 +6,19 @@ import functools
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cambium.functions import fields
 from cambium.functions import hashing as H
 from cambium.functions import js_context
 from cambium.operators import matching as M
 from cambium.operators import similarity as S
-from cambium.sources import maps
+from cambium.operators.scratch import dealt
+from cambium.sources import javascript, maps
 
 
 @dataclass(frozen=True)
@@ -50,13 +53,16 @@ def contexts(pairs: DataFrame) -> DataFrame:
     """Context rows of both sides of pairs (pair_id, old, new): pair_id, side, id = (pair_id, symbol_ix), ..."""
     sides = pairs.select("pair_id", F.explode(F.create_map(F.lit("old"), "old", F.lit("new"), "new")).alias("side", "source"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(p, s, *r) for p, s, text in frame.itertuples(index=False) for r in js_context.contexts(text or "")]
-            yield pd.DataFrame(rows, columns=["pair_id", "side", *_NAMES])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in javascript.slices(batch, batch.schema.get_field_index("source")):
+                found = [js_context.contexts(text or "") for text in part.column("source").to_pylist()]
+                own = pa.array([k for k, rows in enumerate(found) for _ in rows], pa.int64())
+                columns = pa.array([r for rows in found for r in rows], row).flatten()
+                yield pa.RecordBatch.from_arrays([part.column(k).take(own) for k in ("pair_id", "side")] + columns, ["pair_id", "side", *_NAMES])
 
-    kind = pairs.schema["pair_id"].dataType.simpleString()
-    made = sides.mapInPandas(run, f"pair_id {kind}, side string, {js_context.COLUMNS}")
+    kind, row = pairs.schema["pair_id"].dataType.simpleString(), to_arrow_type(T.StructType.fromDDL(js_context.COLUMNS))
+    made = dealt(sides, ["pair_id", "side"]).mapInArrow(run, f"pair_id {kind}, side string, {js_context.COLUMNS}")
     return M.cut(made.withColumn("id", F.struct("pair_id", "symbol_ix")), "contexts")
 
 
