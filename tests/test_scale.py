@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cambium.operators import similarity as S
 from cambium.operators.scratch import cut
-from cambium.plans import diff
+from cambium.plans import diff, lineage
 from cambium.sources import javascript
 
 
@@ -49,3 +49,9 @@ def test_small_pairs_meet_by_one_key_with_the_same_candidates(spark, monkeypatch
     assert any("name_match=False" in x for x in few)
     monkeypatch.setattr(S, "gate_key_count", lambda lanes, least: 0)
     assert found() == few
+
+
+def test_contexts_of_one_file_are_made_in_many_tasks(spark):
+    rows = lineage.contexts(_pairs(spark, 64))
+    assert len(rows.inputFiles()) > 1
+    assert rows.select("pair_id", "side").distinct().count() == 128
