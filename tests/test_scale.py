@@ -3,6 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cambium.operators import integrity
 from cambium.operators import similarity as S
 from cambium.operators.scratch import cut
 from cambium.plans import diff, lineage
@@ -55,3 +56,31 @@ def test_contexts_of_one_file_are_made_in_many_tasks(spark):
     rows = lineage.contexts(_pairs(spark, 64))
     assert len(rows.inputFiles()) > 1
     assert rows.select("pair_id", "side").distinct().count() == 128
+
+
+def test_rules_of_an_analysis_share_their_joins(spark):
+    """A join for each rule is a plan that the driver's memory doesn't hold."""
+    which = ["nodes", "scopes", "symbols", "references", "calls"]
+    made = cut(javascript.analyze(_pairs(spark, 12).select("pair_id", F.col("old").alias("source")), which), "made")
+    tables = {t: javascript.rows_of(made, t, ["pair_id"]) for t in which}
+
+    def spoil(table, column, where, value):
+        tables[table] = tables[table].withColumn(column, F.when(F.expr(where), value).otherwise(F.col(column)))
+
+    spoil("scopes", "end_byte", "pair_id = 1 AND scope_ix = 1", F.lit(99_999))
+    spoil("scopes", "kind", "pair_id = 2 AND scope_ix = 0", F.lit("block"))
+    spoil("symbols", "scope_ix", "pair_id = 3 AND symbol_ix = 0", F.lit(99))
+    spoil("symbols", "node_ix", "pair_id = 4 AND symbol_ix = 0", F.lit(9999))
+    spoil("symbols", "scope_ix", "pair_id = 5 AND symbol_ix = 0", F.lit(2))
+    spoil("symbols", "reference_count", "pair_id = 6 AND symbol_ix = 0", F.lit(7))
+    spoil("references", "resolution", "pair_id = 7 AND symbol_ix IS NOT NULL", F.lit("unresolved"))
+    spoil("calls", "callee_ref", "pair_id = 8", F.lit(99))
+    tables["symbols"] = tables["symbols"].unionByName(tables["symbols"].where("pair_id = 9 AND symbol_ix = 0"))
+    found = integrity.violations(tables, ["pair_id"])
+    rules = {}
+    for r in found.collect():
+        rules.setdefault(r.pair_id, set()).add(r.rule)
+    assert {1: {"scope leaves its parent", "scope's identity"}, 4: {"symbol without a node"}, 7: {"resolution and symbol disagree"}, 9: {"symbols repeat a row number", "symbols share a node"}}.items() <= rules.items()
+    want = {2: "global scope", 3: "symbol without a scope", 5: "symbol outside its scope", 6: "range of another length", 8: "call of no reference"}
+    assert all(rule in rules[k] for k, rule in want.items()) and set(rules) == set(range(1, 10))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 8
