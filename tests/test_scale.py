@@ -84,3 +84,26 @@ def test_rules_of_an_analysis_share_their_joins(spark):
     want = {2: "global scope", 3: "symbol without a scope", 5: "symbol outside its scope", 6: "range of another length", 8: "call of no reference"}
     assert all(rule in rules[k] for k, rule in want.items()) and set(rules) == set(range(1, 10))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 8
+
+
+def test_frequent_keys_meet_in_blocks_with_the_same_pairs(spark):
+    """All rows share keys, in one block and in many; candidates are neither shuffled nor joined with the rows again."""
+    rows = spark.range(120).select("id", F.array([F.lit(k).cast("long") if k < 6 else F.col("id") % (k - 3) for k in range(16)]).alias("minhash"), F.sequence(F.lit(1).cast("long"), F.col("id") + 1).alias("features"))
+    rows = cut(rows.union(rows.selectExpr("id + 1000", "transform(minhash, x -> if(x < 3, null, x))", "features")), "rows")
+    held = {r.id: r for r in rows.collect()}
+    want = {(a, b): sum(x == y for x, y in zip(held[a].minhash, held[b].minhash, strict=True)) for a in range(120) for b in range(a + 1, 120)}
+    for block_rows in (2000, 7):
+        pairs = S.gate_pairs(rows, 16, 5, block_rows=block_rows)
+        assert sorted((r.i1, r.i2, r.equal_lanes) for r in pairs.collect()) == sorted((*k, n) for k, n in want.items() if n >= 5)
+    scored = S.scored_pairs(rows, 16, 5)
+    assert {(r.i1, r.i2, r.similarity_bps, r.size1) for r in scored.collect()} == {(a, b, (a + 1) * 10_000 // (b + 1), a + 1) for (a, b), n in want.items() if n >= 5}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "Aggregate [i1" not in plan
+
+
+def test_more_lanes_than_a_word_has_bits(spark):
+    lanes = [F.when(F.col("id") % (k % 9 + 2) < 2, F.lit(k)).otherwise(F.col("id") + 1000 * k).cast("long") for k in range(70)]
+    rows = cut(spark.range(1, 40).select("id", F.array(lanes).alias("minhash")), "rows")
+    held = {r.id: r.minhash for r in rows.collect()}
+    want = {(a, b) for a in held for b in held if a < b and sum(x == y for x, y in zip(held[a], held[b], strict=True)) >= 30}
+    assert want and {(r.i1, r.i2) for r in S.gate_pairs(rows, 70, 30).collect()} == want
