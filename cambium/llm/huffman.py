@@ -78,27 +78,28 @@ class Codebook:
         end = np.cumsum(size)
         at = end - size
         total = int(end[-1]) if len(ids) else 0
-        word = self.code[ids] << (40 - size - (at & 7)).astype(np.uint64)
-        byte, n = at >> 3, (total + 7) // 8 + 5
-        out = np.zeros(n)
-        for k in range((self.longest + 14) // 8):
-            part = ((word >> np.uint64(32 - 8 * k)) & np.uint64(255)).astype(np.float64)
-            out[k:] += np.bincount(byte, weights=part, minlength=n - k)[: n - k]
-        return out[: (total + 7) // 8].astype(np.uint8).tobytes(), at[::EVERY]
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each possible next `longest` bits the id and its code's length."""
-        ids = np.zeros(1 << self.longest, np.uint32)
-        size = np.ones(1 << self.longest, np.uint8)
-        used = int(self.room.sum())
-        ids[:used] = np.repeat(self.ids, self.room)
-        size[:used] = np.repeat(self.sizes, self.room)
-        return ids, size
-
-
-def decode(book: Codebook, tables: tuple[np.ndarray, np.ndarray], payloads: list[bytes], checkpoints: list[np.ndarray], n_ids: list[int]) -> list[np.ndarray]:
+        if not total:
+            return b"", at
+        # Codes that begin in a word of 32 bits share no bit, so their sum in a window of 64 is all of them.
+        window = self.code[ids] << (64 - size - (at & 31)).astype(np.uint64)
+        word = at >> 5
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        window, word = np.add.reduceat(window, first), word[first]
+        out = np.zeros(int(word[-1]) + 2, np.uint64)
+        out[word] = window >> np.uint64(32)
+        out[word + 1] += window & np.uint64(0xFFFFFFFF)
+        return out.astype(">u4").tobytes()[: (total + 7) // 8], at[::EVERY]
+
+    def table(self) -> np.ndarray:
+        """For each possible next `longest` bits the id times 64 plus its code's length."""
+        kind = np.uint32 if len(self.code) < 1 << 26 else np.uint64
+        found = np.ones(1 << self.longest, kind)
+        found[: int(self.room.sum())] = np.repeat(self.ids.astype(kind) << kind(6) | self.sizes.astype(kind), self.room)
+        return found
+
+
+def decode(book: Codebook, table: np.ndarray, payloads: list[bytes], checkpoints: list[np.ndarray], n_ids: list[int]) -> list[np.ndarray]:
     """Ids of each block. All stretches between checkpoints advance together, one id a step."""
-    ids, size = tables
     joined = b"".join(p + b"\0" * 4 for p in payloads)
     b = np.frombuffer(joined, np.uint8).astype(np.uint32)
     window = np.zeros(len(b), np.uint32)
@@ -106,15 +107,15 @@ def decode(book: Codebook, tables: tuple[np.ndarray, np.ndarray], payloads: list
     base = np.cumsum([0, *(len(p) + 4 for p in payloads)])[:-1]
     bit = np.concatenate([c.astype(np.int64) + 8 * s for c, s in zip(checkpoints, base, strict=True)])
     left = np.concatenate([np.minimum(EVERY, n - EVERY * np.arange(len(c))) for c, n in zip(checkpoints, n_ids, strict=True)])
-    out = np.zeros((EVERY, len(bit)), np.uint32)
+    out = np.zeros((EVERY, len(bit)), table.dtype)
     shift = np.uint32(32 - book.longest)
     for step in range(EVERY):
         if step and not (live := left > step).all():
             bit = np.where(live, bit, 0)
         key = (window[bit >> 3] << (bit & 7).astype(np.uint32)) >> shift
-        out[step] = ids[key]
-        bit = bit + size[key]
-    flat, found, at = out.T, [], 0
+        out[step] = table[key]
+        bit = bit + (out[step] & 63).astype(np.int64)
+    flat, found, at = (out >> 6).astype(np.uint32, copy=False).T, [], 0
     for c, n in zip(checkpoints, n_ids, strict=True):
         found.append(flat[at : at + len(c)].reshape(-1)[:n])
         at += len(c)
@@ -140,27 +141,29 @@ def write_corpus(spark: SparkSession, docs: DataFrame, folder: str, path: str |
         for batch in text_slices(batches):
             made = [x + tail for x in enc.ids(batch.column(1).to_pylist())]
             sizes = np.array([len(x) // 4 for x in made], np.int64)
+            counts = np.bincount(np.frombuffer(b"".join(made), "<u4"))
+            found = np.flatnonzero(counts)
+            told = [np.concatenate([found, counts[found]]).astype("<i8").tobytes(), *[None] * (len(made) - 1)]
             before = done + np.cumsum(sizes) - sizes
             done += int(sizes.sum())
-            yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(before), pa.array(np.full(len(made), part, np.int32)), pa.array([_narrow(x) for x in made], pa.binary())], names=["doc_id", "n", "before", "part", "ids"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(before), pa.array(np.full(len(made), part, np.int32)), pa.array([_narrow(x) for x in made], pa.binary()), pa.array(told, pa.binary())], names=["doc_id", "n", "before", "part", "ids", "counts"])
 
-    coded = scratch.table(dealt.mapInArrow(tokenised, "doc_id long, n long, before long, part int, ids binary"), "ids")
+    # counts: ids, and how often each occurs, of a slice of documents, at the first of them.
+    coded = scratch.table(dealt.mapInArrow(tokenised, "doc_id long, n long, before long, part int, ids binary, counts binary"), "ids")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                c = np.bincount(np.concatenate([_wide(x) for x in batch.column(0).slice(k, 256).to_pylist()]))
-                if len(c) > len(total):
-                    c[: len(total)] += total
-                    total = c
-                else:
-                    total[: len(c)] += c
+            for x in batch.column(0).to_pylist():
+                found, n = np.frombuffer(x, "<i8").reshape(2, -1)
+                if len(found) and found[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(found[-1] + 1 - len(total), np.int64)])
+                total[found] += n
         found = np.flatnonzero(total)
         yield pa.record_batch([pa.array(found), pa.array(total[found])], names=["id", "count"])
 
     # One row an id at most: the vocabulary bounds what the driver gets.
-    counts = coded.select("ids").mapInArrow(counted, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).toPandas().sort_values("id")
+    counts = coded.select("counts").where("counts IS NOT NULL").mapInArrow(counted, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).toPandas().sort_values("id")
     ids, weight = counts["id"].to_numpy(np.int64), counts["count"].to_numpy(np.int64)
     longest = max(LONGEST, int(len(ids)).bit_length())
     lengths = code_lengths(weight, longest)
@@ -178,18 +181,18 @@ def write_corpus(spark: SparkSession, docs: DataFrame, folder: str, path: str |
         part, expected = None, None
 
         def closed() -> pa.RecordBatch:
-            stream = np.concatenate([x for _, _, x in hold])
+            stream = np.concatenate([x for _, _, x in hold]).astype(np.int64)
             payload, marks = book.encode(stream)
             row = [[part], [hold[0][1]], [len(stream)], [payload], [marks], [[d for d, _, _ in hold]], [[s for _, s, _ in hold]], [[len(x) for _, _, x in hold]]]
             return pa.record_batch([pa.array(v, k) for v, k in zip(row, _KINDS, strict=True)], names=_NAMES)
 
         for batch in batches:
-            for d, p, s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for d, p, s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 start = begin[p] + s
                 if hold and (p != part or start != expected or start - hold[0][1] >= BLOCK):
                     yield closed()
                     hold = []
-                x = _wide(x.as_py())
+                x = _wide(x)
                 hold.append((d, start, x))
                 part, expected = p, start + len(x)
         if hold:
@@ -214,7 +217,7 @@ def _narrow(x: bytes) -> bytes:
 
 
 def _wide(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, "<u2" if x[0] == 2 else "<u4", offset=1).astype(np.int64)
+    return np.frombuffer(x, "<u2" if x[0] == 2 else "<u4", offset=1)
 
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,7 +227,7 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Codebook(*shared.value)
-        tables = made.tables()
+        table = made.table()
         for batch in batches:
             k = 0
             while k < batch.num_rows:
@@ -235,14 +238,15 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
                 part = batch.slice(k, j - k)
                 k = j
                 marks = [m.values.to_numpy() for m in part.column(3)]
-                found = decode(made, tables, part.column(2).to_pylist(), marks, part.column(1).to_pylist())
+                found = decode(made, table, part.column(2).to_pylist(), marks, part.column(1).to_pylist())
                 doc, start, size, ids = [], [], [], []
                 for x, d, s, n in zip(found, part.column(4).to_pylist(), part.column(5).to_pylist(), part.column(6).to_pylist(), strict=True):
-                    edges = np.cumsum([0, *n])
+                    edges = (4 * np.cumsum([0, *n])).tolist()
+                    raw = x.astype("<u4", copy=False).tobytes()
                     doc += d
                     start += s
                     size += n
-                    ids += [x[a:b].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    ids += [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
     return spark.read.parquet(f"{folder}/blocks").select("first_start", "n_ids", "payload", "checkpoints", "doc_ids", "starts", "sizes").mapInArrow(unpacked, "doc_id long, start long, n_tokens long, ids binary")

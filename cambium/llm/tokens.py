@@ -17,7 +17,8 @@ from operator import itemgetter
 import numpy as np
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+#: Words stand before the contractions, which begin with no letter: most pieces are words.
+_PIECES = re.compile(rf" ?[{_LETTERS}]++| ?[0-9]++|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s{_LETTERS}0-9]++|\s+(?!\S)|\s+")
 _OTHER = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]")
 #: Pieces that a worker remembers by default (about 160 bytes each), and the longest one that it does.
 MEMORY, LONGEST = 300_000, 64
@@ -30,39 +31,43 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Known:
+class _Held(dict):
     """Bytes of the ids of pieces that were met; one that is missing is encoded, and held unless it is long."""
 
+    __slots__ = ("letters", "tokenize")
+
+    def __missing__(self, x: str) -> bytes:
+        as_letters = "Ġ" + x[1:] if x[0] == " " and x.isascii() and not x.isspace() else x.encode("utf-8").decode("latin-1").translate(self.letters)
+        out = array("I", [t.id for t in self.tokenize(as_letters)]).tobytes()
+        if len(x) <= LONGEST:
+            self[x] = out
+        return out
+
+
+class _Known:
+    """Pieces that were met, memory of them at most."""
+
     def __init__(self, model, memory: int):
-        self.held: dict[str, bytes] = {}
         self.memory = memory
         self.tokenize, self.letters = model.tokenize, _byte_letters()
+        self.hold({})
+
+    def hold(self, pieces: dict[str, bytes]) -> None:
+        self.held = _Held(pieces)
+        self.held.tokenize, self.held.letters = self.tokenize, self.letters
 
     def clear(self) -> None:
         self.held.clear()
 
-    def encoded(self, x: str) -> bytes:
-        as_letters = "Ġ" + x[1:] if x[0] == " " and x.isascii() and not x.isspace() else x.encode("utf-8").decode("latin-1").translate(self.letters)
-        out = array("I", [t.id for t in self.tokenize(as_letters)]).tobytes()
-        if len(x) <= LONGEST:
-            self.held[x] = out
-        return out
-
     def joined(self, pieces: list[str]) -> bytes:
-        """The ids of all pieces of a text. One look-up for them all, and one by one where some are missing."""
-        held = self.held
-        if len(pieces) > 1:
-            try:
-                return b"".join(itemgetter(*pieces)(held))
-            except KeyError:
-                pass
-        return b"".join([held.get(x) or self.encoded(x) for x in pieces])
+        """The ids of all pieces of a text, by one look-up for them all."""
+        return b"".join(itemgetter(*pieces)(self.held)) if len(pieces) > 1 else b"".join([self.held[x] for x in pieces])
 
     def shrink(self) -> None:
         """Forgets longer pieces once there are too many, and all where that isn't enough."""
         if len(self.held) > self.memory:
             short = {k: v for k, v in self.held.items() if len(k) <= 8}
-            self.held = short if len(short) <= self.memory // 2 else {}
+            self.hold(short if len(short) <= self.memory // 2 else {})
 
 
 class Encoder:

@@ -189,6 +189,33 @@ def test_encoder_equals_a_fresh_tokenizer_on_added_tokens():
     assert [np.frombuffer(b, "<u4").tolist() for b in e.ids(texts)] == [w.ids for w in fresh.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_new_piece_costs_no_second_look_up_of_the_others():
+    looked = Counter()
+
+    class Piece(str):
+        def __hash__(self):
+            looked[str(self)] += 1
+            return str.__hash__(self)
+
+    e = tokens.Encoder(tokens.default_path())
+    want = e.ids(["one two three"])
+    assert [e.known.joined([Piece(x) for x in ("one", " two", " newest", " three")])] == e.ids(["one two newest three"])
+    assert looked["one"] == looked[" two"] == looked[" three"] == 1
+    assert e.ids(["one two three"]) == want
+
+
+def test_codes_of_all_lengths_stand_where_their_bits_do():
+    lengths = np.array([*range(1, 25), 24])
+    book = huffman.Codebook(np.arange(25), lengths)
+    ids = np.random.default_rng(0).integers(0, 25, 3000)
+    bits = "".join(f"{int(book.code[i]):0{int(book.length[i])}b}" for i in ids)
+    payload, marks = book.encode(ids)
+    assert payload == int(bits.ljust(-len(bits) // 8 * -8, "0"), 2).to_bytes((len(bits) + 7) // 8, "big")
+    assert marks.tolist() == [int(book.length[ids[:k]].sum()) for k in range(0, len(ids), huffman.EVERY)]
+    (back,) = huffman.decode(book, book.table(), [payload], [marks], [len(ids)])
+    assert back.tolist() == ids.tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 10_000), min_size=1, max_size=60), st.integers(6, 12))
 def test_code_lengths(counts, longest):
