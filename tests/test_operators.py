@@ -113,3 +113,21 @@ def test_feature_hash_equals_the_parser_side(spark):
 
     row = spark.range(1).select(H.feature_hash("a", F.lit("é"), F.lit(3)).alias("h"), H.digest_id("node", F.lit(None).cast("string"), F.lit(0), F.lit("x")).alias("d")).first()
     assert row.h == hash64("a", "é", "3") and row.d == digest_id("node", None, 0, "x")
+
+
+def test_copies_in_the_other_version_are_matched(spark, tmp_path):
+    """Each copy is a row of its own: copies take each other first, and what is left goes to what resembles it."""
+    from cambium.plans import queries
+
+    lines = lambda a, b: "\n".join(f"line {k}" for k in range(a, b))
+    texts = {0: lines(0, 20), 1: lines(0, 20), 2: lines(30, 50), 4: lines(30, 50), 6: lines(30, 50), 7: lines(30, 50), 9: lines(30, 51), 11: lines(31, 51), 13: lines(60, 80), 15: lines(60, 80), 20: lines(60, 81), 21: "", 22: None}
+    texts |= {100 + 2 * k: lines(200 + k // 3, 230) for k in range(12)} | {101 + 2 * k: lines(201 + k // 2, 231) for k in range(9)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {k: set(t.split("\n")) for k, t in texts.items() if t}
+    rows = queries.line_hashes(spark, str(tmp_path)).select("id", H.minhash(F.col("features"), 16).alias("m"))
+    lanes = {r.id: r.m for r in rows.collect()}
+    gated = lambda a, b: sum(x == y for x, y in zip(lanes[a], lanes[b], strict=True)) >= 5
+    edges = [(a, b, len(sets[a] & sets[b]) * 10_000 // len(sets[a] | sets[b])) for a in sets for b in sets if a % 2 == 0 and b % 2 == 1 and gated(a, b)]
+    taken = {x for a, b, _ in sequential(edges) for x in (a, b)}
+    got = {(r.id, r.change) for r in queries.added_removed(spark, str(tmp_path)).collect()}
+    assert {0, 1, 2, 4, 7, 20} <= taken and got == {(k, "added" if k % 2 else "removed") for k in sets if k not in taken}
