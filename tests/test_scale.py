@@ -3,7 +3,8 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cambium.operators import integrity
+from cambium.operators import graph, integrity
+from cambium.operators import matching as M
 from cambium.operators import similarity as S
 from cambium.operators.scratch import cut
 from cambium.plans import diff, lineage
@@ -107,3 +108,30 @@ def test_more_lanes_than_a_word_has_bits(spark):
     held = {r.id: r.minhash for r in rows.collect()}
     want = {(a, b) for a in held for b in held if a < b and sum(x == y for x, y in zip(held[a], held[b], strict=True)) >= 30}
     assert want and {(r.i1, r.i2) for r in S.gate_pairs(rows, 70, 30).collect()} == want
+
+
+def test_only_rows_of_unlike_sides_meet(spark):
+    rows = cut(spark.range(120).select("id", F.array([F.lit(k).cast("long") if k < 6 else F.col("id") % (k - 3) for k in range(16)]).alias("minhash"), F.sequence(F.lit(1).cast("long"), F.col("id") + 1).alias("features")), "rows")
+    every = {(r.i1, r.i2): r.similarity_bps for r in S.scored_pairs(rows, 16, 5).collect()}
+    want = sorted((a, b, n) if a % 3 == 0 else (b, a, n) for (a, b), n in every.items() if (a % 3 == 0) != (b % 3 == 0))
+    for block_rows in (2000, 7):
+        pairs = S.gate_pairs(rows, 16, 5, ["id"], block_rows, F.col("id") % 3 == 0)
+        assert sorted((r.i1, r.i2) for r in pairs.collect()) == [w[:2] for w in want]
+    assert sorted((r.i1, r.i2, r.similarity_bps) for r in S.scored_pairs(rows, 16, 5, first=F.col("id") % 3 == 0).collect()) == want
+
+
+def test_best_edges_first_equal_the_loop_and_ties_make_few_rounds(spark, monkeypatch):
+    """Each old row ties with each new one: rounds of mutual best edges took one pair each."""
+    seen, real = [], M.cut
+    monkeypatch.setattr(M, "cut", lambda df, name: seen.append(name) or real(df, name))
+    monkeypatch.setattr(graph, "components", None)
+    monkeypatch.setattr(M, "LOOKED_AT", 500)
+    tied = spark.range(1600).selectExpr("id % 40 AS i1", "id DIV 40 AS i2", "if(id % 40 + id DIV 40 = 3, 9, 5) AS s")
+    got = {(r.i1, r.i2, r.s) for r in M.best_first(tied, [-F.col("s")], most_edges=300).collect()}
+    # Edges of 9 first, then the least of both sides.
+    assert got == {(k, 3 - k, 9) for k in range(4)} | {(k, k, 5) for k in range(4, 40)}
+    assert seen.count("won") <= 8
+    for limit in (0, 500_000):
+        monkeypatch.setattr(M, "HELD_ENDS", limit)
+        named = tied.selectExpr("struct(i1 AS x) AS i1", "struct(i2 AS x) AS i2", "s")
+        assert {(r.i1.x, r.i2.x, r.s) for r in M.best_first(named, [-F.col("s")], most_edges=700).collect()} == got
