@@ -135,3 +135,17 @@ def test_best_edges_first_equal_the_loop_and_ties_make_few_rounds(spark, monkeyp
         monkeypatch.setattr(M, "HELD_ENDS", limit)
         named = tied.selectExpr("struct(i1 AS x) AS i1", "struct(i2 AS x) AS i2", "s")
         assert {(r.i1.x, r.i2.x, r.s) for r in M.best_first(named, [-F.col("s")], most_edges=700).collect()} == got
+
+
+def test_added_removed_seeks_no_components_and_pairs_no_rows_of_one_version(spark, tmp_path, monkeypatch):
+    """Near copies, all alike: components and pairs within a version cost more than the match."""
+    from cambium.plans import queries
+
+    monkeypatch.setattr(graph, "components", None)
+    written, real = {}, M.cut
+    monkeypatch.setattr(M, "cut", lambda df, name: written.setdefault(name, real(df, name)))
+    lines = F.concat_ws("\n", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.concat(F.lit("line "), k.cast("string"))), F.concat(F.lit("own "), (F.col("doc_id") % 30).cast("string")))
+    spark.range(91).withColumnRenamed("id", "doc_id").withColumn("text", lines).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in queries.added_removed(spark, str(tmp_path)).collect()] == [(90, "removed")]
+    # All copies of a text are of one version, 46 rows old and 45 new, so the first set has one too many.
+    assert {(r.i1 % 2, r.i2 % 2) for r in written["across"].collect()} == {(0, 1)}
